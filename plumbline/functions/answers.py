@@ -6,6 +6,8 @@ prose, cut short, or use the wrong types. Everything here is built on VARIANT.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,89 +47,94 @@ def is_sealed(parsed: Column, mark: Column) -> Column:
     )
 
 
-def member(variant: Column, path: str) -> Column:
-    return F.try_variant_get(variant, path, "variant")
+@dataclass(frozen=True)
+class Value:
+    """A JSON value by three columns: its kind, its text, and its number if it is one."""
 
+    kind: Column
+    text: Column
+    number: Column
 
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+    @property
+    def is_text(self) -> Column:
+        return self.kind == "STRING"
 
 
-def is_number(value: Column) -> Column:
-    """True for JSON numbers and, as in Python, for true and false."""
-    kind = _kind(value)
-    return kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | kind.startswith("DECIMAL")
+def member(variant: Column, path: str) -> Column:
+    return F.try_variant_get(variant, path, "variant")
 
 
-def is_text(value: Column) -> Column:
-    return _kind(value) == "STRING"
+def kind_of(value: Column) -> Column:
+    return F.schema_of_variant(value)
 
 
-def as_text(value: Column) -> Column:
+def text_of(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
 
-def as_number(value: Column) -> Column:
-    """A JSON number as double; null for other kinds and beyond double range."""
-    number = F.try_variant_get(value, "$", "double")
-    return F.when(is_number(value) & (F.abs(number) < F.lit(float("inf"))), number)
+def number_of(kind: Column, text: Column) -> Column:
+    """A JSON number as double; null for other kinds. True and false count as 1 and 0."""
+    number = F.when(kind == "BOOLEAN", (text == "true").cast("double")).when(
+        (kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL"),
+        text.try_cast("double"),
+    )
+    # a number beyond double range is none
+    return F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
-def as_integer(value: Column) -> Column:
+def integer_of(value: Value) -> Column:
     """The number Python's int() makes of the value, not yet cut, as double.
 
     Numbers stand as they are (the caller truncates); text counts when it
     spells an integer, so "2" does and "2.0" does not.
     """
-    text = strip(as_text(value))
+    text = strip(value.text)
     digits = F.when(
-        is_text(value) & text.rlike(INTEGER_TEXT), F.replace(text, F.lit("_"), F.lit(""))
+        value.is_text & text.rlike(INTEGER_TEXT), F.replace(text, F.lit("_"), F.lit(""))
     )
-    return F.coalesce(as_number(value), digits.cast("double"))
+    return F.coalesce(value.number, digits.try_cast("double"))
 
 
-def diagnosis(value: Column) -> Column:
+def diagnosis(value: Value) -> Column:
     """One of the two labels, or null when the value names neither."""
-    number = as_number(value)
-    word = folded(as_text(value))
-    return (
-        F.when(
-            number.isNotNull(),
-            # int() truncates towards zero: 1.9 counts as 1
-            F.when((number >= 1) & (number < 2), F.lit(POSITIVE)).otherwise(F.lit(NEGATIVE)),
-        )
-        .when(is_text(value) & word.isin(*POSITIVE_WORDS), F.lit(POSITIVE))
-        .when(is_text(value) & word.isin(*NEGATIVE_WORDS), F.lit(NEGATIVE))
+    word = folded(value.text)
+    # int() truncates towards zero: 1.9 counts as 1
+    is_one = (value.number >= 1) & (value.number < 2)
+    return F.when(
+        value.number.isNotNull(), F.when(is_one, F.lit(POSITIVE)).otherwise(F.lit(NEGATIVE))
+    ).when(
+        value.is_text,
+        F.when(word.isin(*POSITIVE_WORDS), F.lit(POSITIVE)).when(
+            word.isin(*NEGATIVE_WORDS), F.lit(NEGATIVE)
+        ),
     )
 
 
-def severity(value: Column, label: Column) -> Column:
+def severity(number: Column, label: Column) -> Column:
     """1, 2 or 3 for a positive label, otherwise null."""
-    number = as_integer(value)
     return F.when(
         (label == POSITIVE) & (number >= 1) & (number < 4), F.floor(number).cast("int")
     )
 
 
-def confidence(value: Column) -> Column:
-    """Cut to 0..100; null, not 100, when the value is no number."""
-    number = as_integer(value)
+def confidence(number: Column) -> Column:
+    """Cut to 0..100; null, not 100, when there is no number."""
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), number))
     return F.when(number.isNotNull(), clamped.cast("int"))
 
 
-def _is_falsy(value: Column) -> Column:
-    """Missing, null, "", zero, false, an empty list or an empty object."""
-    return (
-        value.isNull()
-        | (_kind(value) == "VOID")
-        | (is_number(value) & (as_number(value) == 0))
-        | (is_text(value) & (as_text(value) == ""))
-        | (as_text(value).isin("[]", "{}") & ~is_text(value))
-    )
-
+def reasoning(first: Value, second: Value) -> Column:
+    """The first value unless it is falsy, else the second; texts only.
 
-def reasoning(first: Column, second: Column) -> Column:
-    """The first value unless it is falsy, else the second; texts only."""
-    chosen = F.when(F.coalesce(_is_falsy(first), F.lit(True)), second).otherwise(first)
-    return F.when(is_text(chosen), as_text(chosen))
+    Falsy are a missing value, null, "", zero, false, an empty list or object.
+    """
+    falsy = (
+        first.kind.isNull()
+        | (first.kind == "VOID")
+        | (first.is_text & (first.text == ""))
+        | (first.number == 0)
+        | (~first.is_text & first.text.isin("[]", "{}"))
+    )
+    return F.when(falsy, F.when(second.is_text, second.text)).otherwise(
+        F.when(first.is_text, first.text)
+    )
