@@ -9,6 +9,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normal_two_sided(z: float) -> float:
@@ -73,11 +74,11 @@ def _over(function, *values: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return _over(normal_two_sided, z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_p(t: pd.Series, freedom: pd.Series) -> pd.Series:
     return _over(student_two_sided, t, freedom)

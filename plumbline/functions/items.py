@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.fixed_values import LINE_BREAK_PATTERN
 from plumbline.functions.answers import is_sealed, sealed
-from plumbline.functions.text import strip
+from plumbline.functions.text import clean, strip
 
 REQUIRED_KEYS = ("type", "sentence", "severity")
 
@@ -20,7 +20,7 @@ def json_items(text: Column) -> Column:
     sentence, severity, rationale>>`` in line order. Works within a row, so
     numbering the items needs no shuffle.
     """
-    stripped = F.transform(F.split(text, LINE_BREAK_PATTERN), strip)
+    stripped = F.transform(F.split(clean(text), LINE_BREAK_PATTERN), strip)
     # only an object can pass, and an object starts with a brace
     candidates = F.filter(stripped, lambda line: line.startswith("{"))
     parsed = F.transform(candidates, _parse)

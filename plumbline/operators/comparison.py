@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.distributions import normal_p, student_p
 from plumbline.operators.ordering import running_totals
+from plumbline.session import materialise
 
 
 def with_severity_error(
@@ -32,39 +33,48 @@ def measures_long(df: DataFrame, run: str, measures: list[str]) -> DataFrame:
 def descriptives(long: DataFrame) -> DataFrame:
     """Per run and measure: n, missing, mean, standard deviation, range, median.
 
-    The median is exact: it is read off running counts of the distinct values,
-    so no task holds all values of a group.
+    The rows are read once and folded to counts of distinct values, which all
+    figures are worked out from. So the median is exact, and yet no task holds
+    all values of a group.
     """
     by = ["run", "measure"]
-    moments = long.groupBy(*by).agg(
-        F.count("value").alias("n"),
-        F.count_if(F.col("value").isNull()).alias("missing"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("sd"),
+    counts = materialise(
+        long.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("_count"))
+    )
+    value, count = F.col("value"), F.col("_count")
+    n = F.coalesce(F.sum(F.when(value.isNotNull(), count)), F.lit(0))
+    # one row per run and measure
+    moments = counts.groupBy(*by).agg(
+        n.alias("n"),
+        F.coalesce(F.sum(F.when(value.isNull(), count)), F.lit(0)).alias("missing"),
+        F.try_divide(F.sum(value * count), n).alias("mean"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    counts = (
-        long.where(F.col("value").isNotNull())
-        .groupBy(*by, "value")
-        .agg(F.count(F.lit(1)).alias("_count"))
+    present = counts.where(value.isNotNull())
+    placed = running_totals(present, "value", "_count", by, "_before").join(
+        moments.select(*by, "n", "mean"), by
     )
-    placed = running_totals(counts, "value", "_count", by, "_before")
     # the values at the two middle positions, counted from 0
     low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
 
     def holds(position: Column) -> Column:
-        return (F.col("_before") <= position) & (
-            position < F.col("_before") + F.col("_count")
-        )
+        return (F.col("_before") <= position) & (position < F.col("_before") + count)
 
-    medians = (
-        placed.join(moments.select(*by, "n"), by)
-        .where(holds(low) | holds(high))
-        .groupBy(*by)
-        .agg(F.avg("value").alias("median"))
+    spread = placed.groupBy(*by).agg(
+        F.sum(count * (value - F.col("mean")) * (value - F.col("mean"))).alias("_squares"),
+        F.avg(F.when(holds(low) | holds(high), value)).alias("median"),
+    )
+    return moments.join(spread, by, "left").select(
+        *by,
+        "n",
+        "missing",
+        "mean",
+        F.sqrt(F.try_divide(F.col("_squares"), F.col("n") - 1)).alias("sd"),
+        "min",
+        "max",
+        "median",
     )
-    return moments.join(medians, by, "left")
 
 
 def paired_differences(
@@ -100,35 +110,36 @@ def paired_t(differences: DataFrame) -> DataFrame:
 
 
 def wilcoxon_signed_rank(differences: DataFrame) -> DataFrame:
-    """Wilcoxon signed-rank test per measure.
+    """Wilcoxon signed-rank test per measure: ``pairs, n, w_plus, w_minus, z, p``.
 
     Zeros are dropped, ties get their average rank, and z comes from the normal
-    approximation with tie correction and without continuity correction. Ranks
-    are worked out on one row per distinct absolute difference.
+    approximation with tie correction and without continuity correction. The
+    differences are read once and folded to one row per distinct size; ranks
+    are worked out on those.
     """
-    counts = (
-        differences.where(F.col("d") != 0)
-        .groupBy("measure", F.abs("d").alias("size"))
-        .agg(
+    counts = materialise(
+        differences.groupBy("measure", F.abs("d").alias("size")).agg(
             F.count_if(F.col("d") > 0).alias("positive"),
             F.count(F.lit(1)).alias("tied"),
         )
     )
-    tied = F.col("tied").cast("double")
-    ranked = running_totals(counts, "size", "tied", ["measure"], "smaller").withColumn(
-        "rank", F.col("smaller") + (tied + 1) / 2
+    ranked = running_totals(
+        counts.where(F.col("size") > 0), "size", "tied", ["measure"], "smaller"
     )
-    n = F.col("n").cast("double")
+    tied = F.col("tied").cast("double")
+    positive = F.col("positive").cast("double")
+    rank = F.col("smaller") + (tied + 1) / 2
     ranks = ranked.groupBy("measure").agg(
         F.sum("tied").alias("n"),
-        F.sum(F.col("positive") * F.col("rank")).alias("w_plus"),
-        F.sum((F.col("tied") - F.col("positive")) * F.col("rank")).alias("w_minus"),
+        F.sum(positive * rank).alias("w_plus"),
+        F.sum((tied - positive) * rank).alias("w_minus"),
         F.sum(tied * tied * tied - tied).alias("_ties"),
     )
+    n = F.col("n").cast("double")
     # a measure whose differences are all zero still gets its row
     return (
-        differences.groupBy("measure")
-        .agg(F.count(F.lit(1)).alias("pairs"))
+        counts.groupBy("measure")
+        .agg(F.sum("tied").alias("pairs"))
         .join(ranks, "measure", "left")
         .na.fill(0, ["n", "w_plus", "w_minus", "_ties"])
         .withColumn(

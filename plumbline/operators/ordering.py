@@ -15,16 +15,32 @@ def _boundaries(column: str, accuracy: int = 10_000):
 
 
 def running_totals(
-    counts: DataFrame, value: str, weight: str, by: list[str], name: str
+    counts: DataFrame,
+    value: str,
+    weight: str,
+    by: list[str],
+    name: str,
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Add ``name``: the total ``weight`` of the smaller values in the same ``by`` group.
 
     ``counts`` holds one row per group and distinct value, so a value that many
-    rows share is one row here. Values are cut into at most 256 ranges at
-    approximate quantiles; equal values fall into the same range, which makes
-    the totals exact whatever the quantiles are. The running sum is taken
-    within a range, plus the total of the ranges before it.
+    rows share is one row here. It is read several times; pass a materialised
+    table. A table of at most ``one_task_rows`` rows gets one window per group.
+    A larger one is cut into at most 256 value ranges at approximate quantiles,
+    and the running sum is taken within a range, plus the total of the ranges
+    before it. Equal values fall into the same range, so the totals are exact
+    whatever the quantiles are.
     """
+    if counts.count() <= one_task_rows:
+        smaller = (
+            Window.partitionBy(*by)
+            .orderBy(value)
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        return counts.withColumn(
+            name, F.coalesce(F.sum(weight).over(smaller), F.lit(0))
+        )
     bounds = counts.agg(_boundaries(value)).scalar()
     placed = (
         counts.withColumn("_bounds", bounds)
@@ -65,21 +81,22 @@ def first_rows(df: DataFrame, n: int, key: str = "id") -> DataFrame:
     if n <= ONE_TASK_ROWS:
         return df.orderBy(key).limit(n)
     keys = df.select(key).where(F.col(key).isNotNull())
-    if keys.count() <= n:
+    candidates, left = keys.count(), n
+    if candidates <= n:
         return df
-    left = n
-    while True:
+    while candidates > ONE_TASK_ROWS:
+        # at most 256 boundaries and range sizes reach the driver
         bounds = sorted(set(keys.agg(_boundaries(key)).first()[0]))
         range_number = F.size(
             F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(key))
         )
         sizes = dict(keys.groupBy(range_number.alias("r")).count().collect())
-        chosen = 0
+        chosen = min(sizes)
         while left > sizes.get(chosen, 0):
             left -= sizes.get(chosen, 0)
             chosen += 1
-        keys = keys.where(range_number == chosen)
-        if sizes[chosen] <= ONE_TASK_ROWS:
-            break
+        if sizes[chosen] == candidates:
+            raise ValueError(f"column '{key}' repeats its values; a unique key is needed")
+        keys, candidates = keys.where(range_number == chosen), sizes[chosen]
     cut = keys.orderBy(key).limit(left).agg(F.max(key)).first()[0]
     return df.where(F.col(key) <= F.lit(cut))
