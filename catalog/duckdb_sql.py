@@ -375,10 +375,28 @@ SQL: dict[str, str] = {
         f"select '{name}' as name, round({value}, 6) as value from counts"
         for name, value in _METRICS.items()
     ),
-    "metrics_report": f"""with {SCORED}, {_COUNTS}
+    "metrics_report": f"""with {SCORED}, {_COUNTS},
+      named as (
+        select case when gold is null then {_text(fixed.NO_GOLD)}
+            when gold in ({POSITIVE}, {NEGATIVE}) then gold
+            else {_text(fixed.OTHER_GOLD)} end as name,
+          count(*) filter (pred_diagnosis = {POSITIVE}) as d,
+          count(*) filter (pred_diagnosis = {NEGATIVE}) as n
+        from scored where valid group by 1),
+      lines as (
+        select 1 as part, 'pred' as name, {POSITIVE} as d, {NEGATIVE} as n
+        union all select 2, 'gold', '', ''
+        union all select case name when {POSITIVE} then 3 when {NEGATIVE} then 4
+          when {_text(fixed.OTHER_GOLD)} then 5 else 6 end, name, cast(d as varchar),
+          cast(n as varchar) from named),
+      matrix as (
+        select string_agg(rpad(name, cast((select max(length(name)) from named) as int), ' ')
+          || '  ' || lpad(d, 10, ' ') || '  ' || lpad(n, 14, ' '), chr(10) order by part) as m
+        from lines)
       select case when n_valid = 0 then {_text(fixed.NO_VALID_PREDICTIONS)}
-        else {_text(fixed.ACCURACY_LINE)} || printf('%.3f', n_correct / n_valid) end as metrics
-      from counts""",
+        else {_text(fixed.ACCURACY_LINE)} || printf('%.3f', n_correct / n_valid)
+          || {_text(fixed.MATRIX_LINE)} || m || chr(10) end as metrics
+      from counts, matrix""",
     "severity_error": f"with {measured(0, 'run')} select id, severity_error from run",
     "paired_differences": f"with {TWO_RUNS} select id, measure, d from differences",
     "descriptives": f"""with {TWO_RUNS},

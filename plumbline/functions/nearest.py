@@ -9,6 +9,7 @@ DECIMALS = 6
 # Similarities closer than this may swap when rounded.
 SLACK = 2e-6
 CHUNK_VALUES = 4_000_000
+GROUP_COLUMNS = 32
 
 
 def unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -38,6 +39,21 @@ def keep_best(rows, similarities, ids, k):
     return rows[kept], similarities[kept], ids[kept], rank[kept] + 1
 
 
+def _lower_limit(block, k):
+    """Per row a value that at least k entries reach, close to the k-th largest.
+
+    Taken from the maxima of groups of columns: the k-th largest of those is
+    reached by k entries, and finding it costs little more than one pass.
+    """
+    rows, columns = block.shape
+    if columns <= k:
+        return np.full(rows, -np.inf)
+    per_group = GROUP_COLUMNS if columns >= 4 * k * GROUP_COLUMNS else 1
+    grouped = columns // per_group * per_group
+    maxima = block[:, :grouped].reshape(rows, per_group, -1).max(axis=1)
+    return np.partition(maxima, -k, axis=1)[:, -k]
+
+
 def best_matches(queries, corpus, ids, k, floor=None):
     """The k most similar corpus rows per query row, ties by smaller id.
 
@@ -48,13 +64,11 @@ def best_matches(queries, corpus, ids, k, floor=None):
     step = max(1, CHUNK_VALUES // max(1, len(corpus)))
     for start in range(0, len(queries), step):
         block = queries[start : start + step] @ corpus.T
-        if block.shape[1] > k:
-            limit = np.partition(block, -k, axis=1)[:, -k] - SLACK
-        else:
-            limit = np.full(len(block), -np.inf)
+        limit = _lower_limit(block, k) - SLACK
         if floor is not None:
             limit = np.maximum(limit, floor[start : start + step] - SLACK)
-        rows, columns = np.nonzero(block >= limit[:, None])
+        reached = np.flatnonzero(block >= limit[:, None])
+        rows, columns = np.divmod(reached, max(1, block.shape[1]))
         similarities = np.round(block[rows, columns], DECIMALS) + 0.0
         parts.append(keep_best(rows + start, similarities, ids[columns], k))
     if not parts:
@@ -66,8 +80,3 @@ def best_matches(queries, corpus, ids, k, floor=None):
 def angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(units @ pivots.T, -1.0, 1.0))
 
-
-def spread(ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """A part number below ``parts`` for each id, by a multiplicative hash."""
-    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(33)) % parts.astype(np.uint64)).astype(np.int64)

@@ -10,8 +10,11 @@ from plumbline.fixed_values import (
     ACCURACY_LINE,
     GOLD_SPELLINGS,
     LABELS,
+    MATRIX_LINE,
     NEGATIVE,
+    NO_GOLD,
     NO_VALID_PREDICTIONS,
+    OTHER_GOLD,
     POSITIVE,
 )
 from plumbline.functions.text import folded
@@ -157,13 +160,82 @@ def confusion_matrix(
 
 
 def report(df: DataFrame, gold: str = "gold", pred: str = "pred_diagnosis") -> DataFrame:
-    """One row, one text column ``metrics``: the accuracy line, or why there is none.
+    """One row, one text column ``metrics``: accuracy line and matrix, or why not.
 
-    The matrix is ``confusion_matrix``: a table, since its rows follow the data.
+    The text has at most four matrix rows, since human labels that are neither
+    word share one; ``confusion_matrix`` is the table with a row for each.
     """
-    share = F.try_divide("n_correct", "n_valid")
-    return _summary(df, gold, pred).select(
-        F.when(F.col("n_valid") == 0, F.lit(NO_VALID_PREDICTIONS))
-        .otherwise(F.concat(F.lit(ACCURACY_LINE), F.format_string("%.3f", share)))
-        .alias("metrics")
+    p, g = folded(F.col(pred)), F.col(gold)
+    kinds = {
+        POSITIVE: g == POSITIVE,
+        NEGATIVE: g == NEGATIVE,
+        OTHER_GOLD: g.isNotNull() & ~g.isin(*LABELS),
+        NO_GOLD: g.isNull(),
+    }
+    cells = [
+        F.count_if(F.coalesce((p == label) & kind, F.lit(False))).alias(f"{name}|{label}")
+        for name, kind in kinds.items()
+        for label in LABELS
+    ]
+    rows = F.filter(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(name).alias("name"),
+                    *[F.col(f"`{name}|{label}`").alias(label) for label in LABELS],
+                )
+                for name in kinds
+            ]
+        ),
+        lambda row: (row[POSITIVE] + row[NEGATIVE]) > 0,
     )
+    total = {label: sum(F.col(f"`{name}|{label}`") for name in kinds) for label in LABELS}
+    correct = F.col(f"`{POSITIVE}|{POSITIVE}`") + F.col(f"`{NEGATIVE}|{NEGATIVE}`")
+    width = F.array_max(F.transform("rows", lambda row: F.length(row["name"])))
+
+    def line(name: Column, *values: Column) -> Column:
+        # a label nobody predicted has no column
+        parts = [
+            F.when(F.col(f"n_{label}") > 0, F.concat(F.lit("  "), _right(value, label)))
+            for label, value in zip(LABELS, values)
+        ]
+        return F.concat(F.rpad(name, F.col("width"), " "), *[F.coalesce(x, F.lit("")) for x in parts])
+
+    matrix = F.array_join(
+        F.concat(
+            F.array(
+                line(F.lit("pred"), *[F.lit(label) for label in LABELS]),
+                line(F.lit("gold"), F.lit(""), F.lit("")),
+            ),
+            F.transform(
+                "rows",
+                lambda row: line(row["name"], *[row[label].cast("string") for label in LABELS]),
+            ),
+        ),
+        "\n",
+    )
+    share = F.format_string("%.3f", F.try_divide("n_correct", "n_valid"))
+    return (
+        df.agg(*cells)
+        .select(
+            rows.alias("rows"),
+            correct.alias("n_correct"),
+            *[total[label].alias(f"n_{label}") for label in LABELS],
+        )
+        .withColumn("n_valid", sum(F.col(f"n_{label}") for label in LABELS))
+        .withColumn("width", width)
+        .select(
+            F.when(F.col("n_valid") == 0, F.lit(NO_VALID_PREDICTIONS))
+            .otherwise(
+                F.concat(
+                    F.lit(ACCURACY_LINE), share, F.lit(MATRIX_LINE), matrix, F.lit("\n")
+                )
+            )
+            .alias("metrics")
+        )
+    )
+
+
+def _right(value: Column, label: str) -> Column:
+    """Right-aligned under the label's heading, wider if the number needs it."""
+    return F.lpad(value, F.greatest(F.lit(len(label)), F.length(value)), " ")

@@ -30,7 +30,6 @@ from plumbline.functions.nearest import (
     angles,
     best_matches,
     keep_best,
-    spread,
     unit_rows,
 )
 from plumbline.session import materialise
@@ -57,7 +56,8 @@ def knn_join(
     Both inputs have ``id BIGINT`` and ``embedding ARRAY<FLOAT>``; rows without
     an embedding take no part. Similarity is rounded to six digits, then ties go
     to the smaller id. A query equal to a corpus row finds that row. A corpus of
-    fewer than k rows gives all of them.
+    fewer than k rows gives all of them. The inputs are read more than once, some
+    of it before this returns; pass stored vectors, not a model yet to be run.
     """
     queries = _vectors(queries)
     corpus = _vectors(corpus)
@@ -68,7 +68,7 @@ def knn_join(
     if n_queries * length <= broadcast_values:
         return _for_few_queries(queries, corpus, k)
     rows_per_block = max(k, block_values // length)
-    return _by_blocks(queries, corpus, k, n_corpus, length, rows_per_block)
+    return _by_blocks(queries, corpus, k, length, rows_per_block)
 
 
 def retrieve_context(
@@ -184,49 +184,68 @@ def _top(matches: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _without_surplus_copies(corpus: DataFrame, k: int) -> DataFrame:
+    """Of equal vectors keep the k smallest ids; no other can be among k matches.
+
+    Each map task hands on at most k rows per vector, so a vector that makes up a
+    third of the corpus is a handful of rows at the shuffle. The hash leads the
+    key to make the sort cheap; the vector itself decides.
+    """
+    copies = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("id")
+    return (
+        corpus.withColumn("_copy", F.row_number().over(copies))
+        .where(F.col("_copy") <= k)
+        .drop("_copy")
+    )
+
+
 def _by_blocks(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    n_corpus: int,
-    length: int,
-    rows_per_block: int,
+    queries: DataFrame, corpus: DataFrame, k: int, length: int, rows_per_block: int
 ) -> DataFrame:
-    context = queries.sparkSession.sparkContext
+    spark = queries.sparkSession
 
     # Any corpus rows will do as pivots, since they only steer the search.
-    n_pivots = min(
-        MAX_PIVOTS, max(1, BROADCAST_VALUES // length), math.ceil(n_corpus / rows_per_block)
-    )
+    n_pivots = min(MAX_PIVOTS, max(1, BROADCAST_VALUES // length))
+    n_pivots = min(n_pivots, math.ceil(corpus.count() / rows_per_block))
     chosen = corpus.orderBy(F.xxhash64("id"), "id").limit(n_pivots).toArrow()
-    pivots = context.broadcast(np.unique(unit_rows(chosen["embedding"]), axis=0))
-
-    # One row per pivot comes back: how many corpus rows are nearest to it, and
-    # how near and far they are.
-    cells = (
-        corpus.mapInArrow(_to_cells(pivots), "cell int, angle double")
-        .groupBy("cell")
-        .agg(F.count(F.lit(1)), F.min("angle"), F.max("angle"))
-        .collect()
+    pivots = spark.sparkContext.broadcast(
+        np.unique(unit_rows(chosen["embedding"]), axis=0)
     )
     count = len(pivots.value)
-    nearest, farthest = np.full(count, np.inf), np.full(count, -np.inf)
-    blocks_of = np.ones(count, dtype=np.int64)
-    for cell, rows, low, high in cells:
-        # a cell of many rows, copies of one vector say, is cut by id
-        blocks_of[cell] = math.ceil(rows / rows_per_block)
-        nearest[cell], farthest[cell] = low, high
-    first_block = np.concatenate([[0], np.cumsum(blocks_of)])
-    layout = context.broadcast((blocks_of, first_block, nearest, farthest))
-    few_blocks = first_block[-1] <= MAX_BROADCAST_BLOCKS
-
-    corpus_blocks = corpus.mapInArrow(
-        _to_home(pivots, layout), "id bigint, embedding array<float>, block int"
+
+    placed = "id bigint, embedding array<float>, cell int, angle double"
+    corpus = materialise(
+        _without_surplus_copies(corpus, k).mapInArrow(_to_cells(pivots), placed)
     )
+    queries = queries.mapInArrow(_to_cells(pivots), placed)
 
-    home = queries.mapInArrow(
-        _to_home(pivots, layout), "id bigint, embedding array<float>, block int"
-    ).withColumn("bound", F.lit(-2.0))
+    # One row per pivot: how many corpus rows are nearest to it, from what angle
+    # to what angle. A cell of many rows is cut into blocks by id.
+    rows, nearest, farthest = np.zeros(count), np.full(count, np.inf), np.full(count, -np.inf)
+    measured = corpus.groupBy("cell").agg(
+        F.count(F.lit(1)), F.min("angle"), F.max("angle")
+    )
+    for cell, *measures in measured.collect():
+        rows[cell], nearest[cell], farthest[cell] = measures
+    blocks = np.maximum(1, np.ceil(rows / rows_per_block)).astype(int)
+    starts = np.concatenate([[0], np.cumsum(blocks)])
+    layout = spark.sparkContext.broadcast((starts, nearest, farthest))
+    cells = F.broadcast(
+        spark.createDataFrame(
+            [(c, int(starts[c]), int(blocks[c])) for c in range(count)],
+            "cell int, start int, blocks int",
+        )
+    )
+    few_blocks = starts[-1] <= MAX_BROADCAST_BLOCKS
+
+    def in_blocks(df: DataFrame) -> DataFrame:
+        part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        return df.join(cells, "cell").select(
+            "id", "embedding", (F.col("start") + part).alias("block")
+        )
+
+    corpus_blocks = in_blocks(corpus)
+    home = materialise(in_blocks(queries)).withColumn("bound", F.lit(-2.0))
     first = materialise(
         _search(
             home, corpus_blocks, rows_per_block, few_blocks, _search_home(k),
@@ -259,42 +278,25 @@ def _chunks(units: np.ndarray, pivots: np.ndarray) -> Iterator[tuple[int, np.nda
         yield start, angles(units[start : start + step], pivots)
 
 
-def _nearest_cell(batch: pa.RecordBatch, pivots: np.ndarray):
-    cell, angle = [], []
-    for _, to_pivots in _chunks(unit_rows(batch["embedding"]), pivots):
-        cell.append(to_pivots.argmin(axis=1))
-        angle.append(to_pivots.min(axis=1))
-    return np.concatenate(cell), np.concatenate(angle)
-
-
 def _to_cells(pivots):
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                cell, angle = _nearest_cell(batch, pivots.value)
-                yield pa.record_batch(
-                    {"cell": pa.array(cell, pa.int32()), "angle": pa.array(angle)}
-                )
-
-    return run
-
-
-def _to_home(pivots, layout):
-    """Rows with the block of their nearest pivot."""
+    """Rows with the number of their nearest pivot and the angle to it."""
 
     def run(batches):
-        blocks_of, first_block, _, _ = layout.value
         for batch in batches:
-            if batch.num_rows:
-                cell, _ = _nearest_cell(batch, pivots.value)
-                part = spread(batch["id"].to_numpy(), blocks_of[cell])
-                yield pa.record_batch(
-                    {
-                        "id": batch["id"],
-                        "embedding": batch["embedding"],
-                        "block": pa.array(first_block[cell] + part, pa.int32()),
-                    }
-                )
+            if not batch.num_rows:
+                continue
+            cell, angle = [], []
+            for _, to_pivots in _chunks(unit_rows(batch["embedding"]), pivots.value):
+                cell.append(to_pivots.argmin(axis=1))
+                angle.append(to_pivots.min(axis=1))
+            yield pa.record_batch(
+                {
+                    "id": batch["id"],
+                    "embedding": batch["embedding"],
+                    "cell": pa.array(np.concatenate(cell), pa.int32()),
+                    "angle": pa.array(np.concatenate(angle)),
+                }
+            )
 
     return run
 
@@ -307,10 +309,9 @@ def _to_visits(pivots, layout):
     """
 
     def run(batches):
-        blocks_of, first_block, nearest, farthest = layout.value
+        starts, nearest, farthest = layout.value
         members = [
-            np.arange(first_block[c], first_block[c + 1], dtype=np.int32)
-            for c in range(len(blocks_of))
+            np.arange(start, end, dtype=np.int32) for start, end in zip(starts, starts[1:])
         ]
         for batch in batches:
             if not batch.num_rows:

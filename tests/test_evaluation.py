@@ -69,7 +69,19 @@ def test_row_correctness_is_never_null(spark):
 
 
 def test_report(spark):
-    assert E.report(_frame(spark, ROWS)).first().metrics.endswith("0.429")
+    assert E.report(_frame(spark, ROWS)).first().metrics == (
+        "Accuracy (valid rows only): 0.429\n\nConfusion matrix:\n"
+        "pred            delusional  non-delusional\n"
+        "gold                                      \n"
+        "delusional               2               1\n"
+        "non-delusional           1               1\n"
+        "(other label)            0               1\n"
+        "(no label)               1               0\n"
+    )
+    one = _frame(spark, [(1, P, P), (2, P, P)])
+    assert E.report(one).first().metrics.endswith(
+        ":\npred        delusional\ngold                  \ndelusional           2\n"
+    )
     none = _frame(spark, [(1, P, None)])
     assert E.report(none).first().metrics == NO_VALID_PREDICTIONS
     assert E.accuracy(none).first().accuracy is None
