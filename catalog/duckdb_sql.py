@@ -306,6 +306,9 @@ SQL: dict[str, str] = {
     "rag_context": f"""with {CONTEXTS}
       select query_id, cast(length(context) as int) as n_chars, md5(context) as context_md5
       from contexts""",
+    "rag_context_by_blocks": f"""with {CONTEXTS}
+      select query_id, cast(length(context) as int) as n_chars, md5(context) as context_md5
+      from contexts""",
     "rag_prompt_md5": f"""with {CONTEXTS}
       select id, md5({RETRIEVAL}) as prompt_md5
       from sentences left join contexts on query_id = id""",

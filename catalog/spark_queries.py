@@ -21,7 +21,7 @@ from plumbline.operators.embedding import (
 from plumbline.operators.json_lines import append_datasets, explode_items
 from plumbline.operators.prompts import baseline_prompt, generation_prompts, retrieval_prompt
 from plumbline.operators.responses import normalize_predictions
-from plumbline.operators.retrieval import knn_join, retrieve_context
+from plumbline.operators.retrieval import knn_join, retrieve_context, with_context
 from plumbline.operators.scoring import embed
 from plumbline.plans.classification import classify
 from plumbline.plans.generation import dataset
@@ -133,11 +133,22 @@ def rag_context(spark, folder):
     )
 
 
+def rag_context_by_blocks(spark, folder):
+    """The same contexts when neither side may be sent to every executor."""
+    sentences = _sentences(spark, folder)
+    return retrieve_context(
+        sentences, sentences, broadcast_values=0, block_values=64 * 256
+    ).select(
+        "query_id",
+        F.length("context").alias("n_chars"),
+        F.md5("context").alias("context_md5"),
+    )
+
+
 def rag_prompt_md5(spark, folder):
     sentences = _sentences(spark, folder)
-    context = retrieve_context(sentences, sentences).withColumnRenamed("query_id", "id")
     prompt = retrieval_prompt(F.col("sentence"), F.col("context"))
-    return sentences.join(context, "id", "left").select(
+    return with_context(sentences, sentences).select(
         "id", F.md5(prompt).alias("prompt_md5")
     )
 
@@ -389,6 +400,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         knn_top3_by_blocks,
         l2_normalized,
         rag_context,
+        rag_context_by_blocks,
         rag_prompt_md5,
         baseline_prompt_md5,
         prompt_grid,

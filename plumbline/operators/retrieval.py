@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.fixed_values import CONTEXT_SEPARATOR, TOP_K
 from plumbline.functions.nearest import (
@@ -32,10 +33,15 @@ from plumbline.functions.nearest import (
     keep_best,
     unit_rows,
 )
+from plumbline.functions.text import clean
 from plumbline.session import materialise
 
 # Vector values (rows x length) one side may have to be sent to every executor.
 BROADCAST_VALUES = 8_000_000
+# Vector values of the corpus piece that gives the few-queries path its floor.
+SAMPLE_VALUES = 1_000_000
+# Bytes of corpus text that may go along.
+BROADCAST_BYTES = 64 * 1024 * 1024
 # Vector values in one block of the pivot path.
 BLOCK_VALUES = 4_000_000
 MAX_PIVOTS = 4096
@@ -59,34 +65,90 @@ def knn_join(
     fewer than k rows gives all of them. The inputs are read more than once, some
     of it before this returns; pass stored vectors, not a model yet to be run.
     """
-    queries = _vectors(queries)
-    corpus = _vectors(corpus)
     n_corpus, length = _size(corpus)
+    n_queries = queries.count()
+    queries, corpus = _vectors(queries), _vectors(corpus)
     if n_corpus * length <= broadcast_values:
         return _against_small_corpus(queries, corpus, k)
-    n_queries, _ = _size(queries)
     if n_queries * length <= broadcast_values:
-        return _for_few_queries(queries, corpus, k)
+        return _for_few_queries(queries, corpus, k, max(k, SAMPLE_VALUES // length))
     rows_per_block = max(k, block_values // length)
-    return _by_blocks(queries, corpus, k, length, rows_per_block)
+    return _by_blocks(queries, corpus, k, n_corpus, length, rows_per_block)
 
 
-def retrieve_context(
-    queries: DataFrame,
+def with_context(
+    df: DataFrame,
     corpus: DataFrame,
     k: int = TOP_K,
     text: str = "sentence",
     separator: str = CONTEXT_SEPARATOR,
-    **search,
+    broadcast_values: int = BROADCAST_VALUES,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    block_values: int = BLOCK_VALUES,
+    embedding: str = "embedding",
 ) -> DataFrame:
-    """``(query_id, context)``: texts of the nearest corpus rows in rank order.
+    """Add ``context``: texts of the corpus rows nearest to ``embedding``, in rank order.
 
-    A corpus row that is near to very many queries is a hot key of the text
-    lookup; AQE splits its partition, since the lookup side has one row per key.
+    Null where a row has no embedding. With a corpus whose vectors and texts are
+    both of checked size, the context is worked out inside each row's task: no
+    shuffle, no join. Otherwise it comes from ``knn_join``, a lookup of the texts
+    and a join by ``id``. A corpus row near to very many queries is a hot key of
+    that lookup; AQE splits its partition, since the other side has unique keys.
     """
-    matches = knn_join(queries, corpus, k, **search)
-    texts = corpus.select(F.col("id").alias("corpus_id"), F.col(text).alias("_text"))
-    return context_of(matches.join(texts, "corpus_id"), "_text", separator)
+    known = corpus.where(F.col("embedding").isNotNull()).select(
+        F.col("id"), "embedding", clean(F.col(text)).alias("_text")
+    )
+    rows, length = _size(known)
+    if rows * length <= max(broadcast_values, 0):
+        size = known.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+        if size <= broadcast_bytes:
+            return df.withColumn(
+                "context", _context_from_shared(known, k, separator)(F.col(embedding))
+            )
+    queries = df.select("id", F.col(embedding).alias("embedding"))
+    matches = knn_join(queries, known, k, broadcast_values, block_values)
+    texts = known.select(F.col("id").alias("corpus_id"), "_text")
+    context = context_of(matches.join(texts, "corpus_id"), "_text", separator)
+    return df.join(context.withColumnRenamed("query_id", "id"), "id", "left")
+
+
+def retrieve_context(
+    queries: DataFrame, corpus: DataFrame, k: int = TOP_K, text: str = "sentence", **search
+) -> DataFrame:
+    """``(query_id, context)`` of the queries that have an embedding."""
+    return (
+        with_context(queries.select("id", "embedding"), corpus, k, text, **search)
+        .where(F.col("context").isNotNull())
+        .select(F.col("id").alias("query_id"), "context")
+    )
+
+
+def _context_from_shared(known: DataFrame, k: int, separator: str):
+    """A function of the embedding column that has the corpus at hand."""
+    table = known.orderBy("id").toArrow()
+    content = (unit_rows(table["embedding"]), table["_text"].to_pylist())
+    shared = known.sparkSession.sparkContext.broadcast(content)
+
+    def contexts(column: pa.Array) -> pa.Array:
+        units, texts = shared.value
+        asked = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        found: list[str | None] = [None] * len(column)
+        if len(asked) and len(texts):
+            # positions stand for the ids they are ordered by
+            rows, _, positions, _ = best_matches(
+                unit_rows(column.drop_null()), units, np.arange(len(texts)), k
+            )
+            cuts = np.searchsorted(rows, np.arange(1, len(asked)))
+            for row, best in zip(asked, np.split(positions, cuts)):
+                found[row] = separator.join(texts[position] for position in best)
+        return pa.array(found, pa.string())
+
+    @F.arrow_udf(T.StringType())
+    def lookup(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield contexts(column)
+
+    return lookup
 
 
 def context_of(
@@ -107,14 +169,17 @@ def _vectors(df: DataFrame) -> DataFrame:
 
 
 def _size(df: DataFrame) -> tuple[int, int]:
-    rows, length = df.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    return rows, length or 1
+    """Rows, those without a vector included, and the length of a vector.
+
+    Neither needs the vectors read: the count comes from file footers where
+    ``df`` is a plain scan, and the length from the first row that has one.
+    """
+    first = df.where(F.col("embedding").isNotNull()).select(F.size("embedding")).first()
+    return df.count(), max(1, first[0]) if first else 1
 
 
-def _sorted_block(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = table["id"].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    return ids[order], unit_rows(table["embedding"])[order]
+def _block(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return table["id"].to_numpy(), unit_rows(table["embedding"])
 
 
 def _match_batch(query_ids, similarities, corpus_ids, ranks) -> pa.RecordBatch:
@@ -131,7 +196,7 @@ def _match_batch(query_ids, similarities, corpus_ids, ranks) -> pa.RecordBatch:
 def _against_small_corpus(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """Corpus of checked size on every executor; one pass, no shuffle."""
     context = queries.sparkSession.sparkContext
-    shared = context.broadcast(_sorted_block(corpus.toArrow()))
+    shared = context.broadcast(_block(corpus.toArrow()))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, units = shared.value
@@ -149,20 +214,32 @@ def _against_small_corpus(queries: DataFrame, corpus: DataFrame, k: int) -> Data
     return queries.mapInArrow(search, _MATCHES)
 
 
-def _for_few_queries(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Queries of checked size on every executor; each task keeps k per query."""
+def _for_few_queries(
+    queries: DataFrame, corpus: DataFrame, k: int, sample_rows: int
+) -> DataFrame:
+    """Queries of checked size on every executor; each task keeps k per query.
+
+    A bounded piece of the corpus is searched first. The k-th similarity found
+    there is a floor under the final one, and tasks pass on only what reaches it.
+    """
     context = queries.sparkSession.sparkContext
-    shared = context.broadcast(_sorted_block(queries.toArrow()))
+    ids, units = _block(queries.orderBy("id").toArrow())
+    floor = np.full(len(ids), -np.inf)
+    sampled = _against_small_corpus(queries, corpus.limit(sample_rows), k)
+    reached = sampled.where(F.col("rank") == k).select("query_id", "similarity").toArrow()
+    floor[np.searchsorted(ids, reached["query_id"].to_numpy())] = reached[
+        "similarity"
+    ].to_numpy()
+    shared = context.broadcast((ids, units, floor))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, units = shared.value
+        query_ids, units, floor = shared.value
         best = None
         for batch in batches:
             if not batch.num_rows or not len(query_ids):
                 continue
-            rows, similarities, found, _ = best_matches(
-                units, unit_rows(batch["embedding"]), batch["id"].to_numpy(), k
-            )
+            ids, block = _block(batch)
+            rows, similarities, found, _ = best_matches(units, block, ids, k, floor)
             if best is not None:
                 rows = np.concatenate([best[0], rows])
                 similarities = np.concatenate([best[1], similarities])
@@ -200,13 +277,18 @@ def _without_surplus_copies(corpus: DataFrame, k: int) -> DataFrame:
 
 
 def _by_blocks(
-    queries: DataFrame, corpus: DataFrame, k: int, length: int, rows_per_block: int
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    n_corpus: int,
+    length: int,
+    rows_per_block: int,
 ) -> DataFrame:
     spark = queries.sparkSession
 
     # Any corpus rows will do as pivots, since they only steer the search.
     n_pivots = min(MAX_PIVOTS, max(1, BROADCAST_VALUES // length))
-    n_pivots = min(n_pivots, math.ceil(corpus.count() / rows_per_block))
+    n_pivots = min(n_pivots, math.ceil(n_corpus / rows_per_block))
     chosen = corpus.orderBy(F.xxhash64("id"), "id").limit(n_pivots).toArrow()
     pivots = spark.sparkContext.broadcast(
         np.unique(unit_rows(chosen["embedding"]), axis=0)
@@ -379,7 +461,7 @@ def _search_home(k):
         similar_by_row = [np.empty(0)] * queries
         bound = np.full(queries, -2.0)
         if queries and right.num_rows:
-            ids, units = _sorted_block(right)
+            ids, units = _block(right)
             rows, similarities, found, ranks = best_matches(
                 unit_rows(left["embedding"]), units, ids, k
             )
@@ -405,7 +487,7 @@ def _search_bounded(k):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _match_batch_table([], [], [], [])
-        ids, units = _sorted_block(right)
+        ids, units = _block(right)
         rows, similarities, found, ranks = best_matches(
             unit_rows(left["embedding"]), units, ids, k, left["bound"].to_numpy()
         )

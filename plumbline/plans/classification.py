@@ -12,7 +12,7 @@ from plumbline.functions.text import is_blank
 from plumbline.operators import evaluation
 from plumbline.operators.prompts import baseline_prompt, retrieval_prompt
 from plumbline.operators.responses import PREDICTION_COLUMNS, normalize_predictions
-from plumbline.operators.retrieval import retrieve_context
+from plumbline.operators.retrieval import with_context
 from plumbline.operators.scoring import ScoreFunction, score
 from plumbline.sources.tables import first_present, require_column, write_tables
 
@@ -34,14 +34,17 @@ def with_prompts(
     if corpus is None:
         prompt = baseline_prompt(F.col(text))
         return test.withColumn("prompt", F.when(~is_blank(F.col(text)), prompt))
-    require_column(corpus, text, "corpus")
-    queries = test.where(~is_blank(F.col(text))).select("id", "embedding")
-    context = retrieve_context(queries, corpus, k, text, **search)
+    for column in (text, "embedding"):
+        require_column(corpus, column, "corpus")
+    require_column(test, "embedding", "test table")
+    blank = is_blank(F.col(text))
+    # a blank row has nothing to find neighbours for
+    asking = test.withColumn("_asking", F.when(~blank, F.col("embedding")))
     prompt = retrieval_prompt(F.col(text), F.col("context"))
     return (
-        test.join(context.withColumnRenamed("query_id", "id"), "id", "left")
-        .withColumn("prompt", F.when(~is_blank(F.col(text)), prompt))
-        .drop("context")
+        with_context(asking, corpus, k, text, embedding="_asking", **search)
+        .withColumn("prompt", F.when(~blank, prompt))
+        .drop("context", "_asking")
     )
 
 
@@ -55,6 +58,17 @@ def with_predictions(
     )
 
 
+def from_responses(
+    test: DataFrame, responses: DataFrame, text: str = TEXT_COLUMN, key: str = "id"
+) -> DataFrame:
+    """The test table with predictions read off a ready table of answers.
+
+    ``responses`` has ``key`` and ``response``, one row per key.
+    """
+    answers = responses.select(key, "response")
+    return with_predictions(evaluation.attach_predictions(test, answers, key), text)
+
+
 def classify(
     test: DataFrame,
     score_fn: ScoreFunction,
@@ -120,24 +134,21 @@ def run(
     spark = test.sparkSession
     prompts = with_prompts(test, corpus, k, text, **search)
     answered = score(prompts, score_fn, "prompt", "response", batch_size, parallelism)
-    write_tables(folder, responses=answered.select("id", "response"))
+    write_tables(folder, responses=answered.drop("prompt"))
 
+    # the answers keep their test row beside them, so nothing has to be joined
     responses = spark.read.parquet(f"{folder}/responses")
-    predictions = with_predictions(evaluation.attach_predictions(test, responses), text)
-    results = evaluate(predictions)
+    results = evaluate(with_predictions(responses, text))
     write_tables(folder, predictions=results.predictions)
+    predictions = spark.read.parquet(f"{folder}/predictions")
     if results.metrics is None:
-        return Results(spark.read.parquet(f"{folder}/predictions"), None, None, None)
-    scored = evaluate(spark.read.parquet(f"{folder}/predictions").drop("pred_correct"))
+        return Results(predictions, None, None, None)
+    scored = evaluate(predictions.drop("pred_correct"))
     write_tables(
         folder, metrics=scored.metrics, confusion=scored.confusion, report=scored.report
     )
-    return Results(
-        *[
-            spark.read.parquet(f"{folder}/{name}")
-            for name in ("predictions", "metrics", "confusion", "report")
-        ]
-    )
+    names = ("metrics", "confusion", "report")
+    return Results(predictions, *[spark.read.parquet(f"{folder}/{n}") for n in names])
 
 
 __all__ = [
@@ -145,6 +156,7 @@ __all__ = [
     "Results",
     "classify",
     "evaluate",
+    "from_responses",
     "run",
     "with_predictions",
     "with_prompts",

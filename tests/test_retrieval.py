@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.vectors import dot, l2_normalize
 from plumbline.operators import retrieval as R
-from plumbline.operators.retrieval import context_of, knn_join, retrieve_context
+from plumbline.operators.retrieval import context_of, knn_join, retrieve_context, with_context
 
 SCHEMA = "id long, embedding array<float>"
 
@@ -53,8 +53,11 @@ PATHS = {
 }
 
 
-@pytest.mark.parametrize("path", PATHS)
-@pytest.mark.parametrize("k", [1, 3])
+@pytest.mark.parametrize(
+    "path, k",
+    [("small corpus", 1), ("small corpus", 3), ("blocks", 3), ("blocks of k rows", 1),
+     ("one block", 3)],
+)
 def test_paths_equal_brute_force(spark, path, k):
     corpus, queries = _clustered(1, 120), _clustered(2, 50)
     found = knn_join(_frame(spark, queries, 1000), _frame(spark, corpus), k, **PATHS[path])
@@ -76,7 +79,7 @@ def test_unclustered_vectors_by_blocks(spark):
     assert _rows(found) == _brute(queries, corpus, 3)
 
 
-@pytest.mark.parametrize("path", PATHS)
+@pytest.mark.parametrize("path", ["small corpus", "blocks"])
 def test_corpus_smaller_than_k(spark, path):
     corpus, queries = [[1.0] * 8, [0.0] * 8], [[2.0] * 8, [-1.0] * 8, [0.0] * 8]
     found = knn_join(_frame(spark, queries), _frame(spark, corpus), 3, **PATHS[path])
@@ -133,13 +136,38 @@ def test_context_is_in_rank_order(spark):
     assert context_of(matches, "t", "|").first().context == "a|b||d"
 
 
-def test_context_finds_its_own_text(spark):
-    df = spark.createDataFrame(
-        [(i, f"t{i}", [float(i == j) for j in range(5)]) for i in range(5)],
+SEARCHES = [{}, {"broadcast_bytes": 0}, {"broadcast_values": 0, "block_values": 16}]
+
+
+@pytest.mark.parametrize("search", SEARCHES)
+def test_context_by_every_path(spark, search):
+    corpus = spark.createDataFrame(
+        [(10 + i, f"t{i}" if i else None, [1.0, i / 4]) for i in range(8)]
+        + [(50, "no vector", None)],
         "id long, sentence string, embedding array<float>",
     )
-    contexts = {r.query_id: r.context for r in retrieve_context(df, df, 1).collect()}
-    assert contexts == {i: f"t{i}" for i in range(5)}
+    queries = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.75]), (4, None)], SCHEMA
+    )
+    contexts = {
+        r.query_id: r.context
+        for r in retrieve_context(queries, corpus, 3, separator="|", **search).collect()
+    }
+    assert contexts == {1: "|t1|t2", 2: "t7|t6|t5", 3: "t3|t4|t2"}
+
+
+def test_context_of_an_empty_corpus(spark):
+    corpus = spark.createDataFrame([], "id long, sentence string, embedding array<float>")
+    frame = _frame(spark, [[1.0, 2.0]])
+    assert with_context(frame, corpus).first().context is None
+
+
+def test_context_from_a_small_corpus_needs_no_shuffle(spark, plan):
+    corpus = spark.createDataFrame(
+        [(1, "a", [1.0, 2.0])], "id long, sentence string, embedding array<float>"
+    )
+    one = spark.createDataFrame([(1, [1.0, 2.0])], SCHEMA)
+    assert "Exchange" not in plan(with_context(one, corpus))
 
 
 def test_small_corpus_needs_no_shuffle_of_queries(spark, plan):

@@ -182,6 +182,17 @@ def test_baseline_run_asks_once_per_row(spark, test_table, tmp_path):
     }
 
 
+def test_ready_answers(spark, test_table):
+    answers = spark.createDataFrame(
+        [(1, '{"diagnosis": 1, "severity": 2, "confidence": 70}'), (3, "no idea")],
+        "id long, response string",
+    )
+    got = classification.evaluate(classification.from_responses(test_table, answers))
+    assert _results(got.predictions) == EXPECTED | {
+        2: (None, None, None, None, False), 3: (None, None, None, None, False),
+    }
+
+
 def test_retrieval_run(spark, test_table, tmp_path):
     with_vectors = embed(test_table, letters)
     prompts = {
