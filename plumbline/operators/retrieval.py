@@ -354,8 +354,11 @@ def _by_blocks(
     return _top(at_home.unionByName(rest), k)
 
 
-def _chunks(units: np.ndarray, pivots: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    step = max(1, CHUNK_VALUES // len(pivots))
+def _chunks(
+    units: np.ndarray, pivots: np.ndarray, per_row: int = 1
+) -> Iterator[tuple[int, np.ndarray]]:
+    """Angles to the pivots for a few rows at a time; ``per_row`` values are made of each."""
+    step = max(1, CHUNK_VALUES // max(len(pivots), per_row))
     for start in range(0, len(units), step):
         yield start, angles(units[start : start + step], pivots)
 
@@ -401,22 +404,24 @@ def _to_visits(pivots, layout):
             bound = batch["bound"].to_numpy()
             reach = np.arccos(np.clip(bound - SLACK, -1.0, 1.0)) + 1e-6
             searched = batch["block"].to_numpy()
-            lists = []
-            for start, to_pivots in _chunks(unit_rows(batch["embedding"]), pivots.value):
+            units = unit_rows(batch["embedding"])
+            for start, to_pivots in _chunks(units, pivots.value, int(starts[-1])):
                 least = np.maximum(to_pivots - farthest, nearest - to_pivots)
                 possible = least <= reach[start : start + len(least), None]
+                lists = []
                 for row, cells in enumerate(possible, start):
                     picked = [members[c] for c in np.flatnonzero(cells)]
                     blocks = np.concatenate(picked) if picked else np.empty(0, np.int32)
                     lists.append(blocks[blocks != searched[row]])
-            yield pa.record_batch(
-                {
-                    "id": batch["id"],
-                    "embedding": batch["embedding"],
-                    "bound": batch["bound"],
-                    "blocks": pa.array(lists, pa.list_(pa.int32())),
-                }
-            )
+                part = batch.slice(start, len(lists))
+                yield pa.record_batch(
+                    {
+                        "id": part["id"],
+                        "embedding": part["embedding"],
+                        "bound": part["bound"],
+                        "blocks": pa.array(lists, pa.list_(pa.int32())),
+                    }
+                )
 
     return run
 

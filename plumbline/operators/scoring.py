@@ -20,18 +20,19 @@ def _apply_in_batches(function: Callable[[list], list], batch_size: int):
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in batches:
-            result = pd.Series([None] * len(series), dtype=object)
-            wanted = series[series.notna()]
-            for start in range(0, len(wanted), batch_size):
-                piece = wanted.iloc[start : start + batch_size]
-                outputs = list(function(piece.tolist()))
+            values = series.tolist()
+            asked = [i for i, present in enumerate(series.notna()) if present]
+            results: list = [None] * len(values)
+            for start in range(0, len(asked), batch_size):
+                piece = asked[start : start + batch_size]
+                outputs = list(function([values[i] for i in piece]))
                 if len(outputs) != len(piece):
                     raise ValueError(
                         f"model function gave {len(outputs)} results for {len(piece)} inputs"
                     )
-                for index, output in zip(piece.index, outputs):
-                    result.iat[index] = output
-            yield result
+                for i, output in zip(piece, outputs):
+                    results[i] = output
+            yield pd.Series(results, dtype=object)
 
     return run
 
