@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.fixed_values import EMBED_BATCH
+from plumbline.operators.lookup import HOT_ROWS, lookup
 from plumbline.operators.scoring import EmbedFunction, embed
 
 
@@ -51,13 +52,18 @@ def refresh_embeddings(
 
 
 def attach_embeddings(
-    texts: DataFrame, stored: DataFrame, model: str, text: str = "sentence"
+    texts: DataFrame,
+    stored: DataFrame,
+    model: str,
+    text: str = "sentence",
+    row_id: str = "id",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``texts`` with the stored vector of each row's text (null when absent).
 
-    Rows of one text share a key. AQE splits the partition such a key fills;
-    the store holds one row per key, so no group of pairs builds up.
+    The store has one row per key. Rows of a very frequent text are dealt out to
+    several tasks.
     """
     keyed = texts.withColumn("_key", embedding_key(F.col(text), model))
     vectors = stored.select(F.col("key").alias("_key"), "embedding")
-    return keyed.join(vectors, "_key", "left").drop("_key")
+    return lookup(keyed, vectors, "_key", row_id, "left", hot_rows).drop("_key")

@@ -34,6 +34,7 @@ from plumbline.functions.nearest import (
     unit_rows,
 )
 from plumbline.functions.text import clean
+from plumbline.operators.lookup import HOT_ROWS, lookup
 from plumbline.session import materialise
 
 # Vector values (rows x length) one side may have to be sent to every executor.
@@ -86,6 +87,7 @@ def with_context(
     broadcast_bytes: int = BROADCAST_BYTES,
     block_values: int = BLOCK_VALUES,
     embedding: str = "embedding",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``context``: texts of the corpus rows nearest to ``embedding``, in rank order.
 
@@ -93,7 +95,7 @@ def with_context(
     both of checked size, the context is worked out inside each row's task: no
     shuffle, no join. Otherwise it comes from ``knn_join``, a lookup of the texts
     and a join by ``id``. A corpus row near to very many queries is a hot key of
-    that lookup; AQE splits its partition, since the other side has unique keys.
+    that lookup, which deals its rows out to several tasks.
     """
     known = corpus.where(F.col("embedding").isNotNull()).select(
         F.col("id"), "embedding", clean(F.col(text)).alias("_text")
@@ -106,9 +108,10 @@ def with_context(
                 "context", _context_from_shared(known, k, separator)(F.col(embedding))
             )
     queries = df.select("id", F.col(embedding).alias("embedding"))
-    matches = knn_join(queries, known, k, broadcast_values, block_values)
-    texts = known.select(F.col("id").alias("corpus_id"), "_text")
-    context = context_of(matches.join(texts, "corpus_id"), "_text", separator)
+    matches = materialise(knn_join(queries, known, k, broadcast_values, block_values))
+    texts = known.select(F.col("id").cast("bigint").alias("corpus_id"), "_text")
+    found = lookup(matches, texts, "corpus_id", "query_id", "inner", hot_rows)
+    context = context_of(found, "_text", separator)
     return df.join(context.withColumnRenamed("query_id", "id"), "id", "left")
 
 
