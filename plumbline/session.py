@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,23 +37,50 @@ def keep_last_duplicate_key(df: DataFrame) -> None:
         spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` to the cluster's shared folder and return the result.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that every executor can reach.
 
-    Used where a result that took a shuffle or a Python stage feeds several
-    later steps. The folder is the one named in ``spark.checkpoint.dir``; a
-    temporary one is made only in local mode, where driver and executors are
-    the same machine.
+    The one that ``spark.checkpoint.dir`` names. A temporary one is made only in local
+    mode, where driver and executors are the same machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError(
-                    "set spark.checkpoint.dir to a folder all executors share"
-                )
-            folder = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` to the cluster's shared folder and return the result.
+
+    Used where a result that took a shuffle or a Python stage feeds several
+    later steps.
+    """
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_packages(spark: SparkSession) -> None:
+    """Send this repository's Python files to the workers, once per application.
+
+    What ``spark-submit --py-files`` does; needed where the session was started
+    without it.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="plumbline-"), "plumbline.zip")
+    with zipfile.ZipFile(archive, "w") as packed:
+        for package in ("plumbline", "catalog"):
+            for file in sorted((root / package).rglob("*.py")):
+                packed.write(file, file.relative_to(root))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)

@@ -8,8 +8,8 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from __spark_entry__ import ship_packages  # noqa: E402
 from plumbline import configure  # noqa: E402
+from plumbline.session import ship_packages  # noqa: E402
 
 
 @pytest.fixture(scope="session")
