@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, packing, tokens
+from plumbline.llm import exact_dedup, packing, quality_classifier, quality_rules, tokens, url_filter
 from plumbline.llm.common import table
 
 SEQUENCE = 2048
 END_ID = 1
 TOKEN_LIMIT = 512
+PREDICTED_FROM = 0.3
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
 
 
 def vocabulary(name: str) -> str:
@@ -30,6 +38,14 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing_of(table(spark, folder, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The list: URLs of pages whose number a person marked as toxic."""
+    pages = table(spark, folder, "pages")
+    toxic = table(spark, folder, "labels").where("toxic = 1").select(F.col("doc_id").alias("page_id"))
+    listed = pages.join(toxic, "page_id", "left_semi")
+    return url_filter.filter_urls(pages, URL_RULES, listed)
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     coded = tokens.encode_and_decode(docs, vocabulary("byte_bpe_50k.tiktoken"))
@@ -46,19 +62,70 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return quality_classifier.classify(docs, labels, PREDICTED_FROM)
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return tokens.count_tokens(docs, vocabulary("byte_bpe_50k.json"), TOKEN_LIMIT)
 
 
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The trusted target: documents that a person marked as good."""
+    trusted = table(spark, folder, "labels").where("quality = 1")
+    return quality_rules.quality_rules(table(spark, folder, "documents"), trusted)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_url_filter": op2_url_filter,
     "op3_byte_bpe": op3_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_token_counts": op8_token_counts,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 SQL = {
+    "op2_url_filter": r"""
+        with rests as (
+          select page_id, case when strpos(url, '://') > 0
+                               then substr(url, strpos(url, '://') + 3) else '' end as rest
+          from pages
+        ), split as (
+          select page_id,
+                 translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                           'abcdefghijklmnopqrstuvwxyz') as host,
+                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+                 regexp_extract(rest, '^[^?#]*(\?[^#]*)?', 1) as query
+          from rests
+        ), named as (
+          select page_id, host, path,
+                 case when host = '' then ''
+                      else host || case when path = '' then '/' else path end || query end as canonical
+          from split
+        ), judged as (
+          select *, case
+            when (host = 'www.example.com' or host like '%.www.example.com') and starts_with(path, '/en/')
+              then 'www.example.com/en/'
+            when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/en/')
+              then 'example.com/en/'
+            when (host = 'net' or host like '%.net') and starts_with(path, '/es/') then 'net/es/'
+            when (host = 'net' or host like '%.net') and starts_with(path, '/fr/') then 'net/fr/'
+            when (host = 'com' or host like '%.com') and starts_with(path, '/') then 'com/' end as rule
+          from named
+        ), listed as (
+          select canonical from named
+          where canonical <> '' and page_id in (select doc_id from labels where toxic = 1)
+        )
+        select page_id, host, path, rule,
+               case when rule in ('www.example.com/en/', 'com/') then 'allow'
+                    when rule is not null then 'block'
+                    when canonical in (select canonical from listed) then 'block'
+                    else 'allow' end as verdict
+        from judged""",
     "op6_exact_dedup": """
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
                doc_id = max(doc_id) over same as kept,
