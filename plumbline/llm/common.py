@@ -34,19 +34,23 @@ def texts_of(docs: DataFrame, identifier: str = "doc_id", text: str = "text") ->
     )
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder all executors share; it goes when the application ends."""
+    path = f"{checkpoint_folder(spark)}/plumbline-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the folder all executors share, and read again.
 
-    Cuts the lineage, and later steps read only the columns they need. The files go
-    when the application ends.
+    Cuts the lineage, and later steps read only the columns they need.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/plumbline-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    context = spark.sparkContext
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "left") -> DataFrame:

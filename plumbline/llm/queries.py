@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, packing, quality_classifier, quality_rules, tokens, url_filter
-from plumbline.llm.common import table
+from plumbline.llm import exact_dedup, packing, quality_classifier, quality_rules, tokens, url_filter, warc
+from plumbline.llm.common import shared_path, table
 
 SEQUENCE = 2048
 END_ID = 1
@@ -57,6 +57,23 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select(
+        "page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")
+    )
+    path = shared_path(spark)
+    types = warc.with_record_types(pages, warc.archive_count(pages))
+    warc.write_archives(types, path, warc.train_dictionary(pages, "page_id", "payload"))
+    number = r"^<urn:page:(-?\d+)>$"
+    return warc.read_archives(spark, path, blocks=False).select(
+        F.expr(f"try_cast(regexp_extract(record_id, r'{number}', 1) as bigint)").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.expr(f"try_cast(regexp_extract(refers_to_id, r'{number}', 1) as bigint)").alias("refers_to"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(table(spark, folder, "documents"))
     return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
@@ -82,6 +99,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_warc": op5_warc,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_token_counts": op8_token_counts,
@@ -126,6 +144,16 @@ SQL = {
                     when canonical in (select canonical from listed) then 'block'
                     else 'allow' end as verdict
         from judged""",
+    "op5_warc": """
+        with sized as (
+          select page_id, coalesce(html, '') as body, strlen(coalesce(html, '')) as n from pages
+        ), judged as (
+          select *, max(page_id) over (partition by body) as last from sized
+        )
+        select page_id, n as payload_bytes, sha1(body) as payload_digest,
+               case when n < 1000 or page_id = last then 'response' else 'revisit' end as record_type,
+               case when n >= 1000 and page_id <> last then last end as refers_to
+        from judged""",
     "op6_exact_dedup": """
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
                doc_id = max(doc_id) over same as kept,
