@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, packing, quality_classifier, quality_rules, tokens, url_filter, warc
+from plumbline.llm import (
+    exact_dedup,
+    near_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    tokens,
+    url_filter,
+    warc,
+)
 from plumbline.llm.common import shared_path, table
 
 SEQUENCE = 2048
@@ -57,6 +66,10 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), shingle=2)
+
+
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select(
         "page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")
@@ -99,6 +112,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_near_dedup": op4_near_dedup,
     "op5_warc": op5_warc,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality_classifier": op7_quality_classifier,
