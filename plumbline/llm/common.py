@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +54,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Spark does so when the driver collects garbage, which may be half an hour later; a
+    step that shuffled as much as the input should not hold its disk until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "left") -> DataFrame:
     """``rows`` with the columns of ``groups``, one row per key with the key's ``size``.
 

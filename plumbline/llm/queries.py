@@ -11,6 +11,7 @@ from plumbline.llm import (
     packing,
     quality_classifier,
     quality_rules,
+    substring_dedup,
     tokens,
     url_filter,
     warc,
@@ -108,6 +109,11 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, folder, "documents"), trusted)
 
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, folder, "documents"))
+    return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
@@ -118,6 +124,7 @@ QUERIES = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 SQL = {
