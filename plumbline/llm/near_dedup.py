@@ -216,8 +216,9 @@ def near_duplicates(
 
     A null, empty or blank text has an empty set, is linked with nothing and kept. Rows
     that repeat an identifier and its text are kept together. A row without an identifier
-    has the component of those with its very set, or null, and is not kept. An empty
-    table gives no rows; other columns are not read.
+    has the component of those with its very set and is not kept; if none of them has an
+    identifier it is linked with nothing, has no component and is kept. An empty table
+    gives no rows; other columns are not read.
     """
     documents = stored(signed(docs, identifier, text, shingle, bands, rows))
     classes = stored(
@@ -274,5 +275,5 @@ def near_duplicates(
         identifier, "n_shingles", F.col(identifier).alias("component_id")
     )
     return found.unionByName(alone).withColumn(
-        "kept", F.coalesce(F.col(identifier) == F.col("component_id"), F.lit(False))
+        "kept", F.col(identifier).eqNullSafe(F.col("component_id"))
     )

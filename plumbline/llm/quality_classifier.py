@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import texts_of
 from plumbline.llm.quality_rules import base_counts
@@ -223,25 +224,26 @@ def training_examples(
     ]
 
 
-def score(docs: DataFrame, model: Model, identifier: str = "doc_id", text: str = "text") -> DataFrame:
-    """The identifier and ``score`` (0 to 1) of every text, in one pass without a shuffle."""
+def with_scores(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
+    """``docs`` with the ``score`` (0 to 1) of every text, in one pass without a shuffle.
+
+    A column that is called like the score is replaced.
+    """
+    docs = docs.drop(score)
+    place = docs.columns.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch.column(1)):
-                raw = sent.value.raw_scores(*features(part))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(part.first, len(part)),
-                        pa.array(logistic(raw), pa.float64()),
-                    ],
-                    names=[identifier, "score"],
-                )
+            found = [
+                logistic(sent.value.raw_scores(*features(part))) for part in parts(batch.column(place))
+            ]
+            scores = np.concatenate(found) if found else np.zeros(0)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, score]
+            )
 
-    source = texts_of(docs, identifier, text)
-    kind = source.schema[identifier].dataType.simpleString()
-    return source.mapInArrow(apply, f"`{identifier}` {kind}, score double")
+    return docs.mapInArrow(apply, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
 
 
 def is_held_out(identifier: str):
@@ -279,7 +281,8 @@ def classify(
     A null text is an empty one and has a score like any other. Rows with a null or
     repeated identifier come out as they went in. Without labels all scores are one half.
     """
-    scored = score(docs, fit(docs, labels, identifier, text, label), identifier, text)
+    model = fit(docs, labels, identifier, text, label)
+    scored = with_scores(texts_of(docs, identifier, text), model, text, "score")
     return scored.select(
         identifier,
         is_held_out(identifier).alias("held_out"),

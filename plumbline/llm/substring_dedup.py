@@ -20,13 +20,14 @@ and edge contexts is left to move after the second.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.array_merging import binary_arrays
 from plumbline.llm.common import release_shuffles, stored
@@ -296,10 +297,16 @@ def covered_spans(source: DataFrame, threshold: int) -> DataFrame:
 
 
 def remove_repeats(
-    docs: DataFrame, threshold: int = 50, identifier: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    threshold: int = 50,
+    identifier: str = "doc_id",
+    text: str = "text",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per document: the identifier, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept``.
 
+    Columns named in ``carry`` come along.
+
     A byte goes if a string of ``threshold`` bytes that covers it also begins in a
     document with a smaller identifier. ``n_spans`` counts maximal runs of removed bytes,
     ``kept`` holds the other bytes. Matches lie within texts and are judged on the input.
@@ -308,12 +315,14 @@ def remove_repeats(
     other; rows without one come after all others. An empty table gives no rows; other
     columns are not read.
     """
+    carried = [F.col(name).alias(f"_carried{i}") for i, name in enumerate(carry)]
     number = F.col(identifier).cast("bigint")
     source = docs.select(
         F.col(identifier).alias("_id"),
         F.coalesce(number, F.lit(LAST)).alias("doc"),
         F.lit(0).cast("bigint").alias("row"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+        *carried,
     )
     if not source.groupBy("doc").count().where("count > 1").isEmpty():
         # a number of its own for every row, fixed by writing it down
@@ -349,15 +358,18 @@ def remove_repeats(
                         pa.array(removed, pa.int64()),
                         pa.array(runs, pa.int64()),
                         binaries(part.data[~gone], kept_offsets),
+                        *(column.slice(part.first, len(part)) for column in batch.columns[3:]),
                     ],
-                    names=[identifier, "n_bytes", "n_removed", "n_spans", "kept"],
+                    names=names,
                 )
 
-    kind = source.schema["_id"].dataType.simpleString()
+    long, fields = T.LongType(), [T.StructField(identifier, source.schema["_id"].dataType)]
+    fields += [T.StructField(name, long) for name in ("n_bytes", "n_removed", "n_spans")]
+    fields.append(T.StructField("kept", T.BinaryType()))
+    fields += [T.StructField(name, source.schema[f"_carried{i}"].dataType) for i, name in enumerate(carry)]
+    names = [field.name for field in fields]
     return (
         source.join(lists, ["doc", "row"], "left")
-        .select("_id", "text", "spans")
-        .mapInArrow(
-            cut, f"`{identifier}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
-        )
+        .select("_id", "text", "spans", *(f"_carried{i}" for i in range(len(carry))))
+        .mapInArrow(cut, T.StructType(fields))
     )
