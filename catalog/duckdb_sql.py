@@ -50,7 +50,7 @@ PATCHY = f"""patchy as (
 
 SENTENCES = """sentences as (
   select d.doc_id as id, d.text as sentence, e.embedding
-  from documents d join embeddings e on e.vec_id = d.doc_id)"""
+  from documents d left join embeddings e on e.vec_id = d.doc_id)"""
 
 ITEM_RESPONSES = f"""item_responses as (
   select doc_id, {fixtures.ITEM_TYPE_SQL} as type_requested, {fixtures.ITEMS_SQL} as response
@@ -143,7 +143,7 @@ _LONG = " union all ".join(
 )
 
 TWO_RUNS = f"""{measured(0, 'first_run')},
-{measured(3, 'second_run')},
+{measured(fixtures.SECOND_RUN, 'second_run')},
 first_long as ({_LONG.format(run='first_run')}),
 second_long as ({_LONG.format(run='second_run')}),
 differences as (
@@ -155,7 +155,8 @@ differences as (
 def nearest(source: str, k: int = fixed.TOP_K) -> str:
     """Brute force over all pairs of ``source(id, embedding)``; ends in ``matches``."""
     return f"""vectors as (
-  select id, list_transform(embedding, lambda x: cast(x as double)) as v from {source}),
+  select id, list_transform(embedding, lambda x: cast(x as double)) as v from {source}
+  where embedding is not null),
 units as (
   select id, list_transform(v, lambda x: x / case when n > 0 then n else 1 end) as v
   from (select id, v, sqrt(list_dot_product(v, v)) as n from vectors)),
@@ -180,6 +181,10 @@ contexts as (
   select query_id, string_agg(sentence, {_text(fixed.CONTEXT_SEPARATOR)} order by rank) as context
   from matches join sentences on id = corpus_id group by query_id)"""
 
+ALL_CONTEXTS = f"""with {CONTEXTS}
+  select id as query_id, cast(length(context) as int) as n_chars, md5(context) as context_md5
+  from sentences left join contexts on query_id = id"""
+
 RETRIEVAL = template(
     fixed.RETRIEVAL_PROMPT, user_text="sentence", context="coalesce(context, '')"
 )
@@ -211,7 +216,7 @@ KEY = f"sha256({_text(fixtures.MODEL)} || chr(31) || {{text}})"
 STORE = f"""{SENTENCES},
 store as (
   select {KEY.format(text='sentence')} as key, arg_min(embedding, id) as embedding
-  from sentences group by 1)"""
+  from sentences where embedding is not null group by 1)"""
 
 MISSES = f"""{STORE},
 misses as (
@@ -299,16 +304,14 @@ _METRICS = {
 
 SQL: dict[str, str] = {
     "knn_top3": f"with {nearest(f'({VECTORS})')} select * from matches",
+    "knn_top3_few_queries": f"with {nearest(f'({VECTORS})')} select * from matches",
     "knn_top3_by_blocks": f"with {nearest(f'({VECTORS})')} select * from matches",
     "l2_normalized": f"""with {nearest(f'({VECTORS})')}
       select id, cast(pos as int) as pos, round(value, 6) as value from (
         select id, unnest(v) as value, generate_subscripts(v, 1) - 1 as pos from units)""",
-    "rag_context": f"""with {CONTEXTS}
-      select query_id, cast(length(context) as int) as n_chars, md5(context) as context_md5
-      from contexts""",
-    "rag_context_by_blocks": f"""with {CONTEXTS}
-      select query_id, cast(length(context) as int) as n_chars, md5(context) as context_md5
-      from contexts""",
+    "rag_context": ALL_CONTEXTS,
+    "rag_context_few_queries": ALL_CONTEXTS,
+    "rag_context_by_blocks": ALL_CONTEXTS,
     "rag_prompt_md5": f"""with {CONTEXTS}
       select id, md5({RETRIEVAL}) as prompt_md5
       from sentences left join contexts on query_id = id""",
@@ -441,7 +444,7 @@ SQL: dict[str, str] = {
         {_text(fixtures.MODEL)} as model, cast(0.4 as double) as temperature,
         {words_of('sentence')} as word_count, {words_of('sentence')} > 30 as over_30_words
       from items""",
-    "appended_datasets": f"""with {ITEMS}, {predictions(0, 'p0')}, {predictions(3, 'p3')}
+    "appended_datasets": f"""with {ITEMS}, {predictions(0, 'p0')}, {predictions(fixtures.SECOND_RUN, 'p3')}
       select doc_id as id, type as label from items
       union all select id, pred_diagnosis from p0
       union all select id, pred_diagnosis from p3""",

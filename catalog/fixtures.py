@@ -22,6 +22,9 @@ def answer_sql(shift: int) -> str:
   else 'I cannot help.' end"""
 
 
+# The second run's shift: by one, so that some documents have a severity in both runs.
+SECOND_RUN = 1
+
 # Human severity: only where the human label is positive.
 GOLD_SEVERITY_SQL = "case when toxic = 1 then 1 + doc_id % 3 end"
 

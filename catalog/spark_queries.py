@@ -21,12 +21,14 @@ from plumbline.operators.embedding import (
 from plumbline.operators.json_lines import append_datasets, explode_items
 from plumbline.operators.prompts import baseline_prompt, generation_prompts, retrieval_prompt
 from plumbline.operators.responses import normalize_predictions
-from plumbline.operators.retrieval import knn_join, retrieve_context, with_context
+from plumbline.operators.retrieval import knn_join, with_context
 from plumbline.operators.scoring import embed
 from plumbline.plans.classification import classify
 from plumbline.plans.generation import dataset
 from plumbline.sources.tables import cap_rows
 
+# How far the second run's answer shapes are moved against the first one's.
+SHIFT = fixtures.SECOND_RUN
 MEASURES = ["correct", "severity_error", "pred_confidence"]
 
 
@@ -48,11 +50,11 @@ def _vectors(spark, folder) -> DataFrame:
 
 
 def _sentences(spark, folder) -> DataFrame:
-    """Documents that have a vector: id, sentence, embedding."""
+    """All documents: id, sentence, embedding (null for those without a vector)."""
     documents = _table(spark, folder, "documents").select(
         F.col("doc_id").alias("id"), F.col("text").alias("sentence")
     )
-    return documents.join(_vectors(spark, folder), "id")
+    return documents.join(_vectors(spark, folder), "id", "left")
 
 
 def _patchy(spark, folder) -> DataFrame:
@@ -92,7 +94,7 @@ def _measured(spark, folder, shift: int) -> DataFrame:
 
 def _differences(spark, folder) -> DataFrame:
     return comparison.paired_differences(
-        _measured(spark, folder, 0), _measured(spark, folder, 3), MEASURES
+        _measured(spark, folder, 0), _measured(spark, folder, SHIFT), MEASURES
     )
 
 
@@ -112,10 +114,16 @@ def knn_top3(spark, folder):
     return knn_join(vectors, vectors)
 
 
+def knn_top3_few_queries(spark, folder):
+    """The same search with the queries sent to every executor, the corpus in place."""
+    vectors = _vectors(spark, folder)
+    return knn_join(vectors, vectors, layout="queries")
+
+
 def knn_top3_by_blocks(spark, folder):
     """The same search by the path for two sides too big to broadcast."""
     vectors = _vectors(spark, folder)
-    return knn_join(vectors, vectors, broadcast_values=0, block_values=64 * 256)
+    return knn_join(vectors, vectors, layout="blocks", block_values=64 * 256)
 
 
 def l2_normalized(spark, folder):
@@ -124,25 +132,27 @@ def l2_normalized(spark, folder):
     ).withColumns(_rounded("value"))
 
 
-def rag_context(spark, folder):
+def _contexts(spark, folder, **search) -> DataFrame:
     sentences = _sentences(spark, folder)
-    return retrieve_context(sentences, sentences).select(
-        "query_id",
+    return with_context(sentences, sentences, **search).select(
+        F.col("id").alias("query_id"),
         F.length("context").alias("n_chars"),
         F.md5("context").alias("context_md5"),
     )
 
 
+def rag_context(spark, folder):
+    return _contexts(spark, folder)
+
+
+def rag_context_few_queries(spark, folder):
+    """The same contexts with the queries sent to every executor."""
+    return _contexts(spark, folder, layout="queries")
+
+
 def rag_context_by_blocks(spark, folder):
     """The same contexts when neither side may be sent to every executor."""
-    sentences = _sentences(spark, folder)
-    return retrieve_context(
-        sentences, sentences, broadcast_values=0, block_values=64 * 256
-    ).select(
-        "query_id",
-        F.length("context").alias("n_chars"),
-        F.md5("context").alias("context_md5"),
-    )
+    return _contexts(spark, folder, layout="blocks", block_values=64 * 256)
 
 
 def rag_prompt_md5(spark, folder):
@@ -215,6 +225,7 @@ def _stored(spark, folder) -> DataFrame:
     """A store with the vectors of the texts that come with one."""
     return (
         _sentences(spark, folder)
+        .where(F.col("embedding").isNotNull())
         .withColumn("key", embedding_key(F.col("sentence"), fixtures.MODEL))
         .groupBy("key")
         .agg(F.min_by("embedding", "id").alias("embedding"))
@@ -331,7 +342,7 @@ def paired_differences(spark, folder):
 def descriptives(spark, folder):
     runs = [
         comparison.measures_long(_measured(spark, folder, shift), name, MEASURES)
-        for name, shift in (("first", 0), ("second", 3))
+        for name, shift in (("first", 0), ("second", SHIFT))
     ]
     return comparison.descriptives(append_datasets(*runs)).withColumns(
         _rounded("mean", "sd", "median")
@@ -370,7 +381,7 @@ def appended_datasets(spark, folder):
     )
     runs = [
         _predictions(spark, folder, shift).select("id", F.col("pred_diagnosis").alias("label"))
-        for shift in (0, 3)
+        for shift in (0, SHIFT)
     ]
     return append_datasets(generated, *runs)
 
@@ -397,9 +408,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         knn_top3,
+        knn_top3_few_queries,
         knn_top3_by_blocks,
         l2_normalized,
         rag_context,
+        rag_context_few_queries,
         rag_context_by_blocks,
         rag_prompt_md5,
         baseline_prompt_md5,

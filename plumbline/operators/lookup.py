@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Rows of one key that one task is asked to take.
 HOT_ROWS = 1_000_000
+# A key with less than this share of all rows is never hot, so few keys are.
+HOT_SHARE = 0.001
 
 
 def lookup(
@@ -19,17 +21,21 @@ def lookup(
 ) -> DataFrame:
     """``rows`` with the columns of ``table``, which has one row per ``key``.
 
-    The rows are counted by key first. Rows of a key with more than ``hot_rows``
-    are dealt out by ``row_id`` to several parts, and that key's one table row is
-    repeated for each part; rows without a key spread the same way. At most one
-    key per ``hot_rows`` rows can be hot, so the list of them is small. AQE does
-    not do this reliably: it goes by bytes, and rows of one key compress well.
+    The rows are counted by key first. Rows of a key with more than ``hot_rows`` and
+    more than ``HOT_SHARE`` of all rows are dealt out by ``row_id`` to several parts,
+    and that key's one table row is repeated for each part; rows without a key spread
+    the same way. At most ``1 / HOT_SHARE`` keys can be hot, whatever the number of
+    rows. AQE does not do this reliably: it goes by bytes, and rows of one key compress
+    well.
     """
+    counts = rows.groupBy(key).count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    if total <= hot_rows:
+        return rows.join(table, key, how)
+    hot_rows = max(hot_rows, int(total * HOT_SHARE))
     parts = F.ceil(F.col("count") / F.lit(hot_rows)).cast("int")
     hot = (
-        rows.groupBy(key)
-        .count()
-        .where(F.col("count") > hot_rows)
+        counts.where(F.col("count") > hot_rows)
         .select(key, parts.alias("_parts"))
     )
     found = hot.collect()

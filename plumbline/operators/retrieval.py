@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,9 @@ BLOCK_VALUES = 4_000_000
 MAX_PIVOTS = 4096
 MAX_BROADCAST_BLOCKS = 1_000_000
 
+# Where the rows go: the corpus or the queries to every executor, or both in blocks.
+LAYOUTS = ("corpus", "queries", "blocks")
+
 _MATCHES = "query_id bigint, rank int, corpus_id bigint, similarity double"
 
 
@@ -55,23 +58,41 @@ def knn_join(
     queries: DataFrame,
     corpus: DataFrame,
     k: int = TOP_K,
+    layout: str | None = None,
     broadcast_values: int = BROADCAST_VALUES,
     block_values: int = BLOCK_VALUES,
 ) -> DataFrame:
     """``(query_id, rank, corpus_id, similarity)``: the k nearest corpus rows per query.
 
-    Both inputs have ``id BIGINT`` and ``embedding ARRAY<FLOAT>``; rows without
-    an embedding take no part. Similarity is rounded to six digits, then ties go
-    to the smaller id. A query equal to a corpus row finds that row. A corpus of
-    fewer than k rows gives all of them. The inputs are read more than once, some
-    of it before this returns; pass stored vectors, not a model yet to be run.
+    Both inputs have an integral ``id`` and an ``embedding`` array, taken as floats;
+    rows without either take no part. Query ids must not repeat. A missing, infinite
+    or NaN element fails the job and names its row. Similarity is rounded to six
+    digits, then ties go to the smaller id. A query equal to a corpus row finds that
+    row. A corpus of fewer than k rows gives all of them. All of this holds for every
+    layout; the sizes choose one of ``LAYOUTS`` unless it is given. The inputs are read
+    more than once, some of it before this returns; pass stored vectors, not a model yet
+    to be run.
     """
+    queries, corpus = _vectors(queries, "query"), _vectors(corpus, "corpus")
+    repeated = queries.groupBy("id").count().where(F.col("count") > 1)
+    if not repeated.isEmpty():
+        raise ValueError(f"query id {repeated.first()['id']} occurs more than once")
+    return _search_layout(queries, corpus, k, layout, broadcast_values, block_values)
+
+
+def _search_layout(queries, corpus, k, layout, broadcast_values, block_values) -> DataFrame:
+    if layout is not None and layout not in LAYOUTS:
+        raise ValueError(f"layout must be one of {', '.join(LAYOUTS)}")
     n_corpus, length = _size(corpus)
-    n_queries = queries.count()
-    queries, corpus = _vectors(queries), _vectors(corpus)
-    if n_corpus * length <= broadcast_values:
+    if layout is None:
+        if n_corpus * length <= broadcast_values:
+            layout = "corpus"
+        else:
+            few = queries.count() * length <= broadcast_values
+            layout = "queries" if few else "blocks"
+    if layout == "corpus":
         return _against_small_corpus(queries, corpus, k)
-    if n_queries * length <= broadcast_values:
+    if layout == "queries":
         return _for_few_queries(queries, corpus, k, max(k, SAMPLE_VALUES // length))
     rows_per_block = max(k, block_values // length)
     return _by_blocks(queries, corpus, k, n_corpus, length, rows_per_block)
@@ -83,6 +104,7 @@ def with_context(
     k: int = TOP_K,
     text: str = "sentence",
     separator: str = CONTEXT_SEPARATOR,
+    layout: str | None = None,
     broadcast_values: int = BROADCAST_VALUES,
     broadcast_bytes: int = BROADCAST_BYTES,
     block_values: int = BLOCK_VALUES,
@@ -91,28 +113,47 @@ def with_context(
 ) -> DataFrame:
     """Add ``context``: texts of the corpus rows nearest to ``embedding``, in rank order.
 
-    Null where a row has no embedding. With a corpus whose vectors and texts are
-    both of checked size, the context is worked out inside each row's task: no
-    shuffle, no join. Otherwise it comes from ``knn_join``, a lookup of the texts
-    and a join by ``id``. A corpus row near to very many queries is a hot key of
-    that lookup, which deals its rows out to several tasks.
+    Null where a row has no embedding, empty where the corpus has no row. The rules for
+    vectors and corpus ids are those of ``knn_join``; the rows of ``df`` need no id and
+    may repeat one. With a corpus whose vectors and texts are both of checked size, the
+    context is worked out inside each row's task: no shuffle, no join. Otherwise every
+    distinct vector is searched once by ``knn_join``'s layouts, and rows meet their
+    context by their vector. A vector or corpus row that very many rows share is dealt
+    out to several tasks.
     """
-    known = corpus.where(F.col("embedding").isNotNull()).select(
-        F.col("id"), "embedding", clean(F.col(text)).alias("_text")
+    known = _vectors(corpus, "corpus", clean(F.col(text)).alias("_text"))
+    asking = df.withColumn("_vector", _checked(F.col(embedding), F.lit("of the table")))
+    if layout in (None, "corpus"):
+        rows, length = _size(known)
+        fits = rows * length <= broadcast_values
+        if layout == "corpus" or (
+            fits and (known.agg(F.sum(F.octet_length("_text"))).first()[0] or 0) <= broadcast_bytes
+        ):
+            found = _context_from_shared(known, k, separator)(F.col("_vector"))
+            return asking.withColumn("context", found).drop("_vector")
+    distinct = materialise(
+        asking.where(F.col("_vector").isNotNull())
+        .select(F.col("_vector").alias("embedding"))
+        .distinct()
+        .withColumn("id", F.monotonically_increasing_id())
     )
-    rows, length = _size(known)
-    if rows * length <= max(broadcast_values, 0):
-        size = known.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-        if size <= broadcast_bytes:
-            return df.withColumn(
-                "context", _context_from_shared(known, k, separator)(F.col(embedding))
-            )
-    queries = df.select("id", F.col(embedding).alias("embedding"))
-    matches = materialise(knn_join(queries, known, k, broadcast_values, block_values))
-    texts = known.select(F.col("id").cast("bigint").alias("corpus_id"), "_text")
+    if layout is None and fits:
+        layout = "corpus"  # the vectors may be sent about, though not the texts
+    matches = materialise(
+        _search_layout(distinct, known.drop("_text"), k, layout, broadcast_values, block_values)
+    )
+    texts = known.select(F.col("id").alias("corpus_id"), "_text")
     found = lookup(matches, texts, "corpus_id", "query_id", "inner", hot_rows)
-    context = context_of(found, "_text", separator)
-    return df.join(context.withColumnRenamed("query_id", "id"), "id", "left")
+    contexts = distinct.join(
+        context_of(found, "_text", separator), distinct["id"] == F.col("query_id")
+    ).select(F.col("embedding").alias("_vector"), "context")
+    numbered = asking.withColumn("_row", F.monotonically_increasing_id())
+    nothing = F.when(F.col("_vector").isNotNull(), "")
+    return (
+        lookup(numbered, contexts, "_vector", "_row", "left", hot_rows)
+        .withColumn("context", F.coalesce("context", nothing))
+        .select(*df.columns, "context")
+    )
 
 
 def retrieve_context(
@@ -136,6 +177,8 @@ def _context_from_shared(known: DataFrame, k: int, separator: str):
         units, texts = shared.value
         asked = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
         found: list[str | None] = [None] * len(column)
+        for row in asked:
+            found[row] = ""
         if len(asked) and len(texts):
             # positions stand for the ids they are ordered by
             rows, _, positions, _ = best_matches(
@@ -164,10 +207,27 @@ def context_of(
     )
 
 
-def _vectors(df: DataFrame) -> DataFrame:
-    return df.where(F.col("embedding").isNotNull()).select(
+def _checked(embedding: Column, name: Column) -> Column:
+    """The vector as floats; the job fails on an element that is no finite number."""
+    floats = embedding.cast("array<float>")
+    finite = F.forall(
+        floats, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    )
+    return F.when(finite, floats).when(
+        floats.isNotNull(),
+        F.raise_error(F.concat(F.lit("vector "), name, F.lit(" has an element that is no finite number"))),
+    )
+
+
+def _vectors(df: DataFrame, side: str, *more: Column) -> DataFrame:
+    kind = df.schema["id"].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise ValueError(f"{side} ids must be integers, not {kind.simpleString()}")
+    name = F.concat(F.lit(f"of {side} row "), F.col("id").cast("string"))
+    return df.where(F.col("embedding").isNotNull() & F.col("id").isNotNull()).select(
         F.col("id").cast("bigint").alias("id"),
-        F.col("embedding").cast("array<float>").alias("embedding"),
+        _checked(F.col("embedding"), name).alias("embedding"),
+        *more,
     )
 
 

@@ -159,7 +159,7 @@ def test_context_by_every_path(spark, search):
 def test_context_of_an_empty_corpus(spark):
     corpus = spark.createDataFrame([], "id long, sentence string, embedding array<float>")
     frame = _frame(spark, [[1.0, 2.0]])
-    assert with_context(frame, corpus).first().context is None
+    assert with_context(frame, corpus).first().context == ""
 
 
 def test_context_from_a_small_corpus_needs_no_shuffle(spark, plan):
@@ -180,3 +180,65 @@ def test_partial_results_are_pruned_before_the_shuffle(spark, plan):
     frame = _frame(spark, [[1.0, 2.0], [2.0, 1.0]])
     one = spark.createDataFrame([(1, [1.0, 2.0])], SCHEMA)
     assert "WindowGroupLimit" in plan(knn_join(one, frame, broadcast_values=2))
+
+
+CORPUS = "id long, sentence string, embedding array<double>"
+LAYOUTS = {
+    "small": {},
+    "few queries": {"layout": "queries"},
+    "blocks": {"layout": "blocks", "block_values": 4},
+}
+
+
+@pytest.mark.parametrize("search", LAYOUTS.values(), ids=LAYOUTS)
+class TestOneContract:
+    """The same rows or the same error, wherever the rows go."""
+
+    def corpus(self, spark, *more):
+        rows = [(i, f"t{i}", [1.0, i / 10]) for i in range(8)] + list(more)
+        return spark.createDataFrame(rows, CORPUS)
+
+    def contexts(self, spark, rows, corpus, search, schema="id long, embedding array<double>"):
+        queries = spark.createDataFrame(rows, schema)
+        found = with_context(queries, corpus, 2, separator="|", **search).collect()
+        return sorted(((r.id, r.context) for r in found), key=repr)
+
+    def test_missing_repeated_and_text_ids_of_queries(self, spark, search):
+        rows = [(None, [1.0, 0.0]), (7, [1.0, 0.7]), (7, [1.0, 0.0]), (9, None)]
+        assert self.contexts(spark, rows, self.corpus(spark), search) == sorted(
+            [(None, "t0|t1"), (7, "t7|t6"), (7, "t0|t1"), (9, None)], key=repr
+        )
+        assert self.contexts(
+            spark, [("a", [1.0, 0.0])], self.corpus(spark), search, "id string, embedding array<float>"
+        ) == [("a", "t0|t1")]
+
+    def test_corpus_rows_without_id_take_no_part(self, spark, search):
+        corpus = self.corpus(spark, (None, "lost", [1.0, 0.0]))
+        assert self.contexts(spark, [(1, [1.0, 0.0])], corpus, search) == [(1, "t0|t1")]
+
+    def test_corpus_ids_must_be_integers(self, spark, search):
+        corpus = self.corpus(spark).withColumn("id", F.concat(F.lit("c"), "id"))
+        with pytest.raises(ValueError, match="must be integers"):
+            self.contexts(spark, [(1, [1.0, 0.0])], corpus, search)
+
+    def test_zero_vector_and_ties(self, spark, search):
+        corpus = self.corpus(spark, (-1, "zero", [0.0, 0.0]))
+        assert self.contexts(spark, [(1, [0.0, 0.0])], corpus, search) == [(1, "zero|t0")]
+
+    def test_no_match_is_an_empty_context(self, spark, search):
+        corpus = self.corpus(spark).where("false")
+        assert self.contexts(spark, [(1, [1.0, 0.0]), (2, None)], corpus, search) == [(1, ""), (2, None)]
+
+    @pytest.mark.parametrize("element", [float("nan"), float("inf"), 1e300, None])
+    def test_a_vector_that_is_no_vector_fails_by_name(self, spark, search, element):
+        bad = (42, "bad", [element, 1.0])
+        with pytest.raises(Exception, match="corpus row 42"):
+            self.contexts(spark, [(1, [1.0, 0.0])], self.corpus(spark, bad), search)
+        with pytest.raises(Exception, match="no finite number"):
+            self.contexts(spark, [(1, [element, 0.0])], self.corpus(spark), search)
+
+    def test_neighbours_too(self, spark, search):
+        corpus = self.corpus(spark).select("id", "embedding")
+        assert len(knn_join(corpus, corpus, 2, **search).collect()) == 16
+        with pytest.raises(ValueError, match="more than once"):
+            knn_join(corpus.union(corpus), corpus, 2, **search)
