@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from plumbline.session import materialise
 
 BUCKETS = 256
 ONE_TASK_ROWS = 1_000_000
@@ -73,30 +76,60 @@ def running_totals(
 
 
 def first_rows(df: DataFrame, n: int, key: str = "id") -> DataFrame:
-    """The ``n`` rows with the smallest (unique) ``key``.
+    """The ``n`` rows with the smallest ``key``, missing keys last.
 
-    A small ``n`` is a plain top-n. For a large one, the n-th key is narrowed
-    down by counting, and the rows up to it are kept where they are.
+    One plan for any ``n`` and any key that can be ordered. Only keys are sorted, and
+    one of them, the n-th, reaches the driver; the rows up to it stay where they are. Of
+    rows that share the n-th key, as many as are wanted come in the order of a hash of
+    all their columns. ``df`` is read more than once.
     """
-    if n <= ONE_TASK_ROWS:
-        return df.orderBy(key).limit(n)
-    keys = df.select(key).where(F.col(key).isNotNull())
-    candidates, left = keys.count(), n
-    if candidates <= n:
+    name = F.col(f"`{key}`")
+    placed = _placed(df.select(name.alias("key")), F.col("key").asc_nulls_last())
+    last = placed.where(F.col("_place") == n - 1).select("key").first()
+    if last is None:
         return df
-    while candidates > ONE_TASK_ROWS:
-        # at most 256 boundaries and range sizes reach the driver
-        bounds = sorted(set(keys.agg(_boundaries(key)).first()[0]))
-        range_number = F.size(
-            F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(key))
-        )
-        sizes = dict(keys.groupBy(range_number.alias("r")).count().collect())
-        chosen = min(sizes)
-        while left > sizes.get(chosen, 0):
-            left -= sizes.get(chosen, 0)
-            chosen += 1
-        if sizes[chosen] == candidates:
-            raise ValueError(f"column '{key}' repeats its values; a unique key is needed")
-        keys, candidates = keys.where(range_number == chosen), sizes[chosen]
-    cut = keys.orderBy(key).limit(left).agg(F.max(key)).first()[0]
-    return df.where(F.col(key) <= F.lit(cut))
+    cut = last["key"]
+    if cut is None:
+        smaller, equal = name.isNotNull(), name.isNull()
+    else:
+        smaller, equal = name < F.lit(cut), name.eqNullSafe(F.lit(cut))
+    before = df.where(smaller)
+    wanted = n - before.count()
+    tied = df.where(equal)
+    if wanted < tied.count():
+        in_order = _placed(tied, F.xxhash64(*_hashable(df)))
+        tied = in_order.where(F.col("_place") < wanted).select(*df.columns)
+    return before.unionByName(tied)
+
+
+def _placed(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with ``_place``, its position in a global order from 0, ties as they come.
+
+    A sort by range deals the rows out to tasks; each counts its rows, and the counts of
+    the tasks before give the rest.
+    """
+    # fixed by writing it down: the task of a row, and its order there
+    fixed = materialise(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
+    numbered = fixed.withColumn("_task", F.shiftright("_place", 33)).withColumn(
+        "_place", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    )
+    # one row per task of the sort
+    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = numbered.groupBy("_task").count().select(
+        "_task", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before")
+    )
+    return (
+        numbered.join(F.broadcast(before), "_task")
+        .withColumn("_place", F.col("_place") + F.col("_before"))
+        .drop("_task", "_before")
+    )
+
+
+def _hashable(df: DataFrame) -> list[Column]:
+    """All columns in a form that has a hash; maps and variants as text."""
+    return [
+        F.col(f"`{field.name}`")
+        if not isinstance(field.dataType, (T.MapType, T.VariantType))
+        else F.to_json(F.col(f"`{field.name}`"))
+        for field in df.schema.fields
+    ]

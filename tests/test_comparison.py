@@ -77,10 +77,6 @@ def test_student_table_values(t, df, p):
     assert student_two_sided(-t, df) == pytest.approx(p, abs=1e-6)
 
 
-def test_student_meets_normal():
-    assert student_two_sided(1.5, 9e6) == pytest.approx(normal_two_sided(1.5), abs=1e-6)
-
-
 def test_descriptives(spark):
     chance = random.Random(5)
     values = {
@@ -122,12 +118,53 @@ def test_running_totals_by_ranges_equal_one_window(spark):
     assert sorted(map(key, whole.collect())) == sorted(map(key, cut.collect()))
 
 
-@pytest.mark.parametrize("n", [11, 500, 999, 1000, 2000])
-def test_first_rows_by_counting_equals_plain(spark, monkeypatch, n):
+@pytest.mark.parametrize("n", [1, 11, 999, 1000, 2000])
+def test_first_rows_equal_plain(spark, n):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 * 3 as id", "id as x")
     expected = sorted(r.id for r in df.collect())[:n]
     assert sorted(r.id for r in ordering.first_rows(df, n).collect()) == expected
-    monkeypatch.setattr(ordering, "ONE_TASK_ROWS", 10)
-    monkeypatch.setattr(ordering, "BUCKETS", 8)
-    narrowed = ordering.first_rows(df, n)
-    assert sorted(r.id for r in narrowed.collect()) == expected
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint", "double", "date"])
+@pytest.mark.parametrize("n", [1, 4, 5, 7, 9, 20])
+def test_first_rows_with_ties_and_missing_keys(spark, kind, n):
+    keys = [5, 2, None, 2, 9, 2, None, 7, 2]
+    rows = [(None if k is None else f"2020-01-0{k}" if kind == "date" else str(k), i) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "k string, x int").repartition(3)
+    df = df.withColumn("k", df.k.cast(kind))
+    found = [r.k for r in ordering.first_rows(df, n, "k").collect()]
+    ordered = sorted((r.k for r in df.collect()), key=lambda k: (k is None, k or 0 if kind != "string" else k or ""))
+    assert sorted(found, key=repr) == sorted(ordered[:n], key=repr)
+
+
+def test_first_rows_twice_are_the_same_rows(spark):
+    df = spark.range(300).selectExpr("id % 3 as k", "id as x").repartition(7)
+    one, two = ({r.x for r in ordering.first_rows(df, 120, "k").collect()} for _ in range(2))
+    assert one == two and len(one) == 120
+
+
+@pytest.mark.parametrize("df", [1e6, 9.9e6, 1.01e7, 1e8, 1e10])
+@pytest.mark.parametrize("t", [0.3, 1.5, 5.0, 20.0, 36.0])
+def test_student_meets_normal_at_every_size(t, df):
+    # first terms of the expansion about the normal tail
+    z = normal_two_sided(t)
+    density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+    first = 2 * density * t * (t * t + 1) / (4 * df)
+    second = 2 * density * t * (3 * t**6 - 7 * t**4 - 5 * t * t - 3) / (96 * df * df)
+    assert student_two_sided(t, df) == pytest.approx(z + first + second, rel=1e-5)
+
+
+@pytest.mark.parametrize("t, df, p", [(1.0, 1, 0.5), (math.sqrt(2), 2, 1 - math.sqrt(0.5)), (1e8, 1, 2e-8 / math.pi), (0.0, 3, 1.0), (math.inf, 3, 0.0), (1e-9, 5, 1.0)])
+def test_student_in_closed_form(t, df, p):
+    assert student_two_sided(t, df) == pytest.approx(p, rel=1e-9)
+
+
+@pytest.mark.parametrize("df", [1, 3, 10, 49, 50, 99, 101, 1000])
+@pytest.mark.parametrize("t", [0.1, 1.0, 3.0, 10.0])
+def test_student_by_integration(t, df):
+    norm = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+    n = 20_000
+    inside = sum(
+        (4 if i % 2 else 2 if 0 < i < n else 1) * (1 + (t * i / n) ** 2 / df) ** (-(df + 1) / 2) for i in range(n + 1)
+    )
+    assert student_two_sided(t, df) == pytest.approx(1 - 2 * norm * inside * t / n / 3, abs=1e-9)
