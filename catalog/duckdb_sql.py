@@ -292,6 +292,37 @@ _COUNTS = f"""counts as (
     count(*) filter (valid and gold = {NEGATIVE}) as neg_gold
   from scored)"""
 
+def report(rows: str, ctes: str = SCORED) -> str:
+    """The report's lines over ``rows`` (gold, pred_diagnosis, valid, pred_correct)."""
+    return f"""with {ctes},
+      labels_of as (
+        select gold, coalesce(gold, {_text(fixed.NO_GOLD)}) as name,
+          count(*) filter (pred_diagnosis = {POSITIVE}) as d,
+          count(*) filter (pred_diagnosis = {NEGATIVE}) as n
+        from {rows} where valid group by 1),
+      totals as (
+        select sum(d) as d, sum(n) as n, greatest(4, max(length(name))) as width,
+          (select count(*) filter (pred_correct) / count(*) from {rows} where valid) as share
+        from labels_of),
+      numbered as (
+        select l.*, row_number() over (order by gold nulls last) as place from labels_of l),
+      lines as (
+        select 1 as line, {_text(fixed.ACCURACY_LINE)} || printf('%.3f', share) as metrics from totals
+        union all select 2, ''
+        union all select 3, {_text(fixed.MATRIX_LINE.strip())}
+        union all select 4, rpad('pred', cast(width as int), ' ')
+          || case when d > 0 then '  ' || {POSITIVE} else '' end
+          || case when n > 0 then '  ' || {NEGATIVE} else '' end from totals
+        union all select 5, rpad('gold', cast(width as int), ' ')
+          || case when d > 0 then repeat(' ', 12) else '' end
+          || case when n > 0 then repeat(' ', 16) else '' end from totals
+        union all select 5 + place, rpad(name, cast(width as int), ' ')
+          || case when t.d > 0 then '  ' || lpad(cast(l.d as varchar), 10, ' ') else '' end
+          || case when t.n > 0 then '  ' || lpad(cast(l.n as varchar), 14, ' ') else '' end
+        from numbered l, totals t)
+      select cast(line as bigint) as line, metrics from lines"""
+
+
 _METRICS = {
     "n_rows": "cast(n_rows as double)",
     "n_valid": "cast(n_valid as double)",
@@ -381,28 +412,7 @@ SQL: dict[str, str] = {
         f"select '{name}' as name, round({value}, 6) as value from counts"
         for name, value in _METRICS.items()
     ),
-    "metrics_report": f"""with {SCORED}, {_COUNTS},
-      named as (
-        select case when gold is null then {_text(fixed.NO_GOLD)}
-            when gold in ({POSITIVE}, {NEGATIVE}) then gold
-            else {_text(fixed.OTHER_GOLD)} end as name,
-          count(*) filter (pred_diagnosis = {POSITIVE}) as d,
-          count(*) filter (pred_diagnosis = {NEGATIVE}) as n
-        from scored where valid group by 1),
-      lines as (
-        select 1 as part, 'pred' as name, {POSITIVE} as d, {NEGATIVE} as n
-        union all select 2, 'gold', '', ''
-        union all select case name when {POSITIVE} then 3 when {NEGATIVE} then 4
-          when {_text(fixed.OTHER_GOLD)} then 5 else 6 end, name, cast(d as varchar),
-          cast(n as varchar) from named),
-      matrix as (
-        select string_agg(rpad(name, cast((select max(length(name)) from named) as int), ' ')
-          || '  ' || lpad(d, 10, ' ') || '  ' || lpad(n, 14, ' '), chr(10) order by part) as m
-        from lines)
-      select case when n_valid = 0 then {_text(fixed.NO_VALID_PREDICTIONS)}
-        else {_text(fixed.ACCURACY_LINE)} || printf('%.3f', n_correct / n_valid)
-          || {_text(fixed.MATRIX_LINE)} || m || chr(10) end as metrics
-      from counts, matrix""",
+    "metrics_report": report("scored"),
     "severity_error": f"with {measured(0, 'run')} select id, severity_error from run",
     "paired_differences": f"with {TWO_RUNS} select id, measure, d from differences",
     "descriptives": f"""with {TWO_RUNS},

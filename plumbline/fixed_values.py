@@ -45,7 +45,6 @@ EMPTY_INPUT = "Empty input."
 NO_VALID_PREDICTIONS = "No valid predictions to compute accuracy."
 ACCURACY_LINE = "Accuracy (valid rows only): "
 MATRIX_LINE = "\n\nConfusion matrix:\n"
-OTHER_GOLD = "(other label)"
 NO_GOLD = "(no label)"
 
 # Characters that count as white space when text is stripped or split: the

@@ -14,10 +14,11 @@ from plumbline.fixed_values import (
     NEGATIVE,
     NO_GOLD,
     NO_VALID_PREDICTIONS,
-    OTHER_GOLD,
     POSITIVE,
 )
 from plumbline.functions.text import folded
+from plumbline.operators.ordering import placed
+from plumbline.session import materialise
 
 
 def gold_label(value: Column, kind: T.DataType = T.StringType()) -> Column:
@@ -160,80 +161,51 @@ def confusion_matrix(
 
 
 def report(df: DataFrame, gold: str = "gold", pred: str = "pred_diagnosis") -> DataFrame:
-    """One row, one text column ``metrics``: accuracy line and matrix, or why not.
+    """``(line, metrics)``: the accuracy line and the matrix, or why there is none."""
+    return report_of(materialise(confusion_matrix(df, gold, pred)))
 
-    The text has at most four matrix rows, since human labels that are neither
-    word share one; ``confusion_matrix`` is the table with a row for each.
+
+def report_of(confusion: DataFrame) -> DataFrame:
+    """The report's lines from a written confusion table, one line per human label.
+
+    Labels come in their order, rows without a label last; a predicted label that never
+    occurs has no column. Only the totals reach the driver, in one row.
     """
-    p, g = folded(F.col(pred)), F.col(gold)
-    kinds = {
-        POSITIVE: g == POSITIVE,
-        NEGATIVE: g == NEGATIVE,
-        OTHER_GOLD: g.isNotNull() & ~g.isin(*LABELS),
-        NO_GOLD: g.isNull(),
-    }
-    cells = [
-        F.count_if(F.coalesce((p == label) & kind, F.lit(False))).alias(f"{name}|{label}")
-        for name, kind in kinds.items()
-        for label in LABELS
-    ]
-    rows = F.filter(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("name"),
-                    *[F.col(f"`{name}|{label}`").alias(label) for label in LABELS],
-                )
-                for name in kinds
-            ]
-        ),
-        lambda row: (row[POSITIVE] + row[NEGATIVE]) > 0,
-    )
-    total = {label: sum(F.col(f"`{name}|{label}`") for name in kinds) for label in LABELS}
-    correct = F.col(f"`{POSITIVE}|{POSITIVE}`") + F.col(f"`{NEGATIVE}|{NEGATIVE}`")
-    width = F.array_max(F.transform("rows", lambda row: F.length(row["name"])))
-
-    def line(name: Column, *values: Column) -> Column:
-        # a label nobody predicted has no column
-        parts = [
-            F.when(F.col(f"n_{label}") > 0, F.concat(F.lit("  "), _right(value, label)))
-            for label, value in zip(LABELS, values)
-        ]
-        return F.concat(F.rpad(name, F.col("width"), " "), *[F.coalesce(x, F.lit("")) for x in parts])
-
-    matrix = F.array_join(
-        F.concat(
-            F.array(
-                line(F.lit("pred"), *[F.lit(label) for label in LABELS]),
-                line(F.lit("gold"), F.lit(""), F.lit("")),
-            ),
-            F.transform(
-                "rows",
-                lambda row: line(row["name"], *[row[label].cast("string") for label in LABELS]),
-            ),
-        ),
-        "\n",
+    name = F.coalesce("gold", F.lit(NO_GOLD))
+    hits = F.when(F.col("gold") == POSITIVE, F.col("delusional")).when(
+        F.col("gold") == NEGATIVE, F.col("non_delusional")
     )
-    share = F.format_string("%.3f", F.try_divide("n_correct", "n_valid"))
-    return (
-        df.agg(*cells)
-        .select(
-            rows.alias("rows"),
-            correct.alias("n_correct"),
-            *[total[label].alias(f"n_{label}") for label in LABELS],
-        )
-        .withColumn("n_valid", sum(F.col(f"n_{label}") for label in LABELS))
-        .withColumn("width", width)
-        .select(
-            F.when(F.col("n_valid") == 0, F.lit(NO_VALID_PREDICTIONS))
-            .otherwise(
-                F.concat(
-                    F.lit(ACCURACY_LINE), share, F.lit(MATRIX_LINE), matrix, F.lit("\n")
-                )
-            )
-            .alias("metrics")
+    totals = confusion.agg(
+        F.coalesce(F.sum("delusional"), F.lit(0)).alias("delusional"),
+        F.coalesce(F.sum("non_delusional"), F.lit(0)).alias("non_delusional"),
+        F.coalesce(F.sum(hits), F.lit(0)).alias("correct"),
+        F.max(F.greatest(F.length(name), F.lit(4))).alias("width"),
+    ).first()
+    predicted = {POSITIVE: "delusional", NEGATIVE: "non_delusional"}
+    shown = {label: column for label, column in predicted.items() if totals[column]}
+    n_valid = totals["delusional"] + totals["non_delusional"]
+    spark = confusion.sparkSession
+    if not n_valid:
+        return spark.range(1).select(
+            F.lit(1).cast("bigint").alias("line"), F.lit(NO_VALID_PREDICTIONS).alias("metrics")
         )
+    width = totals["width"]
+    accuracy = f"{ACCURACY_LINE}{totals['correct'] / n_valid:.3f}"
+    heading = (accuracy + MATRIX_LINE).rstrip("\n").split("\n")
+    heading.append("pred".ljust(width) + "".join(f"  {label}" for label in shown))
+    heading.append("gold".ljust(width) + "".join(" " * (len(label) + 2) for label in shown))
+    above = spark.range(1).select(
+        F.posexplode(F.array(*[F.lit(text) for text in heading])).alias("line", "metrics")
+    )
+    cells = [
+        F.concat(F.lit("  "), _right(F.col(column).cast("string"), label))
+        for label, column in shown.items()
+    ]
+    rows = placed(confusion, F.col("gold").asc_nulls_last()).select(
+        (F.col("_place") + len(heading) + 1).alias("line"),
+        F.concat(F.rpad(name, width, " "), *cells).alias("metrics"),
     )
+    return above.select((F.col("line") + 1).cast("bigint").alias("line"), "metrics").unionByName(rows)
 
 
 def _right(value: Column, label: str) -> Column:

@@ -84,8 +84,8 @@ def first_rows(df: DataFrame, n: int, key: str = "id") -> DataFrame:
     all their columns. ``df`` is read more than once.
     """
     name = F.col(f"`{key}`")
-    placed = _placed(df.select(name.alias("key")), F.col("key").asc_nulls_last())
-    last = placed.where(F.col("_place") == n - 1).select("key").first()
+    in_order = placed(df.select(name.alias("key")), F.col("key").asc_nulls_last())
+    last = in_order.where(F.col("_place") == n - 1).select("key").first()
     if last is None:
         return df
     cut = last["key"]
@@ -97,12 +97,12 @@ def first_rows(df: DataFrame, n: int, key: str = "id") -> DataFrame:
     wanted = n - before.count()
     tied = df.where(equal)
     if wanted < tied.count():
-        in_order = _placed(tied, F.xxhash64(*_hashable(df)))
-        tied = in_order.where(F.col("_place") < wanted).select(*df.columns)
+        tied_order = placed(tied, F.xxhash64(*_hashable(df)))
+        tied = tied_order.where(F.col("_place") < wanted).select(*df.columns)
     return before.unionByName(tied)
 
 
-def _placed(df: DataFrame, *order: Column) -> DataFrame:
+def placed(df: DataFrame, *order: Column) -> DataFrame:
     """``df`` with ``_place``, its position in a global order from 0, ties as they come.
 
     A sort by range deals the rows out to tasks; each counts its rows, and the counts of

@@ -138,15 +138,24 @@ def run(
 
     # the answers keep their test row beside them, so nothing has to be joined
     responses = spark.read.parquet(f"{folder}/responses")
-    results = evaluate(with_predictions(responses, text))
-    write_tables(folder, predictions=results.predictions)
+    predicted = with_predictions(responses, text)
+    gold = first_present(predicted, GOLD_COLUMNS)
+    if gold is not None:
+        labelled = evaluation.with_gold(predicted, gold, "_gold")
+        predicted = evaluation.with_correctness(labelled, "_gold").drop("_gold")
+    write_tables(folder, predictions=predicted)
     predictions = spark.read.parquet(f"{folder}/predictions")
-    if results.metrics is None:
+    if gold is None:
         return Results(predictions, None, None, None)
-    scored = evaluate(predictions.drop("pred_correct"))
+    labelled = evaluation.with_gold(predictions, gold, "_gold")
     write_tables(
-        folder, metrics=scored.metrics, confusion=scored.confusion, report=scored.report
+        folder,
+        metrics=evaluation.metrics(labelled, "_gold"),
+        confusion=evaluation.confusion_matrix(labelled, "_gold"),
     )
+    # the report is made of the small table just written
+    confusion = spark.read.parquet(f"{folder}/confusion")
+    write_tables(folder, report=evaluation.report_of(confusion))
     names = ("metrics", "confusion", "report")
     return Results(predictions, *[spark.read.parquet(f"{folder}/{n}") for n in names])
 

@@ -68,22 +68,30 @@ def test_row_correctness_is_never_null(spark):
     assert all(r.pred_correct is not None for r in rows)
 
 
+def _lines(df):
+    rows = sorted(E.report(df).collect(), key=lambda r: r.line)
+    assert [r.line for r in rows] == list(range(1, len(rows) + 1))
+    return [r.metrics for r in rows]
+
+
 def test_report(spark):
-    assert E.report(_frame(spark, ROWS)).first().metrics == (
-        "Accuracy (valid rows only): 0.429\n\nConfusion matrix:\n"
-        "pred            delusional  non-delusional\n"
-        "gold                                      \n"
-        "delusional               2               1\n"
-        "non-delusional           1               1\n"
-        "(other label)            0               1\n"
-        "(no label)               1               0\n"
-    )
+    assert _lines(_frame(spark, ROWS)) == [
+        "Accuracy (valid rows only): 0.429",
+        "",
+        "Confusion matrix:",
+        "pred            delusional  non-delusional",
+        "gold                                      ",
+        "delusional               2               1",
+        "non-delusional           1               1",
+        "unsure                   0               1",
+        "(no label)               1               0",
+    ]
     one = _frame(spark, [(1, P, P), (2, P, P)])
-    assert E.report(one).first().metrics.endswith(
-        ":\npred        delusional\ngold                  \ndelusional           2\n"
-    )
+    assert _lines(one)[3:] == ["pred        delusional", "gold                  ", "delusional           2"]
+    many = _frame(spark, [(i, f"label {i:03}", P) for i in range(300)])
+    assert _lines(many)[-1] == "label 299           1" and len(_lines(many)) == 305
     none = _frame(spark, [(1, P, None)])
-    assert E.report(none).first().metrics == NO_VALID_PREDICTIONS
+    assert _lines(none) == [NO_VALID_PREDICTIONS]
     assert E.accuracy(none).first().accuracy is None
     labels = {r.label: r for r in E.precision_recall(none).collect()}
     assert labels[P].precision is None and labels[P].recall is None
