@@ -333,6 +333,57 @@ _METRICS = {
     "recall_non_delusional": "neg_both / neg_gold",
 }
 
+_PAIRED_T = f"""with {TWO_RUNS},
+  moments as (
+    select measure, count(*) as n, avg(d) as mean, stddev_samp(d) as sd
+    from differences group by measure),
+  paired_t as (
+    select measure, n, round(mean, 6) as mean, round(sd, 6) as sd,
+      round(mean / nullif(sd / sqrt(n), 0), 6) as t, n - 1 as df
+    from moments)"""
+
+_WILCOXON = """
+  tied as (
+    select measure, d, rank() over (partition by measure order by abs(d)) as low,
+      count(*) over (partition by measure, abs(d)) as c
+    from differences where d <> 0),
+  average as (select measure, d, c, low + (c - 1) / 2 as rank from tied),
+  sums as (
+    select measure, cast(count(*) as double) as n,
+      sum(case when d > 0 then rank else 0 end) as w_plus,
+      sum(case when d < 0 then rank else 0 end) as w_minus,
+      sum(cast(c as double) * c - 1) as ties
+    from average group by measure),
+  all_pairs as (select measure, count(*) as pairs from differences group by measure),
+  wilcoxon as (
+    select measure, pairs, cast(coalesce(n, 0) as bigint) as n, coalesce(w_plus, 0.0) as w_plus,
+      coalesce(w_minus, 0.0) as w_minus,
+      round((w_plus - n * (n + 1) / 4)
+        / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 0), 6) as z
+    from all_pairs left join sums using (measure))"""
+
+# documents as vectors of letter counts, each against all
+FROM_TEXT = f"""vectors_of as (
+  select doc_id as id, text as sentence,
+    [{", ".join(f"cast(length(text) - length(replace(text, chr({ord(c)}), '')) as float)" for c in fixtures.COUNTED)}] as embedding
+  from documents),
+{nearest('vectors_of')},
+contexts as (
+  select query_id, string_agg(sentence, {_text(fixed.CONTEXT_SEPARATOR)} order by rank) as context
+  from matches join vectors_of on id = corpus_id group by query_id)"""
+
+
+def _evaluated(gold_column: str, columns: str) -> str:
+    rows = f"""select *, pred_diagnosis is not null as valid,
+      coalesce(pred_diagnosis = gold, false) as pred_correct
+      from (select *, {gold(gold_column)} as gold from predictions)"""
+    counts = _COUNTS.removeprefix("counts as (").removesuffix(")").replace("from scored", f"from ({rows})")
+    return " union all ".join(
+        f"select '{columns}' as columns, '{name}' as name, round({value}, 6) as value from ({counts})"
+        for name, value in _METRICS.items()
+    )
+
+
 SQL: dict[str, str] = {
     "knn_top3": f"with {nearest(f'({VECTORS})')} select * from matches",
     "knn_top3_few_queries": f"with {nearest(f'({VECTORS})')} select * from matches",
@@ -423,31 +474,23 @@ SQL: dict[str, str] = {
         round(avg(value), 6) as mean, round(stddev_samp(value), 6) as sd,
         min(value) as min, max(value) as max, round(median(value), 6) as median
       from both_runs group by run, measure""",
-    "paired_t": f"""with {TWO_RUNS},
-      moments as (
-        select measure, count(*) as n, avg(d) as mean, stddev_samp(d) as sd
-        from differences group by measure)
-      select measure, n, round(mean, 6) as mean, round(sd, 6) as sd,
-        round(mean / nullif(sd / sqrt(n), 0), 6) as t, n - 1 as df
-      from moments""",
-    "wilcoxon_signed_rank": f"""with {TWO_RUNS},
-      tied as (
-        select measure, d, rank() over (partition by measure order by abs(d)) as low,
-          count(*) over (partition by measure, abs(d)) as c
-        from differences where d <> 0),
-      average as (select measure, d, c, low + (c - 1) / 2 as rank from tied),
-      sums as (
-        select measure, cast(count(*) as double) as n,
-          sum(case when d > 0 then rank else 0 end) as w_plus,
-          sum(case when d < 0 then rank else 0 end) as w_minus,
-          sum(cast(c as double) * c - 1) as ties
-        from average group by measure),
-      all_pairs as (select measure, count(*) as pairs from differences group by measure)
-      select measure, pairs, cast(coalesce(n, 0) as bigint) as n, coalesce(w_plus, 0.0) as w_plus,
-        coalesce(w_minus, 0.0) as w_minus,
-        round((w_plus - n * (n + 1) / 4)
-          / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 0), 6) as z
-      from all_pairs left join sums using (measure)""",
+    "paired_t": f"{_PAIRED_T} select * from paired_t",
+    "wilcoxon_signed_rank": f"with {TWO_RUNS}, {_WILCOXON} select * from wilcoxon",
+    "compare_runs": f"""{_PAIRED_T}, {_WILCOXON}
+      select t.*, pairs, w_plus, w_minus, z from paired_t t join wilcoxon using (measure)""",
+    "evaluated_run": f"with {predictions(0)} "
+    + " union all ".join(
+        [
+            _evaluated("diagnosis", "diagnosis"),
+            _evaluated("gold_text", "dignosis"),
+            _evaluated("diagnosis", "both"),
+            "select 'neither', 'no metrics', cast(count(*) as double) from predictions",
+        ]
+    ),
+    "rag_run_from_text": f"""with {FROM_TEXT}
+      select id, {STAND_IN} from (
+        select id, length({RETRIEVAL}) as n
+        from vectors_of left join contexts on query_id = id)""",
     "jsonl_items": f"with {ITEMS} select * from items",
     "generated_dataset": f"""with {ITEMS}
       select doc_id, type, sentence_id, sentence, severity, rationale,

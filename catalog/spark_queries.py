@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from catalog import fixtures
 from plumbline import configure
 from plumbline.functions.text import clean, is_blank
 from plumbline.functions.vectors import l2_normalize
-from plumbline.operators import comparison, evaluation, quality
+from plumbline.operators import evaluation, quality
 from plumbline.operators.embedding import (
     attach_embeddings,
     cache_misses,
@@ -23,13 +24,14 @@ from plumbline.operators.prompts import baseline_prompt, generation_prompts, ret
 from plumbline.operators.responses import normalize_predictions
 from plumbline.operators.retrieval import knn_join, with_context
 from plumbline.operators.scoring import embed
-from plumbline.plans.classification import classify
+from plumbline.plans.classification import PREDICTION_COLUMNS, classify, evaluate
+from plumbline.plans.comparison import Comparison, compare, measured
 from plumbline.plans.generation import dataset
-from plumbline.sources.tables import cap_rows
+from plumbline.session import checkpoint_folder
+from plumbline.sources.tables import cap_rows, write_tables
 
 # How far the second run's answer shapes are moved against the first one's.
 SHIFT = fixtures.SECOND_RUN
-MEASURES = ["correct", "severity_error", "pred_confidence"]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -86,16 +88,12 @@ def _scored(spark, folder, gold: str = "gold_text") -> DataFrame:
 
 def _measured(spark, folder, shift: int) -> DataFrame:
     """One run with the measures two runs are compared by."""
-    labelled = evaluation.with_gold(_predictions(spark, folder, shift), "diagnosis")
-    return comparison.with_severity_error(evaluation.with_correctness(labelled)).withColumn(
-        "correct", F.col("pred_correct").cast("int")
-    )
+    return measured(_predictions(spark, folder, shift))
 
 
-def _differences(spark, folder) -> DataFrame:
-    return comparison.paired_differences(
-        _measured(spark, folder, 0), _measured(spark, folder, SHIFT), MEASURES
-    )
+def _comparison(spark, folder) -> Comparison:
+    runs = [_predictions(spark, folder, shift) for shift in (0, SHIFT)]
+    return compare(*runs)
 
 
 def _item_responses(spark, folder) -> DataFrame:
@@ -274,6 +272,21 @@ def rag_run(spark, folder):
     return predicted.drop("sentence", "embedding")
 
 
+def rag_run_from_text(spark, folder):
+    """Texts alone: embed what the store lacks, retrieve, ask, read the answers."""
+    texts = _texts(spark, folder)
+    store = f"{checkpoint_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    predicted = classify(
+        texts,
+        fixtures.stand_in_answers,
+        texts,
+        embed_fn=fixtures.stand_in_vectors,
+        embed_model=fixtures.MODEL,
+        store=store,
+    )
+    return predicted.drop("sentence", "embedding")
+
+
 # --- answers and evaluation ------------------------------------------------
 
 
@@ -328,6 +341,29 @@ def metrics_report(spark, folder):
     return evaluation.report(_scored(spark, folder))
 
 
+def evaluated_run(spark, folder):
+    """Metrics by the first human-label column there is, for each set of such columns."""
+    predictions = _predictions(spark, folder)
+    text, number = F.col("gold_text").alias("dignosis"), F.col("diagnosis")
+    answer = [F.col(c) for c in PREDICTION_COLUMNS]
+    tables = {
+        "diagnosis": predictions.select("id", number, *answer),
+        "dignosis": predictions.select("id", text, *answer),
+        "both": predictions.select("id", text, number, *answer),
+        "neither": predictions.select("id", *answer),
+    }
+    rows = []
+    for columns, table in tables.items():
+        results = evaluate(table)
+        found = results.metrics
+        if found is None:
+            found = results.predictions.agg(
+                F.lit("no metrics").alias("name"), F.count(F.lit(1)).cast("double").alias("value")
+            )
+        rows.append(found.select(F.lit(columns).alias("columns"), "name", "value"))
+    return append_datasets(*rows).withColumns(_rounded("value"))
+
+
 # --- comparison of two runs ------------------------------------------------
 
 
@@ -336,31 +372,34 @@ def severity_error(spark, folder):
 
 
 def paired_differences(spark, folder):
-    return _differences(spark, folder)
+    return _comparison(spark, folder).differences
 
 
 def descriptives(spark, folder):
-    runs = [
-        comparison.measures_long(_measured(spark, folder, shift), name, MEASURES)
-        for name, shift in (("first", 0), ("second", SHIFT))
-    ]
-    return comparison.descriptives(append_datasets(*runs)).withColumns(
-        _rounded("mean", "sd", "median")
-    )
+    return _comparison(spark, folder).descriptives.withColumns(_rounded("mean", "sd", "median"))
 
 
 def paired_t(spark, folder):
     """p is left out: DuckDB has no t distribution. Unit tests cover it."""
-    return comparison.paired_t(_differences(spark, folder)).drop("p").withColumns(
-        _rounded("mean", "sd", "t")
-    )
+    return _comparison(spark, folder).paired_t.drop("p").withColumns(_rounded("mean", "sd", "t"))
 
 
 def wilcoxon_signed_rank(spark, folder):
     """p is left out: DuckDB has no normal distribution. Unit tests cover it."""
-    return comparison.wilcoxon_signed_rank(_differences(spark, folder)).drop(
-        "p"
-    ).withColumns(_rounded("z"))
+    return _comparison(spark, folder).wilcoxon.drop("p").withColumns(_rounded("z"))
+
+
+def compare_runs(spark, folder):
+    """Two written runs, compared from their tables: both tests, measure by measure."""
+    base = f"{checkpoint_folder(spark)}/compare-{uuid.uuid4().hex}"
+    for name, shift in (("first", 0), ("second", SHIFT)):
+        write_tables(base, **{name: _predictions(spark, folder, shift)})
+    runs = [spark.read.parquet(f"{base}/{name}") for name in ("first", "second")]
+    found = compare(*runs, path=f"{base}/comparison")
+    ranks = found.wilcoxon.select("measure", "pairs", "w_plus", "w_minus", "z")
+    return found.paired_t.drop("p").join(ranks, "measure").withColumns(
+        _rounded("mean", "sd", "t", "z")
+    )
 
 
 # --- generated data --------------------------------------------------------
@@ -427,6 +466,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         embedding_reuse,
         baseline_run,
         rag_run,
+        rag_run_from_text,
         normalized_predictions,
         attach_predictions,
         gold_labels,
@@ -437,11 +477,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         row_correctness,
         metrics,
         metrics_report,
+        evaluated_run,
         severity_error,
         paired_differences,
         descriptives,
         paired_t,
         wilcoxon_signed_rank,
+        compare_runs,
         jsonl_items,
         generated_dataset,
         appended_datasets,

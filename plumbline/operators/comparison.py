@@ -94,9 +94,23 @@ def paired_differences(
     )
 
 
-def paired_t(differences: DataFrame) -> DataFrame:
-    """Paired t-test per measure: ``n, mean, sd, t, df, p``; t is null without spread."""
-    return (
+def _for_all(
+    tests: DataFrame, measures: list[str] | None, zeros: tuple[str, ...]
+) -> DataFrame:
+    """A row for every named measure, also for one without a pair."""
+    if measures is None:
+        return tests
+    names = F.explode(F.array(*[F.lit(m) for m in measures])).alias("measure")
+    named = tests.sparkSession.range(1).select(names)
+    return named.join(tests, "measure", "left").na.fill(0, list(zeros))
+
+
+def paired_t(differences: DataFrame, measures: list[str] | None = None) -> DataFrame:
+    """Paired t-test per measure: ``n, mean, sd, t, df, p``; t is null without spread.
+
+    A measure of ``measures`` without a pair has n = 0 and no statistics.
+    """
+    tests = (
         differences.groupBy("measure")
         .agg(
             F.count("d").alias("n"),
@@ -107,15 +121,19 @@ def paired_t(differences: DataFrame) -> DataFrame:
         .withColumn("df", F.col("n") - 1)
         .withColumn("p", student_p("t", F.col("df").cast("double")))
     )
+    return _for_all(tests, measures, ("n",))
 
 
-def wilcoxon_signed_rank(differences: DataFrame) -> DataFrame:
+def wilcoxon_signed_rank(
+    differences: DataFrame, measures: list[str] | None = None
+) -> DataFrame:
     """Wilcoxon signed-rank test per measure: ``pairs, n, w_plus, w_minus, z, p``.
 
     Zeros are dropped, ties get their average rank, and z comes from the normal
     approximation with tie correction and without continuity correction. The
     differences are read once and folded to one row per distinct size; ranks
-    are worked out on those.
+    are worked out on those. A measure of ``measures`` without a pair has zero pairs
+    and no z.
     """
     counts = materialise(
         differences.groupBy("measure", F.abs("d").alias("size")).agg(
@@ -137,7 +155,7 @@ def wilcoxon_signed_rank(differences: DataFrame) -> DataFrame:
     )
     n = F.col("n").cast("double")
     # a measure whose differences are all zero still gets its row
-    return (
+    tests = (
         counts.groupBy("measure")
         .agg(F.sum("tied").alias("pairs"))
         .join(ranks, "measure", "left")
@@ -152,3 +170,4 @@ def wilcoxon_signed_rank(differences: DataFrame) -> DataFrame:
         .withColumn("p", normal_p("z"))
         .drop("_ties")
     )
+    return _for_all(tests, measures, ("pairs", "n", "w_plus", "w_minus"))

@@ -4,19 +4,63 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.fixed_values import EMPTY_INPUT, GOLD_COLUMNS, TEXT_COLUMN, TOP_K
+from plumbline.fixed_values import EMBED_BATCH, EMPTY_INPUT, GOLD_COLUMNS, TEXT_COLUMN, TOP_K
 from plumbline.functions.text import is_blank
 from plumbline.operators import evaluation
+from plumbline.operators.embedding import attach_embeddings, refresh_embeddings
 from plumbline.operators.prompts import baseline_prompt, retrieval_prompt
 from plumbline.operators.responses import PREDICTION_COLUMNS, normalize_predictions
 from plumbline.operators.retrieval import with_context
-from plumbline.operators.scoring import ScoreFunction, score
+from plumbline.operators.scoring import EmbedFunction, ScoreFunction, score
 from plumbline.sources.tables import first_present, require_column, write_tables
 
 
+def with_embeddings(
+    table: DataFrame,
+    embed_fn: EmbedFunction,
+    model: str,
+    store: str,
+    text: str = TEXT_COLUMN,
+    batch_size: int = EMBED_BATCH,
+    parallelism: int | None = None,
+) -> DataFrame:
+    """``table`` with the ``embedding`` of every text that is not blank.
+
+    ``store`` is the folder of a Parquet table ``key, embedding``. Texts whose vector it
+    holds for this model are not embedded again; new vectors are appended to it before
+    any is used.
+    """
+    spark = table.sparkSession
+    schema = "key string, embedding array<float>"
+    try:
+        held = spark.read.schema(schema).parquet(store)
+        held.head(1)
+    except AnalysisException:
+        held = spark.createDataFrame([], schema)
+    asking = table.where(~is_blank(F.col(text))).select(text)
+    refresh_embeddings(asking, held, embed_fn, model, text, batch_size, parallelism).write.mode(
+        "append"
+    ).parquet(store)
+    held = spark.read.schema(schema).parquet(store)
+    return attach_embeddings(table.drop("embedding"), held, model, text)
+
+
+def _prepared(test, corpus, text, embed_fn, model, store):
+    """Both tables with embeddings, made by ``embed_fn`` if there is one."""
+    if embed_fn is None or corpus is None:
+        return test, corpus
+    if model is None or store is None:
+        raise ValueError("embed_fn needs the model's name and a store for its vectors")
+    for name, table in (("test table", test), ("corpus", corpus)):
+        require_column(table, text, name)
+    corpus = with_embeddings(corpus, embed_fn, model, store, text)
+    return with_embeddings(test, embed_fn, model, store, text), corpus
+
+
 def with_prompts(
     test: DataFrame,
     corpus: DataFrame | None = None,
@@ -77,13 +121,18 @@ def classify(
     text: str = TEXT_COLUMN,
     batch_size: int = 64,
     parallelism: int | None = None,
+    embed_fn: EmbedFunction | None = None,
+    embed_model: str | None = None,
+    store: str | None = None,
     **search,
 ) -> DataFrame:
     """The test table with its four prediction columns.
 
-    The model is applied when the result is computed, once per action; use
+    With a ``corpus`` and ``embed_fn`` neither table needs an ``embedding``: vectors
+    come from the ``store`` or are made and added to it. The model is applied when the result is computed, once per action; use
     ``run`` to keep the answers.
     """
+    test, corpus = _prepared(test, corpus, text, embed_fn, embed_model, store)
     prompts = with_prompts(test, corpus, k, text, **search)
     answered = score(prompts, score_fn, "prompt", "response", batch_size, parallelism)
     return with_predictions(answered.drop("prompt"), text)
@@ -122,16 +171,22 @@ def run(
     text: str = TEXT_COLUMN,
     batch_size: int = 64,
     parallelism: int | None = None,
+    embed_fn: EmbedFunction | None = None,
+    embed_model: str | None = None,
+    store: str | None = None,
     **search,
 ) -> Results:
     """Classify, score and write ``responses``, ``predictions`` and the metrics tables.
 
+    ``embed_fn``, ``embed_model`` and ``store`` are those of ``classify``.
+
     The model's answers are written first and everything else is derived from
     the written table, so no answer is asked for twice and a lost executor
     costs at most the answers of its unfinished tasks.
     """
     folder = path.rstrip("/")
     spark = test.sparkSession
+    test, corpus = _prepared(test, corpus, text, embed_fn, embed_model, store)
     prompts = with_prompts(test, corpus, k, text, **search)
     answered = score(prompts, score_fn, "prompt", "response", batch_size, parallelism)
     write_tables(folder, responses=answered.drop("prompt"))
@@ -167,6 +222,7 @@ __all__ = [
     "evaluate",
     "from_responses",
     "run",
+    "with_embeddings",
     "with_predictions",
     "with_prompts",
 ]

@@ -30,14 +30,20 @@ def generate(
     n_normal: int = ITEMS_PER_KIND,
     types: tuple[str, ...] = TYPES,
     temperature: float = GENERATION_TEMPERATURE,
+    parallelism: int | None = None,
 ) -> DataFrame:
-    """Ask the caller's generator for every type, write ``responses`` and ``dataset``."""
+    """Ask the caller's generator for every type, write ``responses`` and ``dataset``.
+
+    ``parallelism`` is how many calls may run at once, by default one for each type.
+    """
     folder = path.rstrip("/")
     spark = definitions.sparkSession
     prompts = generation_prompts(
         definitions, "definitions", n_delusional, n_normal, types
     )
-    answered = score(prompts, generate_fn, "prompt", "response", batch_size=1)
+    answered = score(
+        prompts, generate_fn, "prompt", "response", 1, parallelism or len(types)
+    )
     write_tables(folder, responses=answered.select("type_requested", "response"))
     responses = spark.read.parquet(f"{folder}/responses")
     write_tables(folder, dataset=dataset(responses, model, temperature))

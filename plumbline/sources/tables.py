@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,10 @@ from plumbline.fixed_values import DEFAULT_DEFINITIONS, GOLD_COLUMNS, TEXT_COLUM
 from plumbline.operators.ordering import first_rows
 
 
+#: Bytes of a CSV file above which one task should not read it alone.
+LARGE_FILE = 1 << 30
+
+
 def read_table(
     spark: SparkSession,
     path: str,
@@ -21,24 +27,39 @@ def read_table(
 
     CSV columns are text unless ``schema`` gives types. ``multi_line`` accepts
     line breaks inside quotes, at the price of one task per file; turn it off
-    for large files known to have none.
+    for large files known to have none. A file of more than ``LARGE_FILE`` bytes
+    read that way gets a warning.
     """
     if not path.lower().rstrip("/").endswith(".csv"):
         reader = spark.read.schema(schema) if schema else spark.read
         return reader.parquet(path)
+    if multi_line:
+        # file sizes only, no content
+        sizes = spark.read.format("binaryFile").load(path).agg(F.max("length"))
+        if (sizes.first()[0] or 0) > LARGE_FILE:
+            warnings.warn(
+                f"{path} has a large file that one task reads; if no quoted text holds "
+                "a line break, pass multi_line=False",
+                stacklevel=2,
+            )
     reader = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"')
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
 def read_definitions(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """One row ``definitions``: the text file, or the built-in text without one."""
+    """One row ``definitions``: the text file, or the built-in text without one.
+
+    ``ValueError`` if the path stands for more than one file.
+    """
     if path and path.strip().lower().endswith(".txt"):
         try:
-            return spark.read.text(path.strip(), wholetext=True).select(
-                F.col("value").alias("definitions")
-            )
+            found = spark.read.text(path.strip(), wholetext=True)
         except AnalysisException:
-            pass
+            found = None
+        if found is not None:
+            if found.count() != 1:
+                raise ValueError(f"{path} must be one text file")
+            return found.select(F.col("value").alias("definitions"))
     return spark.range(1).select(F.lit(DEFAULT_DEFINITIONS).alias("definitions"))
 
 

@@ -168,3 +168,12 @@ def test_student_by_integration(t, df):
         (4 if i % 2 else 2 if 0 < i < n else 1) * (1 + (t * i / n) ** 2 / df) ** (-(df + 1) / 2) for i in range(n + 1)
     )
     assert student_two_sided(t, df) == pytest.approx(1 - 2 * norm * inside * t / n / 3, abs=1e-9)
+
+
+def test_a_measure_without_pairs_keeps_its_row(spark):
+    diffs = _diffs(spark, [1.0, -2.0, 0.0])
+    t = {r.measure: r for r in C.paired_t(diffs, ["m", "none"]).collect()}
+    w = {r.measure: r for r in C.wilcoxon_signed_rank(diffs, ["m", "none"]).collect()}
+    assert (t["m"].n, w["m"].pairs) == (3, 3)
+    assert tuple(t["none"]) == ("none", 0, None, None, None, None, None)
+    assert (w["none"].pairs, w["none"].n, w["none"].w_plus, w["none"].z, w["none"].p) == (0, 0, 0, None, None)

@@ -235,3 +235,70 @@ def test_generation(spark, tmp_path):
     made = generation.generate(tables.read_definitions(spark), generator, "m", str(tmp_path))
     assert made.count() == 20
     assert {r.sentence_id for r in made.collect()} == {1, 2}
+
+
+def test_run_from_text_embeds_every_text_once(spark, test_table, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def counting(texts):
+        asked.add(len(texts))
+        return letters(texts)
+
+    corpus = _corpus(spark).drop("embedding").union(test_table.where("id = 2").select("id", "sentence"))
+    search = {"embed_fn": counting, "embed_model": "m", "store": str(tmp_path / "store"), "k": 2}
+    done = classification.run(test_table, one_answer, str(tmp_path / "a"), corpus, **search)
+    assert _results(done.predictions) == EXPECTED
+    assert asked.value == 7  # four or five of the corpus, three of the test table, one in both
+    classification.run(test_table, one_answer, str(tmp_path / "b"), corpus, **search)
+    assert asked.value == 7
+    with pytest.raises(ValueError, match="store"):
+        classification.classify(test_table, one_answer, corpus, embed_fn=counting)
+
+
+def test_generation_asks_for_several_types_at_once(spark, tmp_path):
+    def where(prompts):
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        line = '{"id": 1, "label": "normal", "type": "Normal", "sentence": "%d", "severity": 0}'
+        return [line % task for _ in prompts]
+
+    made = generation.generate(tables.read_definitions(spark), where, "m", str(tmp_path))
+    assert len({r.sentence for r in made.collect()}) > 1
+
+
+def test_definitions_are_one_file(spark, tmp_path):
+    folder = tmp_path / "many.txt"
+    folder.mkdir()
+    for name in "ab":
+        (folder / name).write_text(name)
+    with pytest.raises(ValueError, match="one text file"):
+        tables.read_definitions(spark, str(folder))
+
+
+def test_a_large_file_read_by_one_task_gets_a_warning(spark, tmp_path, monkeypatch):
+    path = tmp_path / "test.csv"
+    path.write_text("sentence\nplain\n")
+    monkeypatch.setattr(tables, "LARGE_FILE", 4)
+    with pytest.warns(UserWarning, match="multi_line=False"):
+        tables.read_table(spark, str(path))
+    assert tables.read_table(spark, str(path), multi_line=False).count() == 1
+
+
+def test_comparison_of_written_runs(spark, test_table, tmp_path):
+    from plumbline.plans import comparison
+
+    table = test_table.withColumn("severity", F.lit(3))
+    runs = [
+        classification.run(table, answers, str(tmp_path / name)).predictions
+        for name, answers in (("a", one_answer), ("b", lambda prompts: ["no"] * len(prompts)))
+    ]
+    found = comparison.compare(*runs, path=str(tmp_path / "c"))
+    t = {r.measure: r for r in found.paired_t.collect()}
+    assert (t["correct"].n, t["correct"].mean) == (5, pytest.approx(0.4))
+    assert (t["severity_error"].n, t["pred_confidence"].n) == (0, 0)
+    described = {(r.run, r.measure): r for r in found.descriptives.collect()}
+    assert described["first", "severity_error"].mean == 1.0
+    assert described["second", "severity_error"].missing == 5
+    bare = comparison.compare(*[run.select("id", "pred_diagnosis", "pred_severity", "pred_confidence") for run in runs])
+    assert {r.n for r in bare.paired_t.collect()} == {0}
