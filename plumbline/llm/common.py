@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +11,8 @@ from plumbline.session import checkpoint_folder, configure, ship_packages
 
 #: Rows of an Arrow batch: texts can be long, and a batch is held whole.
 BATCH_ROWS = 1000
+#: Whether Spark deletes the shuffle files of a query when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A key with more than this share of the rows is hot, so at most its inverse are.
 HOT_SHARE = 0.001
 
@@ -47,21 +48,26 @@ def shared_path(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the folder all executors share, and read again.
 
-    Cuts the lineage, and later steps read only the columns they need.
+    Cuts the lineage, and later steps read only the columns they need. The plan runs only
+    here, so Spark may delete its shuffle files as soon as the table is written.
     """
-    path = shared_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more.
-
-    Spark does so when the driver collects garbage, which may be half an hour later; a
-    step that shuffled as much as the input should not hold its disk until then.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark = df.sparkSession
+    path = shared_path(spark)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a stored table that no later step reads."""
+    context = table.sparkSession.sparkContext
+    for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        place = context._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "left") -> DataFrame:

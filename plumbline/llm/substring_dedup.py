@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.array_merging import binary_arrays
-from plumbline.llm.common import release_shuffles, stored
+from plumbline.llm.common import discard, stored
 from plumbline.llm.ragged import take
 from plumbline.llm.texts import Hashes, Part, parts
 from plumbline.llm.tokens import binaries
@@ -236,11 +236,10 @@ def covered_spans(source: DataFrame, threshold: int) -> DataFrame:
         .where("low < high")
         .select("gram")
     )
-    release_shuffles(source.sparkSession)
     found = stored(
         _anchor_rows(source, threshold, contexts=True).join(shared.hint("shuffle_hash"), "gram")
     )
-    release_shuffles(source.sparkSession)
+    discard(shared)
     first = F.min(F.struct("doc", "row", "span")).alias("first")
     contexts = stored(
         found.groupBy("gram", "context")
@@ -258,7 +257,7 @@ def covered_spans(source: DataFrame, threshold: int) -> DataFrame:
             F.when(~F.col("_over"), F.col("context")).alias("context"),
         )
     )
-    release_shuffles(source.sparkSession)
+    discard(found)
     grams = stored(contexts.groupBy("gram").count().where("count > 1"))
     edges = contexts.join(grams, "gram")
     pieces = stored(
@@ -271,12 +270,14 @@ def covered_spans(source: DataFrame, threshold: int) -> DataFrame:
             "left",
         )
     )
-    release_shuffles(source.sparkSession)
+    discard(contexts)
     few = pieces.where("_many is null")
     covered = _compared_in_tasks(few.repartition("gram"), threshold)
     many = pieces.where("_many")
     if not many.isEmpty():
         covered = covered.unionByName(_compared_by_shuffle(many, threshold))
+    covered = stored(covered)
+    discard(pieces)
     whole = repeated.where("gram is null").select(
         "doc",
         "row",
