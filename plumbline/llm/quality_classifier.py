@@ -86,6 +86,11 @@ def features(part: Part, buckets: int = BUCKETS):
     return bucket, weights.astype(np.float32), offsets, statistics.astype(np.float32)
 
 
+def _sums(text: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The values' sum for each of n texts; numbers also where no text has any."""
+    return np.bincount(text, weights=values, minlength=n).astype(np.float64)
+
+
 @dataclass
 class Model:
     """Weights and factors: words first, then statistics (standardised)."""
@@ -106,13 +111,12 @@ class Model:
         x = self.standardised(statistics)
         first = len(self.linear) - x.shape[1]
         scores = self.bias + x @ self.linear[first:]
-        scores += np.bincount(text, weights=self.linear[bucket] * weights, minlength=n)
+        scores += _sums(text, self.linear[bucket] * weights, n)
         for f in range(self.factors.shape[1]):
             of_words = self.factors[bucket, f] * weights
             of_statistics = x * self.factors[first:, f]
-            total = np.bincount(text, weights=of_words, minlength=n) + of_statistics.sum(axis=1)
-            squares = np.bincount(text, weights=of_words**2, minlength=n)
-            squares += (of_statistics**2).sum(axis=1)
+            total = _sums(text, of_words, n) + of_statistics.sum(axis=1)
+            squares = _sums(text, of_words**2, n) + (of_statistics**2).sum(axis=1)
             scores += (total**2 - squares) / 2
         return scores
 
