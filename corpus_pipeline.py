@@ -22,20 +22,29 @@ def _of_kept(docs: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
     return docs.join(right, same, "left_semi")
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose predicted quality is at least ``PREDICTED_FROM``."""
     model = quality_classifier.fit(docs, table(spark, folder, "labels"))
-    scored = quality_classifier.with_scores(docs, model, score="_score")
-    return scored.where(F.col("_score") >= PREDICTED_FROM).drop("_score")
+    score = _unused(docs, "score")
+    scored = quality_classifier.with_scores(docs, model, score=score)
+    return scored.where(F.col(score) >= PREDICTED_FROM).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of documents with equal texts the one with the largest identifier."""
     prepare(spark)
     found = exact_dedup.exact_duplicates(docs)
-    text = F.coalesce("text", F.lit(""))
-    named = docs.withColumn("digest", exact_dedup.sha256(text))
-    return _of_kept(named, found.where("kept"), ["doc_id", "digest"]).drop("digest")
+    digest = _unused(docs, "digest")
+    named = docs.withColumn(digest, exact_dedup.sha256(F.coalesce("text", F.lit(""))))
+    kept = found.where("kept").withColumnRenamed("digest", digest)
+    return _of_kept(named, kept, ["doc_id", digest]).drop(digest)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -50,13 +59,17 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     A character that is cut in two becomes the replacement character.
     """
     prepare(spark)
+    # the other columns come along as one, whatever they are called
     rest = [name for name in docs.columns if name not in ("doc_id", "text", "n_chars")]
-    found = substring_dedup.remove_repeats(docs, carry=rest)
-    return (
-        found.where("n_removed < n_bytes or n_bytes = 0")
-        .withColumn("text", F.make_valid_utf8(F.col("kept").cast("string")))
-        .withColumn("n_chars", F.length("text").cast("bigint"))
-        .select(docs.columns)
+    others = F.struct(*[F.col(f"`{name}`") for name in rest], F.lit(0).alias(_unused(docs, "none")))
+    found = substring_dedup.remove_repeats(
+        docs.select("doc_id", "text", others.alias("others")), carry=["others"]
+    )
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    columns = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("bigint")}
+    columns |= {name: F.col(f"others.`{name}`") for name in rest}
+    return found.where("n_removed < n_bytes or n_bytes = 0").select(
+        *[columns[name].alias(name) for name in docs.columns]
     )
 
 
