@@ -165,6 +165,37 @@ SQL = {
                     when canonical in (select canonical from listed) then 'block'
                     else 'allow' end as verdict
         from judged""",
+    "op4_near_dedup": r"""
+        with recursive worded as (
+          select doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') as w
+          from documents
+        ), shingles as (
+          select distinct doc_id, s from (
+            select doc_id, unnest(
+              case when len(w) > 1
+                then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+                else w end) as s
+            from worded)
+        ), sizes as (
+          select doc_id, count(*) as n from shingles group by doc_id
+        ), pairs as (
+          select a.doc_id as x, b.doc_id as y, count(*) as c
+          from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all
+        ), links as (
+          select x, y from pairs join sizes p on p.doc_id = x join sizes q on q.doc_id = y
+          where 100 * c >= 80 * (p.n + q.n - c)
+        ), reached(doc_id, other) as (
+          select doc_id, doc_id from documents
+          union
+          select r.doc_id, l.y from reached r
+          join (select x, y from links union all select y, x from links) l on l.x = r.other
+        )
+        select d.doc_id, coalesce(any_value(n), 0) as n_shingles, min(other) as component_id,
+               d.doc_id = min(other) as kept
+        from documents d join reached using (doc_id) left join sizes using (doc_id)
+        group by d.doc_id""",
     "op5_warc": """
         with sized as (
           select page_id, coalesce(html, '') as body, strlen(coalesce(html, '')) as n from pages
