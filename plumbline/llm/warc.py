@@ -49,9 +49,12 @@ def train_dictionary(pages: DataFrame, identifier: str, payload: str) -> bytes:
 
     Only compression depends on it. Too few samples to train on give plain content.
     """
+    # identifiers first: tasks hand on no payload that is not chosen
+    chosen = pages.select(identifier).distinct().orderBy(F.xxhash64(identifier)).limit(SAMPLE_PAGES)
     sample = (
-        pages.select(identifier, F.substring(payload, 1, SAMPLE_PAGE_BYTES).alias("start"))
-        .orderBy(F.xxhash64(identifier), "start")
+        pages.join(F.broadcast(chosen), identifier)
+        .select(F.substring(payload, 1, SAMPLE_PAGE_BYTES).alias("start"))
+        .orderBy(F.length("start"), "start")
         .limit(SAMPLE_PAGES)
         .collect()
     )
@@ -74,8 +77,8 @@ def with_record_types(
     Of equal payloads of at least ``least`` bytes the row with the largest identifier is
     the response; others are revisits that refer to it. Payloads are equal if length,
     SHA-256 and SHA-1 are. Payloads that rows share are counted by digest before any
-    payload moves. A row with a null identifier refers to one with an identifier, if
-    there is any; a repeated row with the response's identifier is a response too.
+    payload moves. A row without an identifier is a response, and so is a repeated row
+    with the response's identifier.
     """
     digested = pages.withColumn("payload_digest", F.sha1(payload)).withColumn(
         "_content", F.unhex(F.concat(F.sha2(payload, 256), "payload_digest"))
@@ -90,7 +93,7 @@ def with_record_types(
     key = [identifier, "_content"]
     revisits = stored(
         attach(stored(long.select(*key)), shared, "_content", "_size", how="inner")
-        .where(~F.col(identifier).eqNullSafe(F.col("_response")))
+        .where(F.col(identifier) != F.col("_response"))
         .select(*key, F.col("_response").alias("refers_to"))
         .distinct()
     )
