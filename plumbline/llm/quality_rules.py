@@ -160,9 +160,9 @@ def quality_rules(
     """
     source = texts_of(docs, identifier, text)
     marks = trusted.select(identifier).distinct().withColumn("_trusted", F.lit(True))
-    ratios = log_ratios(
-        corpus_counts(source.join(marks, identifier, "left"), "_trusted", text, buckets), buckets
-    )
+    # the same plan at every size: a broadcast of the identifiers would not last
+    marked = source.join(marks.hint("shuffle_hash"), identifier, "left")
+    ratios = log_ratios(corpus_counts(marked, "_trusted", text, buckets), buckets)
     sent = source.sparkSession.sparkContext.broadcast(ratios)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
