@@ -211,4 +211,38 @@ SQL = {
                doc_id = max(doc_id) over same as kept,
                sha256(coalesce(text, '')) as text_sha256
         from documents window same as (partition by coalesce(text, ''))""",
+    "op10_suffix_dedup": """
+        with texts as (
+          select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+        ), starts as (
+          select doc_id, h, unnest(range(0, length(h) // 2, 64)) as start from texts
+        ), blocks as (
+          -- 64 bytes and the 49 after them
+          select doc_id, start, substr(h, 2 * start + 1, 226) as block from starts
+        ), places as (
+          select doc_id, start, block, unnest(range(0, least(64, length(block) // 2))) as i from blocks
+        ), windows as (
+          select doc_id, start + i as p, substr(block, 2 * i + 1, 2) as b,
+                 case when 2 * i + 100 <= length(block) then md5(substr(block, 2 * i + 1, 100)) end as w
+          from places
+        ), firsts as (
+          select w, min(doc_id) as first_id from windows where w is not null group by w
+        ), marked as (
+          select doc_id, p, b, coalesce(first_id < doc_id, false)::int as hit
+          from windows left join firsts using (w)
+        ), covered as (
+          select doc_id, p, b, max(hit) over (
+            partition by doc_id order by p rows between 49 preceding and current row) as gone
+          from marked
+        ), runs as (
+          select *, lag(gone, 1, 0) over (partition by doc_id order by p) as before from covered
+        ), cut as (
+          select doc_id, count(*) as n_bytes, count(*) filter (gone = 1) as n_removed,
+                 count(*) filter (gone = 1 and before = 0) as n_spans,
+                 string_agg(b, '' order by p) filter (gone = 0) as kept
+          from runs group by doc_id
+        )
+        select doc_id, coalesce(n_bytes, 0) as n_bytes, coalesce(n_removed, 0) as n_removed,
+               coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+        from documents left join cut using (doc_id)""",
 }
