@@ -2,14 +2,15 @@
 
 Texts with equal shingle sets are one class from the start. Classes that share a band
 are candidates; links between them are confirmed on whole sets, in two steps that never
-write out the pairs of a group:
+write out the pairs of a large group:
 
 1. In every bucket of a band, all members are compared with one of them. The links found
    join most of each group of near copies.
-2. What is left are buckets whose members belong to several components. Tasks take such a
-   bucket's sets, in blocks of a bounded number, and compare the members of different
-   components by one matrix product over the shingles they share; they return links that
-   join components, not pairs.
+2. What is left are buckets whose members belong to several components. Those of a
+   dozen members or less give their pairs from different components to the same
+   confirmation. Of larger ones, tasks take the sets in blocks of a bounded number and
+   compare members of different components by one matrix product over the shingles they
+   share; they return links that join components, not pairs.
 
 After both, any two candidates are in one component or are known not to be linked. Two
 linked sets share none of the bands with a probability of at most
@@ -32,6 +33,8 @@ from plumbline.llm.texts import parts
 
 #: Members of a bucket that one block holds; a task compares at most two blocks.
 BLOCK = 1000
+#: Buckets of at most so many members name their few pairs instead.
+SMALL = 12
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -155,19 +158,35 @@ def _new_links(nodes, labels, sides, sets, percent: int, same_block: bool) -> li
     return found
 
 
-def _linked_in_blocks(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _more_links(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links between different components in buckets that still hold several."""
     labelled = stored(
         members.join(labels, "node", "left").select(
-            "bucket", "node", F.coalesce("label", "node").alias("label")
+            "bucket", "node", "n", F.coalesce("label", "node").alias("label")
         )
     )
     mixed = stored(
         labelled.groupBy("bucket")
         .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
         .where("low <> high")
-        .select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        .select("bucket", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     )
+    few = labelled.join(mixed.where(F.col("size") <= SMALL).select("bucket"), "bucket")
+    near_size = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
+    pairs = (
+        few.withColumnRenamed("node", "a")
+        .join(few.toDF("bucket", "b", "n_b", "label_b"), "bucket")
+        .where((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & near_size)
+        .select("a", "b")
+        .distinct()
+    )
+    many = mixed.where(F.col("size") > SMALL).drop("size")
+    in_blocks = _linked_in_blocks(labelled.drop("n"), many, sets, percent)
+    return _confirmed(pairs, sets, percent).unionByName(in_blocks)
+
+
+def _linked_in_blocks(labelled: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of the larger buckets, found in blocks."""
     block = F.pmod(F.hash("node"), F.col("blocks"))
     # a member meets every block of its bucket once: (lower block, higher block)
     met = F.expr("sequence(0, blocks - 1)")
@@ -253,7 +272,7 @@ def near_duplicates(
     )
     links = stored(_confirmed(stars, sets, percent))
     labels = components(links)
-    more = stored(_linked_in_blocks(members, sets, labels, percent))
+    more = stored(_more_links(members, sets, labels, percent))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = stored(
@@ -261,10 +280,12 @@ def near_duplicates(
         .join(labels, "node", "left")
         .withColumn("label", F.coalesce("label", "node"))
     )
-    heads = named.groupBy("label").agg(
-        F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("classes")
+    heads = stored(
+        named.groupBy("label").agg(
+            F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("classes")
+        )
     )
-    placed = stored(attach(named.select("key", "size", "label"), stored(heads), "label", "classes"))
+    placed = stored(attach(named.select("key", "size", "label"), heads, "label", "classes"))
     found = attach(
         documents.where("n_shingles > 0").select(identifier, "n_shingles", "key"),
         placed.select("key", "size", "component_id"),
