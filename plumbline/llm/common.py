@@ -63,7 +63,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def discard(table: DataFrame) -> None:
-    """Delete a stored table that no later step reads."""
+    """Delete a stored table that no later step reads, so that steps do not add up on disk."""
     context = table.sparkSession.sparkContext
     for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
         place = context._jvm.org.apache.hadoop.fs.Path(folder)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stored
+from plumbline.llm.common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -35,9 +35,14 @@ def components(links: DataFrame) -> DataFrame:
             .agg(F.min("label_b").alias("lower"))
         )
         if lower.isEmpty():
+            discard(one_way)
             return labels
         moved = labels.join(lower, "node", "left").select(
             "node", F.least("label", F.coalesce("lower", "label")).alias("label")
         )
         ends = moved.toDF("label", "end")
-        labels = stored(moved.join(ends, "label").select("node", F.col("end").alias("label")))
+        before, labels = labels, stored(
+            moved.join(ends, "label").select("node", F.col("end").alias("label"))
+        )
+        discard(before)
+        discard(lower)

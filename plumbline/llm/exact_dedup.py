@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import HOT_SHARE, stored, texts_of
+from plumbline.llm.common import HOT_SHARE, discard, stored, texts_of
 
 #: Parts that a hot digest's rows are dealt out to.
 SALTS = 64
@@ -79,7 +79,9 @@ def exact_duplicates(
     ).unionByName(
         rows.where(F.col("_hot").isNull()).drop("_hot").join(alone, "digest")
     )
-    if not collided.isEmpty():
+    if collided.isEmpty():
+        discard(merged)
+    else:
         found = found.unionByName(
             texts.withColumn("digest", digest(F.col(text)))
             .join(collided, "digest", "left_semi")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import attach, stored, texts_of
+from plumbline.llm.common import attach, discard, stored, texts_of
 from plumbline.llm.components import components
 from plumbline.llm.minhash import BANDS, ROWS, band_hashes, set_keys, shingle_sets, signatures
 from plumbline.llm.texts import parts
@@ -261,6 +261,7 @@ def near_duplicates(
         .select("bucket", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n"))
     )
     members = stored(in_bands.join(shared, "bucket"))
+    discard(shared)
     needed = classes.join(members.select("node").distinct(), "node", "left_semi")
     sets = stored(_sets(docs, needed.select("first_id", "key", "node"), identifier, text, shingle))
     near_size = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
@@ -280,12 +281,16 @@ def near_duplicates(
         .join(labels, "node", "left")
         .withColumn("label", F.coalesce("label", "node"))
     )
+    for table in (members, sets, links, more, labels, classes):
+        discard(table)
     heads = stored(
         named.groupBy("label").agg(
             F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("classes")
         )
     )
     placed = stored(attach(named.select("key", "size", "label"), heads, "label", "classes"))
+    discard(named)
+    discard(heads)
     found = attach(
         documents.where("n_shingles > 0").select(identifier, "n_shingles", "key"),
         placed.select("key", "size", "component_id"),
