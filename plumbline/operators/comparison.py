@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.distributions import normal_p, student_p
-from plumbline.operators.ordering import running_totals
+from plumbline.operators.ordering import prefix_sums
 from plumbline.session import materialise
 
 
@@ -52,7 +52,7 @@ def descriptives(long: DataFrame) -> DataFrame:
         F.max("value").alias("max"),
     )
     present = counts.where(value.isNotNull())
-    placed = running_totals(present, "value", "_count", by, "_before").join(
+    placed = prefix_sums(present, [F.col("value")], {"_before": count}, by).join(
         moments.select(*by, "n", "mean"), by
     )
     # the values at the two middle positions, counted from 0
@@ -77,16 +77,36 @@ def descriptives(long: DataFrame) -> DataFrame:
     )
 
 
+def _one_row_per_key(run: DataFrame, measures: list[str], key: str, side: str) -> DataFrame:
+    """The measures by key; reading it fails on a repeated key and names it.
+
+    The grouping by key is the one that the join needs, so it adds no shuffle.
+    """
+    columns = [F.any_value(F.col(m).cast("double")).alias(f"_{side}_{m}") for m in measures]
+    message = F.concat(
+        F.lit(f"{key} "), F.col(key).cast("string"), F.lit(f" occurs more than once in the {side} run")
+    )
+    once = F.when(F.col("_rows") > 1, F.raise_error(message).cast("boolean")).otherwise(True)
+    return (
+        run.where(F.col(key).isNotNull())
+        .groupBy(key)
+        .agg(F.count(F.lit(1)).alias("_rows"), *columns)
+        .where(once)
+        .drop("_rows")
+    )
+
+
 def paired_differences(
     first: DataFrame, second: DataFrame, measures: list[str], key: str = "id"
 ) -> DataFrame:
     """``(key, measure, d)``: first run minus second, for rows both runs have.
 
-    A pair with a missing value on either side gives no row for that measure.
+    A pair with a missing value on either side gives no row for that measure. A key that
+    a run has twice fails the job; rows without a key pair with nothing.
     """
-    left = first.select(key, *[F.col(m).cast("double").alias(f"_a_{m}") for m in measures])
-    right = second.select(key, *[F.col(m).cast("double").alias(f"_b_{m}") for m in measures])
-    differences = {m: F.col(f"_a_{m}") - F.col(f"_b_{m}") for m in measures}
+    left = _one_row_per_key(first, measures, key, "first")
+    right = _one_row_per_key(second, measures, key, "second")
+    differences = {m: F.col(f"_first_{m}") - F.col(f"_second_{m}") for m in measures}
     return (
         left.join(right, key)
         .select(key, _unpivot(differences, "d"))
@@ -141,8 +161,8 @@ def wilcoxon_signed_rank(
             F.count(F.lit(1)).alias("tied"),
         )
     )
-    ranked = running_totals(
-        counts.where(F.col("size") > 0), "size", "tied", ["measure"], "smaller"
+    ranked = prefix_sums(
+        counts.where(F.col("size") > 0), [F.col("size")], {"smaller": F.col("tied")}, ["measure"]
     )
     tied = F.col("tied").cast("double")
     positive = F.col("positive").cast("double")

@@ -2,76 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.session import materialise
 
-BUCKETS = 256
-ONE_TASK_ROWS = 1_000_000
-
-
-def _boundaries(column: str, accuracy: int = 10_000):
-    steps = [F.lit(i / BUCKETS) for i in range(1, BUCKETS)]
-    return F.percentile_approx(column, F.array(*steps), accuracy)
-
-
-def running_totals(
-    counts: DataFrame,
-    value: str,
-    weight: str,
-    by: list[str],
-    name: str,
-    one_task_rows: int = ONE_TASK_ROWS,
+def prefix_sums(
+    df: DataFrame,
+    order: list[Column],
+    weights: dict[str, Column],
+    by: list[str] | None = None,
+    keep: Callable[[DataFrame], DataFrame] = materialise,
 ) -> DataFrame:
-    """Add ``name``: the total ``weight`` of the smaller values in the same ``by`` group.
+    """Add, for every name in ``weights``, the total of that column over the rows before.
 
-    ``counts`` holds one row per group and distinct value, so a value that many
-    rows share is one row here. It is read several times; pass a materialised
-    table. A table of at most ``one_task_rows`` rows gets one window per group.
-    A larger one is cut into at most 256 value ranges at approximate quantiles,
-    and the running sum is taken within a range, plus the total of the ranges
-    before it. Equal values fall into the same range, so the totals are exact
-    whatever the quantiles are.
+    Before means earlier in ``order``, among the rows with the same ``by`` columns (none of
+    them null). Rows that tie in the order come one after the other in some fixed order.
+
+    A sort by range deals the rows out to tasks, as many as their bytes ask for, and
+    ``keep`` writes the sorted table down, which fixes each row's task and its place there.
+    Every task sums its own rows; the totals of the tasks before, one row per task and
+    group, are added. So no task holds more than its range, whatever the groups' sizes.
     """
-    if counts.count() <= one_task_rows:
-        smaller = (
-            Window.partitionBy(*by)
-            .orderBy(value)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        return counts.withColumn(
-            name, F.coalesce(F.sum(weight).over(smaller), F.lit(0))
-        )
-    bounds = counts.agg(_boundaries(value)).scalar()
-    placed = (
-        counts.withColumn("_bounds", bounds)
-        .withColumn(
-            "_range", F.size(F.filter("_bounds", lambda b: b < F.col(value)))
+    by = by or []
+    fixed = keep(
+        df.orderBy(*[F.col(name) for name in by], *order).withColumn(
+            "_at", F.monotonically_increasing_id()
         )
-        .drop("_bounds")
     )
-    # one row per group and range: at most 256 per group
-    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1
+    numbered = fixed.withColumn("_task", F.shiftright("_at", 33))
+    within = (
+        Window.partitionBy("_task", *by)
+        .orderBy("_at")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = (
-        placed.groupBy(*by, "_range")
-        .agg(F.sum(weight).alias("_total"))
-        .select(
-            *by, "_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset")
-        )
+    earlier = Window.partitionBy(*by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    totals = numbered.groupBy("_task", *by).agg(
+        *[F.sum(weight).alias(f"_of_{name}") for name, weight in weights.items()]
     )
-    smaller = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, -1
+    offsets = totals.select(
+        "_task",
+        *by,
+        *[F.coalesce(F.sum(f"_of_{name}").over(earlier), zero).alias(f"_of_{name}") for name in weights],
     )
+    sums = {
+        name: F.coalesce(F.sum(weight).over(within), zero) + F.col(f"_of_{name}")
+        for name, weight in weights.items()
+    }
     return (
-        placed.join(offsets, [*by, "_range"])
-        .withColumn(
-            name, F.coalesce(F.sum(weight).over(smaller), F.lit(0)) + F.col("_offset")
-        )
-        .drop("_range", "_offset")
+        numbered.join(offsets, ["_task", *by])
+        .withColumns(sums)
+        .drop("_task", "_at", *[f"_of_{name}" for name in weights])
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +16,33 @@ from plumbline.sources.tables import first_present, write_tables
 MEASURES = ["correct", "severity_error", "pred_confidence"]
 
 
-@dataclass(frozen=True)
 class Comparison:
-    """``descriptives`` has a row per run and measure, the others one per measure."""
+    """``descriptives`` has a row per run and measure, the others one per measure.
+
+    Each table is worked out when it is first asked for; two of them start jobs of their
+    own then.
+    """
+
+    def __init__(self, differences: DataFrame, long: DataFrame):
+        self.differences = differences
+        self._long = long
+
+    @cached_property
+    def descriptives(self) -> DataFrame:
+        return comparison.descriptives(self._long)
+
+    @cached_property
+    def paired_t(self) -> DataFrame:
+        return comparison.paired_t(self.differences, MEASURES)
+
+    @cached_property
+    def wilcoxon(self) -> DataFrame:
+        return comparison.wilcoxon_signed_rank(self.differences, MEASURES)
+
+
+@dataclass(frozen=True)
+class WrittenComparison:
+    """The same tables, read back from where they were written."""
 
     differences: DataFrame
     descriptives: DataFrame
@@ -55,11 +80,11 @@ def compare(
     gold_columns: tuple[str, ...] = GOLD_COLUMNS,
     severity: str = "severity",
     path: str | None = None,
-) -> Comparison:
+) -> Comparison | WrittenComparison:
     """Descriptives of two runs, and tests of the rows that both have.
 
     ``first`` and ``second`` are ``predictions`` tables as ``classification.run`` writes
-    them, with one row per ``key``. With ``path`` the four tables are written there and
+    them, with one row per ``key``; a key that a run has twice fails the job. With ``path`` the four tables are written there and
     read back.
     """
     runs = [measured(run, gold_columns, severity) for run in (first, second)]
@@ -69,20 +94,10 @@ def compare(
         folder = path.rstrip("/")
         write_tables(folder, differences=differences)
         differences = first.sparkSession.read.parquet(f"{folder}/differences")
-    found = Comparison(
-        differences,
-        comparison.descriptives(long[0].unionByName(long[1])),
-        comparison.paired_t(differences, MEASURES),
-        comparison.wilcoxon_signed_rank(differences, MEASURES),
-    )
+    found = Comparison(differences, long[0].unionByName(long[1]))
     if path is None:
         return found
-    write_tables(
-        folder,
-        descriptives=found.descriptives,
-        paired_t=found.paired_t,
-        wilcoxon=found.wilcoxon,
-    )
+    names = ("descriptives", "paired_t", "wilcoxon")
+    write_tables(folder, **{name: getattr(found, name) for name in names})
     read = first.sparkSession.read.parquet
-    written = ("descriptives", "paired_t", "wilcoxon")
-    return Comparison(differences, *[read(f"{folder}/{name}") for name in written])
+    return WrittenComparison(differences, *[read(f"{folder}/{name}") for name in names])

@@ -6,10 +6,11 @@ import statistics
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from plumbline.functions.distributions import normal_two_sided, student_two_sided
 from plumbline.operators import comparison as C
 from plumbline.operators import ordering
-from plumbline.session import materialise
 
 
 def _diffs(spark, values, measure="m"):
@@ -105,17 +106,40 @@ def test_pairing_keeps_rows_both_runs_have(spark):
     assert [tuple(r) for r in rows] == [(1, "x", 1.0)]
 
 
-def test_running_totals_by_ranges_equal_one_window(spark):
+def test_prefix_sums_over_several_tasks(spark):
     chance = random.Random(1)
-    rows = {(chance.choice("ab"), round(chance.gauss(0, 3), 2)) for _ in range(3000)}
-    df = materialise(
-        spark.createDataFrame([(g, v, chance.randint(1, 9)) for g, v in rows],
-                              "g string, v double, w long")
-    )
-    whole = ordering.running_totals(df, "v", "w", ["g"], "before")
-    cut = ordering.running_totals(df, "v", "w", ["g"], "before", one_task_rows=0)
-    key = lambda r: (r.g, r.v, r.w, r.before)
-    assert sorted(map(key, whole.collect())) == sorted(map(key, cut.collect()))
+    rows = sorted({(chance.choice("ab"), round(chance.gauss(0, 3), 2)) for _ in range(3000)})
+    rows = [(g, v, chance.randint(1, 9)) for g, v in rows]
+    expected, seen = set(), {"a": 0, "b": 0}
+    for g, v, w in rows:
+        expected.add((g, v, w, seen[g]))
+        seen[g] += w
+    df = spark.createDataFrame(chance.sample(rows, len(rows)), "g string, v double, w long")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else AQE makes one task of them
+    try:
+        summed = ordering.prefix_sums(df, [F.col("v")], {"before": F.col("w")}, ["g"])
+        got = summed.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert {(r.g, r.v, r.w, r.before) for r in got} == expected and len(got) == len(expected)
+
+
+def test_prefix_sums_of_two_weights_without_groups(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"))
+    summed = ordering.prefix_sums(df, [F.desc("v")], {"rows": F.lit(1), "total": F.col("v")})
+    for row in summed.collect():
+        assert row.rows == 999 - row.v
+        assert row.total == sum(range(row.v + 1, 1000))
+
+
+def test_a_repeated_key_fails_and_is_named(spark):
+    first = spark.createDataFrame([(1, 1.0), (1, 0.0), (None, 1.0), (None, 2.0)], "id long, x double")
+    second = spark.createDataFrame([(1, 0.0)], "id long, x double")
+    with pytest.raises(Exception, match="id 1 occurs more than once in the first run"):
+        C.paired_differences(first, second, ["x"]).collect()
+    with pytest.raises(Exception, match="id 1 occurs more than once in the second run"):
+        C.paired_differences(second, first, ["x"]).collect()
 
 
 @pytest.mark.parametrize("n", [1, 11, 999, 1000, 2000])
