@@ -11,6 +11,7 @@ from plumbline.llm import (
     packing,
     quality_classifier,
     quality_rules,
+    sharding,
     substring_dedup,
     tokens,
     url_filter,
@@ -22,6 +23,7 @@ SEQUENCE = 2048
 END_ID = 1
 TOKEN_LIMIT = 512
 PREDICTED_FROM = 0.3
+SHARDS = 24
 URL_RULES = [
     ("allow", "com/"),
     ("block", "example.com/en/"),
@@ -114,6 +116,20 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Near equal bytes; one more shard would move rows between old ones, so no growth."""
+    found = sharding.in_shards(table(spark, folder, "documents"), SHARDS)
+    return found.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
@@ -125,8 +141,16 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_sharding": op12_sharding,
 }
 
+#: One byte of a CRC-32: the table's entry is the sum of those of its bits.
+CRC32_STEP = "c >> 8"
+for bit, entry in enumerate(
+    [1996959894, 3993919788, 124634137, 249268274, 498536548, 997073096, 1994146192, 3988292384]
+):
+    CRC32_STEP = f"xor({CRC32_STEP}, ((xor(c, b) >> {bit}) & 1) * {entry})"
+
 SQL = {
     "op2_url_filter": r"""
         with rests as (
@@ -245,4 +269,58 @@ SQL = {
         select doc_id, coalesce(n_bytes, 0) as n_bytes, coalesce(n_removed, 0) as n_removed,
                coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
         from documents left join cut using (doc_id)""",
+    "op12_sharding": """
+        with recursive texts as (
+          select doc_id, coalesce(text, '') as body, hex(encode(coalesce(text, ''))) as raw from documents
+        ), checked as materialized (
+          select doc_id, sha256(body) as digest, strlen(raw) // 2 + 8 as size,
+                 xor(list_reduce(
+                   list_transform(regexp_extract_all(raw, '..'), lambda x: ('0x' || x)::bigint),
+                   lambda c, b: CRC32_STEP, 4294967295),
+                 4294967295) as text_crc32
+          from texts
+        ), placed as materialized (
+          select *, row_number() over (order by digest, doc_id) - 1 as place from checked
+        ), groups as (
+          select digest, sum(size) as size, count(*) as n from placed group by digest
+        ), running as (
+          select sum(size) over (order by digest)::bigint as e,
+                 sum(n) over (order by digest)::bigint as r from groups
+        ), line as (
+          select list(e order by e) as ends, max(e) as total from running
+        ), search(low, top) as (
+          select (total + 23) // 24 - 1, total from line
+          union all
+          select case when reached >= total then low else middle end,
+                 case when reached >= total then middle else top end
+          from (
+            select low, top, middle, total,
+                   list_reduce(list_prepend(0::bigint, range(24)), lambda pos, k:
+                     coalesce(list_max(list_filter(ends, lambda e: e <= pos + middle)), 0)) as reached
+            from (select low, top, (low + top) // 2 as middle from search where top - low > 1), line)
+        ), capacity as (
+          select min(top) as c from search
+        ), latest(k, pos) as (
+          select 23, total from line
+          union all
+          select k - 1, case when pos - c <= 0 then 0
+                             else list_min(list_filter(ends, lambda e: e >= pos - c)) end
+          from latest, capacity, line where k > 0
+        ), cuts(k, pos) as (
+          select -1, 0::bigint
+          union all
+          select cuts.k + 1, least(
+            greatest(latest.pos, coalesce(list_min(list_filter(ends, lambda e: e > cuts.pos)), total),
+              coalesce(list_max(list_filter(ends, lambda e: e <= cuts.pos + (total - cuts.pos + 23 - cuts.k - 1) // (23 - cuts.k))), 0)),
+            coalesce(list_max(list_filter(ends, lambda e: e <= cuts.pos + c)), 0))
+          from cuts join latest on latest.k = cuts.k + 1, capacity, line
+        ), starts as (
+          select k + 1 as shard, case when pos = 0 then 0 else (select r from running where e = pos) end as start
+          from cuts where k < 23
+        )
+        select doc_id, size, text_crc32, 'bytes' as law, shard::int as shard,
+               place - start as slot, null::int as grown_shard
+        from placed asof join (select start, max(shard) as shard from starts group by start) s
+          on placed.place >= s.start""",
 }
+SQL = {name: sql.replace("CRC32_STEP", CRC32_STEP) for name, sql in SQL.items()}
