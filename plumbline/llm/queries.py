@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
+    conversation_repair,
     exact_dedup,
     near_dedup,
     packing,
@@ -17,7 +18,7 @@ from plumbline.llm import (
     url_filter,
     warc,
 )
-from plumbline.llm.common import shared_path, table
+from plumbline.llm.common import shared_path, stored, table
 
 SEQUENCE = 2048
 END_ID = 1
@@ -130,6 +131,44 @@ def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Faults planted by a checksum of conversation and turn: see the cases below."""
+    space = F.lit(" ")
+    key = F.concat(
+        F.coalesce(F.col("conv_id").cast("string"), space),
+        F.lit(":"),
+        F.coalesce(F.col("turn").cast("string"), space),
+    )
+    damage, text = F.col("_damage"), F.col("text")
+    return (
+        conversations.select(
+            "conv_id",
+            "turn",
+            F.coalesce("role", space).alias("role"),
+            F.coalesce("text", space).alias("text"),
+            (F.crc32(key.cast("binary")) % 20).alias("_damage"),
+        )
+        .where(damage != 0)
+        .select(
+            "conv_id",
+            "turn",
+            F.when(damage == 4, "user").otherwise(F.col("role")).alias("role"),
+            F.when(damage == 1, "")
+            .when(damage == 2, F.regexp_replace(text, "[.!?]", ""))
+            .otherwise(text)
+            .alias("text"),
+            F.explode(F.sequence(F.lit(1), F.when(damage == 3, 2).otherwise(1))).alias("_copy"),
+        )
+        .drop("_copy")
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    repaired = stored(conversation_repair.repair(damaged(turns)).drop("text"))
+    return conversation_repair.summaries(turns, repaired)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
@@ -142,6 +181,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op12_sharding": op12_sharding,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: One byte of a CRC-32: the table's entry is the sum of those of its bits.
@@ -322,5 +362,101 @@ SQL = {
                place - start as slot, null::int as grown_shard
         from placed asof join (select start, max(shard) as shard from starts group by start) s
           on placed.place >= s.start""",
+    "op13_conversation_repair": r"""
+        with recursive keyed as (
+          select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                 hex(encode(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))) as raw
+          from conversations
+        ), checked as (
+          select *, xor(list_reduce(
+                   list_transform(regexp_extract_all(raw, '..'), lambda x: ('0x' || x)::bigint),
+                   lambda c, b: CRC32_STEP, 4294967295),
+                 4294967295) % 20 as damage
+          from keyed
+        ), damaged as (
+          select conv_id, turn, case when damage = 4 then 'user' else role end as role,
+                 case when damage = 1 then '' when damage = 2 then regexp_replace(text, '[.!?]', '', 'g')
+                      else text end as text,
+                 unnest(range(case when damage = 3 then 2 else 1 end)) as copy
+          from checked where damage <> 0
+        ), numbered as materialized (
+          select *, row_number() over (
+                   partition by conv_id order by turn nulls first, role, text, copy) as i,
+                 row_number() over (
+                   partition by conv_id, role, text order by turn nulls first, copy) as seen,
+                 substr(role, 1, 1) as initial
+          from damaged
+        ), judged as materialized (
+          select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
+                         when seen > 1 then 'duplicate'
+                         when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 'truncated' end as fault,
+                 lag(initial) over (partition by conv_id order by i) as initial_before,
+                 count(*) over (partition by conv_id) as n
+          from numbered
+        ), rows as materialized (
+          select conv_id, i, n, role, text, initial,
+                 coalesce(fault in ('blank', 'duplicate'), false) as must_go,
+                 case when fault = 'truncated' then 1 else 0 end as more
+          from judged
+        ),
+        -- what was last: 0 nothing, 1 system, 2 user, 3 assistant
+        inserted(state, after, lines, letters) as (
+          select * from (values (0, 0, [], ''), (0, 2, ['user:'], 'I'), (0, 3, ['user:', 'assistant:'], 'II'),
+            (1, 1, [], ''), (1, 2, ['user:'], 'I'), (1, 3, ['user:', 'assistant:'], 'II'),
+            (2, 2, [], ''), (2, 3, ['assistant:'], 'I'), (3, 3, [], ''), (3, 2, ['user:'], 'I'))
+        ),
+        kept(state, initial, after) as (
+          select * from (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2))
+        ),
+        made(state, role, after) as (
+          select * from (values (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2))
+        ),
+        edits as materialized (
+          select conv_id, i, n, state, after, 0 + more as cost, 'K' as letter, [role || ':' || text] as lines
+          from rows join kept using (initial) where not must_go
+          union all
+          select conv_id, i, n, state, after, 2 + more, 'R', [made.role || ':' || text]
+          from rows, made where not must_go
+          union all
+          select conv_id, i, n, state, state, 3, 'D', [] from rows, (select distinct state from made)
+        ),
+        steps as materialized (
+          select conv_id, i, n, g.state, e.after, 2 * len(g.lines) + cost as cost,
+                 g.letters || letter as letters, list_concat(g.lines, e.lines) as lines
+          from edits e join inserted g on g.after = e.state
+        ),
+        ways(conv_id, i, n, state, way) as (
+          select distinct conv_id, 0::bigint, n, 0,
+                 {'cost': 0::bigint, 'audit': '', 'lines': []::varchar[]} from rows
+          union all
+          select w.conv_id, w.i + 1, w.n, s.after, min({'cost': (way).cost + s.cost,
+                   'audit': (way).audit || s.letters, 'lines': list_concat((way).lines, s.lines)})
+          from ways w join steps s
+            on s.conv_id is not distinct from w.conv_id and s.i = w.i + 1 and s.state = w.state
+          group by all
+        ),
+        ended as (
+          select conv_id, min({'cost': (way).cost + 2 * len(lines), 'audit': (way).audit || letters,
+                               'lines': list_concat((way).lines, inserted.lines)}) as way
+          from ways join inserted on inserted.state = ways.state and inserted.after in (0, 3)
+          where ways.i = ways.n group by conv_id
+        ),
+        counted as (
+          select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+                 count(*) filter (fault = 'blank') as blank,
+                 count(*) filter (fault = 'duplicate') as duplicate,
+                 count(*) filter (fault = 'truncated') as truncated,
+                 count(*) filter (initial_before is not null
+                   and initial_before || initial not in ('su', 'ua', 'au')) as illegal
+          from judged group by conv_id
+        )
+        select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank,
+               coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+               coalesce(illegal, 0) as illegal, coalesce((way).cost, 0)::bigint as cost,
+               coalesce((way).audit, '') as audit,
+               sha256(coalesce(array_to_string((way).lines, chr(10)), '')) as repaired_sha256
+        from (select distinct conv_id from conversations) o
+        left join counted c on c.conv_id is not distinct from o.conv_id
+        left join ended e on e.conv_id is not distinct from o.conv_id""",
 }
 SQL = {name: sql.replace("CRC32_STEP", CRC32_STEP) for name, sql in SQL.items()}
