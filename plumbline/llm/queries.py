@@ -17,6 +17,7 @@ from plumbline.llm import (
     tokens,
     url_filter,
     warc,
+    whitening,
 )
 from plumbline.llm.common import shared_path, stored, table
 
@@ -24,6 +25,7 @@ SEQUENCE = 2048
 END_ID = 1
 TOKEN_LIMIT = 512
 PREDICTED_FROM = 0.3
+COMPONENTS = 4
 SHARDS = 24
 URL_RULES = [
     ("allow", "com/"),
@@ -117,6 +119,11 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(table(spark, folder, "embeddings"), COMPONENTS)
+    return found.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
 def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Near equal bytes; one more shard would move rows between old ones, so no growth."""
     found = sharding.in_shards(table(spark, folder, "documents"), SHARDS)
@@ -180,6 +187,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_sharding": op12_sharding,
     "op13_conversation_repair": op13_conversation_repair,
 }
