@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 from plumbline.llm.ragged import offsets_of
-from plumbline.llm.texts import Hashes, Part, mixed, paired, windows, words
+from plumbline.llm.texts import Part, SliceHashes, mixed, paired, windows, words
 
 BANDS = 32
 ROWS = 4
@@ -31,7 +31,7 @@ def shingle_sets(part: Part, size: int) -> tuple[np.ndarray, np.ndarray]:
     """
     lowered = lower_case(part)
     found = words(lowered)
-    word_hashes = Hashes(lowered.data).of(found.starts, found.ends)
+    word_hashes = SliceHashes(lowered.data).of(found.starts, found.ends)
     first, text = windows(found, size)
     shingles = word_hashes[first]
     for step in range(1, size):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import texts_of
-from plumbline.llm.texts import Hashes, Part, Words, paired, parts, windows, words
+from plumbline.llm.texts import Hashes, Part, SliceHashes, Words, paired, parts, windows, words
 
 BUCKETS = 1 << 16
 #: Added to every bucket's count.
@@ -31,7 +31,7 @@ _IS_SYMBOL = np.zeros(256, dtype=bool)
 _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
 
 
-def ngram_buckets(part: Part, found: Words, hashes: Hashes, buckets: int):
+def ngram_buckets(part: Part, found: Words, hashes: Hashes | SliceHashes, buckets: int):
     """Buckets of all words and word pairs, and the text of each."""
     word_hashes = hashes.of(found.starts, found.ends)
     first, pair_text = windows(found, 2)
@@ -62,7 +62,7 @@ def _repeated(keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return anywhere, later
 
 
-def base_counts(part: Part, found: Words, hashes: Hashes) -> dict[str, np.ndarray]:
+def base_counts(part: Part, found: Words, hashes: Hashes | SliceHashes) -> dict[str, np.ndarray]:
     """The base counts of every text of a part."""
     data = part.data
     n_words = found.counts
@@ -110,7 +110,7 @@ def corpus_counts(docs: DataFrame, trusted: str, text: str = "text", buckets: in
             chosen = batch.column(1).to_numpy(zero_copy_only=False)
             for part in parts(batch.column(0)):
                 found = words(part)
-                bucket, of = ngram_buckets(part, found, Hashes(part.data), buckets)
+                bucket, of = ngram_buckets(part, found, SliceHashes(part.data), buckets)
                 raw += np.bincount(bucket, minlength=buckets)
                 wanted = chosen[part.first : part.first + len(part)][of].astype(bool)
                 target += np.bincount(bucket[wanted], minlength=buckets)
@@ -168,7 +168,7 @@ def quality_rules(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch.column(1)):
-                found, hashes = words(part), Hashes(part.data)
+                found, hashes = words(part), SliceHashes(part.data)
                 counts = base_counts(part, found, hashes)
                 bucket, of = ngram_buckets(part, found, hashes, buckets)
                 total = np.bincount(of, weights=sent.value[bucket], minlength=len(part))

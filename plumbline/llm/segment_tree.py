@@ -21,12 +21,15 @@ WIDEST = 128
 #: Cells (rows times width) of one set of arrays.
 CELLS = 2_000_000
 
-_NOTHING = np.int64(NO_RANK << 24)
+#: Bits of a place, as many as a byte array of 2 GiB needs; ranks take the other 32.
+PLACE_BITS = 31
+_PLACE = (1 << PLACE_BITS) - 1
+_NOTHING = np.int64(int(NO_RANK) << PLACE_BITS)
 
 
 def _keys(ranks: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Order by rank, then from the left."""
-    return np.where(ranks < NO_RANK, (ranks << 24) | places, _NOTHING)
+    return np.where(ranks < NO_RANK, (ranks << PLACE_BITS) | places, _NOTHING)
 
 
 def _encode_rows(vocabulary: Vocabulary, symbols: np.ndarray, lengths: np.ndarray):
@@ -48,7 +51,7 @@ def _encode_rows(vocabulary: Vocabulary, symbols: np.ndarray, lengths: np.ndarra
         active = active[tree[active, 1] < _NOTHING]
         if not len(active):
             return symbols
-        p = tree[active, 1] & ((1 << 24) - 1)
+        p = tree[active, 1] & _PLACE
         q = following[active, p]
         number = vocabulary.pairs.find(symbols[active, p], symbols[active, q])
         symbols[active, p] = vocabulary.pairs.merged[number]
@@ -113,10 +116,10 @@ def _encode_long(vocabulary: Vocabulary, data: np.ndarray) -> np.ndarray:
         if place < 0 or following[place] < 0:
             return nothing
         rank, _ = pair(symbols[place], symbols[following[place]])
-        return nothing if rank < 0 else (rank << 24) | place
+        return nothing if rank < 0 else (rank << PLACE_BITS) | place
 
     while tree[1] < nothing:
-        p = tree[1] & ((1 << 24) - 1)
+        p = tree[1] & _PLACE
         q = following[p]
         symbols[p] = pair(symbols[p], symbols[q])[1]
         symbols[q] = -1

@@ -78,24 +78,29 @@ def _running_products(base: int, n: int) -> np.ndarray:
 
 
 class Hashes:
-    """64-bit hashes of any slices of a byte array, by value alone.
+    """64-bit hashes of short slices of a byte array, by value alone.
 
-    Prefix sums of byte codes times powers of an odd number: a slice is the
+    For slices of some hundred bytes at most: longer ones can be built that collide
+    (``SliceHashes`` has no such limit). Prefix sums of byte codes times powers of an odd number: a slice is the
     difference of two sums, moved to the origin by the inverse power.
     """
 
     def __init__(self, data: np.ndarray):
         global _powers, _inverses
         n = len(data) + 1
-        if len(_powers) < n:
-            size = max(n, PART_BYTES + 1)
-            _powers = _running_products(_ODD, size)
-            _inverses = _running_products(pow(_ODD, -1, 2**64), size)
+        size = max(n, PART_BYTES + 1)
+        if size <= len(_powers):
+            powers, self._inverses = _powers, _inverses
+        else:
+            powers = _running_products(_ODD, size)
+            self._inverses = _running_products(pow(_ODD, -1, 2**64), size)
+            if size == PART_BYTES + 1:  # those of a longer text go with it
+                _powers, _inverses = powers, self._inverses
         self._sums = np.zeros(n, dtype=np.uint64)
-        np.cumsum(_byte_codes[data] * _powers[: n - 1], out=self._sums[1:])
+        np.cumsum(_byte_codes[data] * powers[: n - 1], out=self._sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        at_origin = (self._sums[ends] - self._sums[starts]) * _inverses[starts]
+        at_origin = (self._sums[ends] - self._sums[starts]) * self._inverses[starts]
         return mixed(at_origin + (ends - starts).astype(np.uint64))
 
     def rolling(self, width: int) -> np.ndarray:
@@ -103,7 +108,56 @@ class Hashes:
         n = len(self._sums) - width
         if n <= 0:
             return np.zeros(0, dtype=np.uint64)
-        return mixed((self._sums[width:] - self._sums[:n]) * _inverses[:n] + np.uint64(width))
+        return mixed((self._sums[width:] - self._sums[:n]) * self._inverses[:n] + np.uint64(width))
+
+
+#: 8-byte pieces that ``SliceHashes`` works on at once.
+PIECES_AT_ONCE = 1 << 18
+
+
+class SliceHashes:
+    """64-bit hashes of slices of any length, by value alone.
+
+    A slice is cut into pieces of 8 bytes, the last one filled with zeros. Every piece is
+    scrambled together with its number, and the sum of the pieces with the length. No
+    power series is involved, so no text is built to collide in it, and memory does not
+    grow with a slice.
+    """
+
+    def __init__(self, data: np.ndarray):
+        self._data = data
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        lengths = np.asarray(ends) - starts
+        pieces = np.zeros(len(lengths) + 1, dtype=np.int64)
+        np.cumsum((lengths + 7) // 8, out=pieces[1:])
+        sums = np.zeros(len(lengths), dtype=np.uint64)
+        for low in range(0, int(pieces[-1]), PIECES_AT_ONCE):
+            number = np.arange(low, min(low + PIECES_AT_ONCE, int(pieces[-1])))
+            first = int(np.searchsorted(pieces, low, side="right")) - 1
+            last = int(np.searchsorted(pieces, number[-1], side="right")) - 1
+            inside = np.minimum(pieces[first + 1 : last + 2], number[-1] + 1) - np.maximum(
+                pieces[first : last + 1], low
+            )
+            owner = np.repeat(np.arange(first, last + 1), inside)
+            number -= pieces[owner]
+            sums_of = _piece_hashes(self._data, starts[owner] + 8 * number, ends[owner], number)
+            filled = np.flatnonzero(inside)
+            begins = (np.cumsum(inside) - inside)[filled]
+            sums[first + filled] += np.add.reduceat(sums_of, begins)
+        return mixed(sums + lengths.astype(np.uint64) * np.uint64(_ODD))
+
+
+def _piece_hashes(data: np.ndarray, at: np.ndarray, ends: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The up to 8 bytes from each place, scrambled with the piece's number."""
+    values = np.zeros(len(at), dtype=np.uint64)
+    rest = ends - at
+    last = len(data) - 1
+    for i in range(8):
+        byte = data[np.minimum(at + i, last)].astype(np.uint64) << np.uint64(8 * i)
+        values |= np.where(rest > i, byte, np.uint64(0))
+    salted = values + mixed(number.astype(np.uint64) + np.uint64(0x51ED2701))
+    return mixed(salted) ^ mixed(salted * np.uint64(0xA24BAED4963EE407) + np.uint64(1))
 
 
 #: Which bytes part words: blank, and tab to carriage return.
