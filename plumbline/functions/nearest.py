@@ -23,7 +23,11 @@ def unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     lengths = np.diff(column.offsets.to_numpy())
     if (lengths != lengths[0]).any():
         raise ValueError("vectors differ in length")
-    matrix = values.reshape(rows, -1)
+    return unit_matrix(values.reshape(rows, -1))
+
+
+def unit_matrix(matrix: np.ndarray) -> np.ndarray:
+    """The rows at length one; zero rows stay zero."""
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     norms[norms == 0] = 1.0
     return matrix / norms

@@ -5,17 +5,14 @@ The search is exact for any sizes. What changes with them is where the rows go:
 * a corpus below a checked size goes to every executor, queries stay in place;
 * else queries below that size go to every executor, the corpus stays in place,
   and each task hands on its k best per query;
-* else both sides are cut into blocks around pivot vectors. Each query first
-  searches one block near it, which bounds its k-th similarity from below. By the
-  triangle inequality on angles most other blocks cannot beat that bound and are
-  never visited. The rest are searched and report only what reaches the bound.
+* else both sides are packed into blocks around pivot vectors, and blocks of queries
+  visit blocks of the corpus from the nearest outwards, see ``blocks.py``.
 
 No path pairs up single rows: blocks meet by an equi-key and only matches leave them.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.fixed_values import CONTEXT_SEPARATOR, TOP_K
-from plumbline.functions.nearest import (
-    CHUNK_VALUES,
-    SLACK,
-    angles,
-    best_matches,
-    keep_best,
-    unit_rows,
-)
+from plumbline.functions.nearest import best_matches, keep_best, unit_rows
 from plumbline.functions.text import clean
+from plumbline.operators import blocks
 from plumbline.operators.lookup import HOT_ROWS, lookup
 from plumbline.session import materialise
 
@@ -43,15 +34,13 @@ BROADCAST_VALUES = 8_000_000
 SAMPLE_VALUES = 1_000_000
 # Bytes of corpus text that may go along.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Vector values in one block of the pivot path.
+# Vector values in one block of the block path.
 BLOCK_VALUES = 4_000_000
-MAX_PIVOTS = 4096
-MAX_BROADCAST_BLOCKS = 1_000_000
 
 # Where the rows go: the corpus or the queries to every executor, or both in blocks.
 LAYOUTS = ("corpus", "queries", "blocks")
 
-_MATCHES = "query_id bigint, rank int, corpus_id bigint, similarity double"
+_MATCHES = blocks.MATCHES
 
 
 def knn_join(
@@ -73,17 +62,14 @@ def knn_join(
     more than once, some of it before this returns; pass stored vectors, not a model yet
     to be run.
     """
-    queries, corpus = _vectors(queries, "query"), _vectors(corpus, "corpus")
-    repeated = queries.groupBy("id").count().where(F.col("count") > 1)
-    if not repeated.isEmpty():
-        raise ValueError(f"query id {repeated.first()['id']} occurs more than once")
-    return _search_layout(queries, corpus, k, layout, broadcast_values, block_values)
+    queries, corpus = vectors_of(queries, "query"), vectors_of(corpus, "corpus")
+    return _search_layout(unique_ids(queries), corpus, k, layout, broadcast_values, block_values)
 
 
 def _search_layout(queries, corpus, k, layout, broadcast_values, block_values) -> DataFrame:
     if layout is not None and layout not in LAYOUTS:
         raise ValueError(f"layout must be one of {', '.join(LAYOUTS)}")
-    n_corpus, length = _size(corpus)
+    n_corpus, length = size_of(corpus)
     if layout is None:
         if n_corpus * length <= broadcast_values:
             layout = "corpus"
@@ -95,7 +81,10 @@ def _search_layout(queries, corpus, k, layout, broadcast_values, block_values) -
     if layout == "queries":
         return _for_few_queries(queries, corpus, k, max(k, SAMPLE_VALUES // length))
     rows_per_block = max(k, block_values // length)
-    return _by_blocks(queries, corpus, k, n_corpus, length, rows_per_block)
+    corpus = _without_surplus_copies(corpus, k)
+    return blocks.one_search(
+        queries.sparkSession, queries, corpus, k, n_corpus, length, rows_per_block
+    )
 
 
 def with_context(
@@ -121,10 +110,10 @@ def with_context(
     context by their vector. A vector or corpus row that very many rows share is dealt
     out to several tasks.
     """
-    known = _vectors(corpus, "corpus", clean(F.col(text)).alias("_text"))
+    known = vectors_of(corpus, "corpus", clean(F.col(text)).alias("_text"))
     asking = df.withColumn("_vector", _checked(F.col(embedding), F.lit("of the table")))
     if layout in (None, "corpus"):
-        rows, length = _size(known)
+        rows, length = size_of(known)
         fits = rows * length <= broadcast_values
         if layout == "corpus" or (
             fits and (known.agg(F.sum(F.octet_length("_text"))).first()[0] or 0) <= broadcast_bytes
@@ -219,7 +208,8 @@ def _checked(embedding: Column, name: Column) -> Column:
     )
 
 
-def _vectors(df: DataFrame, side: str, *more: Column) -> DataFrame:
+def vectors_of(df: DataFrame, side: str, *more: Column) -> DataFrame:
+    """``id, embedding`` of the rows that have both, checked; ``side`` is for messages."""
     kind = df.schema["id"].dataType
     if not isinstance(kind, T.IntegralType):
         raise ValueError(f"{side} ids must be integers, not {kind.simpleString()}")
@@ -231,7 +221,15 @@ def _vectors(df: DataFrame, side: str, *more: Column) -> DataFrame:
     )
 
 
-def _size(df: DataFrame) -> tuple[int, int]:
+def unique_ids(queries: DataFrame) -> DataFrame:
+    """``queries``; fails if an id occurs more than once."""
+    repeated = queries.groupBy("id").count().where(F.col("count") > 1).take(1)
+    if repeated:
+        raise ValueError(f"query id {repeated[0]['id']} occurs more than once")
+    return queries
+
+
+def size_of(df: DataFrame) -> tuple[int, int]:
     """Rows, those without a vector included, and the length of a vector.
 
     Neither needs the vectors read: the count comes from file footers where
@@ -337,232 +335,3 @@ def _without_surplus_copies(corpus: DataFrame, k: int) -> DataFrame:
         .where(F.col("_copy") <= k)
         .drop("_copy")
     )
-
-
-def _by_blocks(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    n_corpus: int,
-    length: int,
-    rows_per_block: int,
-) -> DataFrame:
-    spark = queries.sparkSession
-
-    # Any corpus rows will do as pivots, since they only steer the search.
-    n_pivots = min(MAX_PIVOTS, max(1, BROADCAST_VALUES // length))
-    n_pivots = min(n_pivots, math.ceil(n_corpus / rows_per_block))
-    chosen = corpus.orderBy(F.xxhash64("id"), "id").limit(n_pivots).toArrow()
-    pivots = spark.sparkContext.broadcast(
-        np.unique(unit_rows(chosen["embedding"]), axis=0)
-    )
-    count = len(pivots.value)
-
-    placed = "id bigint, embedding array<float>, cell int, angle double"
-    corpus = materialise(
-        _without_surplus_copies(corpus, k).mapInArrow(_to_cells(pivots), placed)
-    )
-    queries = queries.mapInArrow(_to_cells(pivots), placed)
-
-    # One row per pivot: how many corpus rows are nearest to it, from what angle
-    # to what angle. A cell of many rows is cut into blocks by id.
-    rows, nearest, farthest = np.zeros(count), np.full(count, np.inf), np.full(count, -np.inf)
-    measured = corpus.groupBy("cell").agg(
-        F.count(F.lit(1)), F.min("angle"), F.max("angle")
-    )
-    for cell, *measures in measured.collect():
-        rows[cell], nearest[cell], farthest[cell] = measures
-    blocks = np.maximum(1, np.ceil(rows / rows_per_block)).astype(int)
-    starts = np.concatenate([[0], np.cumsum(blocks)])
-    layout = spark.sparkContext.broadcast((starts, nearest, farthest))
-    cells = F.broadcast(
-        spark.createDataFrame(
-            [(c, int(starts[c]), int(blocks[c])) for c in range(count)],
-            "cell int, start int, blocks int",
-        )
-    )
-    few_blocks = starts[-1] <= MAX_BROADCAST_BLOCKS
-
-    def in_blocks(df: DataFrame) -> DataFrame:
-        part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        return df.join(cells, "cell").select(
-            "id", "embedding", (F.col("start") + part).alias("block")
-        )
-
-    corpus_blocks = in_blocks(corpus)
-    home = materialise(in_blocks(queries)).withColumn("bound", F.lit(-2.0))
-    first = materialise(
-        _search(
-            home, corpus_blocks, rows_per_block, few_blocks, _search_home(k),
-            "id bigint, embedding array<float>, block int, bound double, "
-            "corpus_ids array<bigint>, similarities array<double>",
-        )
-    )
-    visits = first.mapInArrow(
-        _to_visits(pivots, layout),
-        "id bigint, embedding array<float>, bound double, blocks array<int>",
-    ).select("id", "embedding", "bound", F.explode("blocks").alias("block"))
-    rest = _search(
-        visits, corpus_blocks, rows_per_block, few_blocks, _search_bounded(k), _MATCHES
-    )
-    at_home = first.select(
-        F.col("id").alias("query_id"),
-        F.explode(F.arrays_zip("corpus_ids", "similarities")).alias("m"),
-    ).select(
-        "query_id",
-        F.lit(0).alias("rank"),
-        F.col("m.corpus_ids").alias("corpus_id"),
-        F.col("m.similarities").alias("similarity"),
-    )
-    return _top(at_home.unionByName(rest), k)
-
-
-def _chunks(
-    units: np.ndarray, pivots: np.ndarray, per_row: int = 1
-) -> Iterator[tuple[int, np.ndarray]]:
-    """Angles to the pivots for a few rows at a time; ``per_row`` values are made of each."""
-    step = max(1, CHUNK_VALUES // max(len(pivots), per_row))
-    for start in range(0, len(units), step):
-        yield start, angles(units[start : start + step], pivots)
-
-
-def _to_cells(pivots):
-    """Rows with the number of their nearest pivot and the angle to it."""
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cell, angle = [], []
-            for _, to_pivots in _chunks(unit_rows(batch["embedding"]), pivots.value):
-                cell.append(to_pivots.argmin(axis=1))
-                angle.append(to_pivots.min(axis=1))
-            yield pa.record_batch(
-                {
-                    "id": batch["id"],
-                    "embedding": batch["embedding"],
-                    "cell": pa.array(np.concatenate(cell), pa.int32()),
-                    "angle": pa.array(np.concatenate(angle)),
-                }
-            )
-
-    return run
-
-
-def _to_visits(pivots, layout):
-    """Queries with the blocks that may still hold a match above their bound.
-
-    A corpus row at angle r from a pivot is at least |a - r| from a query at
-    angle a from that pivot.
-    """
-
-    def run(batches):
-        starts, nearest, farthest = layout.value
-        members = [
-            np.arange(start, end, dtype=np.int32) for start, end in zip(starts, starts[1:])
-        ]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bound = batch["bound"].to_numpy()
-            reach = np.arccos(np.clip(bound - SLACK, -1.0, 1.0)) + 1e-6
-            searched = batch["block"].to_numpy()
-            units = unit_rows(batch["embedding"])
-            for start, to_pivots in _chunks(units, pivots.value, int(starts[-1])):
-                least = np.maximum(to_pivots - farthest, nearest - to_pivots)
-                possible = least <= reach[start : start + len(least), None]
-                lists = []
-                for row, cells in enumerate(possible, start):
-                    picked = [members[c] for c in np.flatnonzero(cells)]
-                    blocks = np.concatenate(picked) if picked else np.empty(0, np.int32)
-                    lists.append(blocks[blocks != searched[row]])
-                part = batch.slice(start, len(lists))
-                yield pa.record_batch(
-                    {
-                        "id": part["id"],
-                        "embedding": part["embedding"],
-                        "bound": part["bound"],
-                        "blocks": pa.array(lists, pa.list_(pa.int32())),
-                    }
-                )
-
-    return run
-
-
-def _search(
-    queries: DataFrame,
-    corpus: DataFrame,
-    rows_per_block: int,
-    few_blocks: bool,
-    function,
-    schema: str,
-) -> DataFrame:
-    """Bring query and corpus rows of a block together and search it.
-
-    A block that many queries visit is worked on in several groups, each with a
-    copy of the block's corpus rows, so both sides of a group are bounded. Blocks
-    no query visits drop out.
-    """
-    loads = queries.groupBy("block").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_block)).cast("int").alias("groups")
-    )
-    if few_blocks:
-        loads = F.broadcast(loads)
-    left = queries.join(loads, "block").withColumn(
-        "part", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int")
-    )
-    right = corpus.join(loads, "block").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
-    )
-    return (
-        left.drop("groups")
-        .groupBy("block", "part")
-        .cogroup(right.drop("groups").groupBy("block", "part"))
-        .applyInArrow(function, schema)
-    )
-
-
-def _search_home(k):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        queries = left.num_rows
-        found_by_row = [np.empty(0, np.int64)] * queries
-        similar_by_row = [np.empty(0)] * queries
-        bound = np.full(queries, -2.0)
-        if queries and right.num_rows:
-            ids, units = _block(right)
-            rows, similarities, found, ranks = best_matches(
-                unit_rows(left["embedding"]), units, ids, k
-            )
-            cuts = np.searchsorted(rows, np.arange(1, queries))
-            found_by_row = np.split(found, cuts)
-            similar_by_row = np.split(similarities, cuts)
-            bound[rows[ranks == k]] = similarities[ranks == k]
-        return pa.table(
-            {
-                "id": left["id"],
-                "embedding": left["embedding"],
-                "block": left["block"],
-                "bound": pa.array(bound),
-                "corpus_ids": pa.array(found_by_row, pa.list_(pa.int64())),
-                "similarities": pa.array(similar_by_row, pa.list_(pa.float64())),
-            }
-        )
-
-    return run
-
-
-def _search_bounded(k):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _match_batch_table([], [], [], [])
-        ids, units = _block(right)
-        rows, similarities, found, ranks = best_matches(
-            unit_rows(left["embedding"]), units, ids, k, left["bound"].to_numpy()
-        )
-        return _match_batch_table(left["id"].to_numpy()[rows], similarities, found, ranks)
-
-    return run
-
-
-def _match_batch_table(*columns) -> pa.Table:
-    return pa.Table.from_batches([_match_batch(*columns)])

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.vectors import dot, l2_normalize
+from plumbline.operators import blocks as B
 from plumbline.operators import retrieval as R
+from plumbline.session import materialise
 from plumbline.operators.retrieval import context_of, knn_join, retrieve_context, with_context
 
 SCHEMA = "id long, embedding array<float>"
@@ -86,26 +88,75 @@ def test_corpus_smaller_than_k(spark, path):
     assert _rows(found) == _brute(queries, corpus, 3)
 
 
-def test_most_blocks_are_not_visited_in_clustered_data(spark, monkeypatch):
-    visited = []
-    search = R._search
+def _visit_counts(monkeypatch):
+    """Cells that blocks of queries visit, counted round by round."""
+    rounds = []
+    one = B._round
+
+    def counting(opened, blocks, known, k, quota):
+        visits = opened.select("block", "cell", "nearest", "farthest", "done", "bound").mapInArrow(
+            B._next_visits(known, quota), B._VISITS
+        )
+        rounds.append((opened.count(), visits.count()))
+        return one(opened, blocks, known, k, quota)
+
+    monkeypatch.setattr(B, "_round", counting)
+    return rounds
 
-    def counting(queries, *rest):
-        visited.append(queries.count())
-        return search(queries, *rest)
 
-    monkeypatch.setattr(R, "_search", counting)
+def test_most_cells_are_not_visited_in_clustered_data(spark, monkeypatch):
+    rounds = _visit_counts(monkeypatch)
     chance = np.random.default_rng(0)
     middle = chance.normal(size=(12, 8)) * 5
     data = middle[chance.integers(12, size=600)] + chance.normal(size=(600, 8)) * 0.1
     frame = _frame(spark, data)
-    assert _rows(knn_join(frame, frame, 3, broadcast_values=0, block_values=8 * 40)) == _brute(
-        data, data, 3
+    found = knn_join(frame, frame, 3, broadcast_values=0, block_values=8 * 20)
+    assert _rows(found) == _brute(data, data, 3)
+    blocks_of_queries, first = rounds[0]
+    assert first == blocks_of_queries  # each begins with the cell next to it
+    cells = 600 // 20
+    assert sum(visits for _, visits in rounds) < blocks_of_queries * cells / 2
+
+
+def test_rounds_grow_from_the_nearest_cells(spark, monkeypatch):
+    rounds = _visit_counts(monkeypatch)
+    chance = np.random.default_rng(7)
+    corpus = chance.normal(size=(300, 8))
+    frame = _frame(spark, corpus)
+    found = knn_join(frame, frame, 3, broadcast_values=0, block_values=8 * 10)
+    assert _rows(found) == _brute(corpus, corpus, 3)
+    for number, (opened, visits) in enumerate(rounds):
+        assert visits <= opened * B.GROWTH**number
+
+
+def test_visits_carry_no_vectors(spark, plan):
+    chance = np.random.default_rng(7)
+    frame = B.in_cells(
+        _frame(spark, chance.normal(size=(40, 4))), spark.sparkContext.broadcast(np.eye(4))
     )
-    at_home, later = visited
-    blocks = 600 // 40
-    assert at_home == 600
-    assert later < 600 * (blocks - 1) / 2
+    packed = materialise(B.packed(materialise(frame), 10))
+    known = spark.sparkContext.broadcast(B.cells_of(packed, np.eye(4)))
+    opened = materialise(packed.mapInArrow(B._first_state(2), B._STATE))
+    text = plan(B._round(opened, packed, known, 2, 4))
+    # the visits are worked out once, and rows of them hold numbers alone
+    assert text.count("MapInArrow") == 2 and "Generate" not in text
+    assert "binary" not in B._VISITS and "array" not in B._VISITS
+
+
+def test_bounds_between_cells_hold(spark):
+    chance = np.random.default_rng(11)
+    pivots = R.blocks.unit_matrix(chance.normal(size=(6, 5)))
+    data = R.blocks.unit_matrix(np.vstack([chance.normal(size=(200, 5)), np.zeros((3, 5))]))
+    to_pivots = B.angles(data, pivots)
+    cell = to_pivots.argmin(axis=1)
+    ranges = [[f(to_pivots[cell == c, c], initial=i) for c in range(6)] for f, i in ((np.min, np.inf), (np.max, -np.inf))]
+    cells = B.Cells(pivots, *map(np.array, ranges))
+    for c in range(6):
+        mine = data[cell == c]
+        order, _, bound = cells.order(c, cells.nearest[c], cells.farthest[c])
+        assert order[0] == c and (np.diff(bound) >= 0).all()
+        for other, least in zip(order, bound):
+            assert B.angles(mine, data[cell == other]).min() >= least - 1e-6
 
 
 def test_empty_sides(spark):
