@@ -388,6 +388,7 @@ SQL: dict[str, str] = {
     "knn_top3": f"with {nearest(f'({VECTORS})')} select * from matches",
     "knn_top3_few_queries": f"with {nearest(f'({VECTORS})')} select * from matches",
     "knn_top3_by_blocks": f"with {nearest(f'({VECTORS})')} select * from matches",
+    "knn_top3_stored_index": f"with {nearest(f'({VECTORS})')} select * from matches",
     "l2_normalized": f"""with {nearest(f'({VECTORS})')}
       select id, cast(pos as int) as pos, round(value, 6) as value from (
         select id, unnest(v) as value, generate_subscripts(v, 1) - 1 as pos from units)""",
@@ -429,6 +430,8 @@ SQL: dict[str, str] = {
       from documents left join store on key = {KEY.format(text='text')}""",
     "baseline_run": f"""select id, {STAND_IN} from (
         select doc_id as id, length({baseline('text')}) as n from documents)""",
+    "resumed_run": f"""select id, {STAND_IN} from (
+        select doc_id as id, length({baseline('text')}) as n from documents)""",
     "rag_run": f"""with {CONTEXTS}
       select id, {STAND_IN} from (
         select id, length({RETRIEVAL}) as n

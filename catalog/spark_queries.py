@@ -16,7 +16,7 @@ from plumbline.operators import evaluation, quality
 from plumbline.operators.embedding import (
     attach_embeddings,
     cache_misses,
-    embedding_key,
+    content_key,
     refresh_embeddings,
 )
 from plumbline.operators.json_lines import append_datasets, explode_items
@@ -24,7 +24,15 @@ from plumbline.operators.prompts import baseline_prompt, generation_prompts, ret
 from plumbline.operators.responses import normalize_predictions
 from plumbline.operators.retrieval import knn_join, with_context
 from plumbline.operators.scoring import embed
-from plumbline.plans.classification import PREDICTION_COLUMNS, classify, evaluate
+from plumbline.operators.vector_index import append_to_index, create_index, search_index
+from plumbline.plans.classification import (
+    PREDICTION_COLUMNS,
+    classify,
+    evaluate,
+    journalled,
+    run,
+    with_prompts,
+)
 from plumbline.plans.comparison import Comparison, compare, measured
 from plumbline.plans.generation import dataset
 from plumbline.session import checkpoint_folder
@@ -124,6 +132,16 @@ def knn_top3_by_blocks(spark, folder):
     return knn_join(vectors, vectors, layout="blocks", block_values=64 * 256)
 
 
+def knn_top3_stored_index(spark, folder):
+    """The same search in an index made of one half of the rows and grown by the other."""
+    vectors = _vectors(spark, folder)
+    index = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    middle = vectors.agg(F.percentile_approx("id", 0.5)).first()[0]
+    create_index(vectors.where(F.col("id") <= middle), index, block_values=64 * 256)
+    append_to_index(vectors.where(F.col("id") > middle), index)
+    return search_index(vectors, index)
+
+
 def l2_normalized(spark, folder):
     return _vectors(spark, folder).select(
         "id", F.posexplode(l2_normalize(F.col("embedding"))).alias("pos", "value")
@@ -224,7 +242,7 @@ def _stored(spark, folder) -> DataFrame:
     return (
         _sentences(spark, folder)
         .where(F.col("embedding").isNotNull())
-        .withColumn("key", embedding_key(F.col("sentence"), fixtures.MODEL))
+        .withColumn("key", content_key(F.col("sentence"), fixtures.MODEL))
         .groupBy("key")
         .agg(F.min_by("embedding", "id").alias("embedding"))
     )
@@ -238,18 +256,18 @@ def _texts(spark, folder) -> DataFrame:
 
 def embedding_cache_misses(spark, folder):
     misses = cache_misses(_texts(spark, folder), _stored(spark, folder), fixtures.MODEL)
-    return misses.select("key", F.length("sentence").alias("n_chars"))
+    return misses.select(_hex("key"), F.length("sentence").alias("n_chars"))
+
+
+def _hex(key: str) -> Column:
+    return F.lower(F.hex(key)).alias(key)
 
 
 def embedding_refresh(spark, folder):
-    return _letter_columns(
-        refresh_embeddings(
-            _texts(spark, folder),
-            _stored(spark, folder),
-            fixtures.stand_in_vectors,
-            fixtures.MODEL,
-        )
+    fresh = refresh_embeddings(
+        _texts(spark, folder), _stored(spark, folder), fixtures.stand_in_vectors, fixtures.MODEL
     )
+    return _letter_columns(fresh.withColumn("key", _hex("key")))
 
 
 def embedding_reuse(spark, folder):
@@ -266,6 +284,22 @@ def baseline_run(spark, folder):
     return classify(_texts(spark, folder), fixtures.stand_in_answers).drop("sentence")
 
 
+def resumed_run(spark, folder):
+    """A run that stopped after one of its slices, and the same run again."""
+    base = f"{checkpoint_folder(spark)}/resumed-{uuid.uuid4().hex}"
+    prompts = with_prompts(_texts(spark, folder))
+    per_slice = max(1, prompts.count() // 3)
+    journalled(
+        prompts, fixtures.stand_in_answers, fixtures.MODEL, f"{base}/journal",
+        slice_rows=per_slice, max_slices=1,
+    )
+    results = run(
+        _texts(spark, folder), fixtures.stand_in_answers, f"{base}/run",
+        journal=f"{base}/journal", model=fixtures.MODEL, slice_rows=per_slice,
+    )
+    return results.predictions.drop("sentence", "response")
+
+
 def rag_run(spark, folder):
     sentences = _sentences(spark, folder)
     predicted = classify(sentences, fixtures.stand_in_answers, sentences)
@@ -449,6 +483,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         knn_top3,
         knn_top3_few_queries,
         knn_top3_by_blocks,
+        knn_top3_stored_index,
         l2_normalized,
         rag_context,
         rag_context_few_queries,
@@ -465,6 +500,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         embedding_refresh,
         embedding_reuse,
         baseline_run,
+        resumed_run,
         rag_run,
         rag_run_from_text,
         normalized_predictions,

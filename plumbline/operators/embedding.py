@@ -10,25 +10,42 @@ from plumbline.operators.lookup import HOT_ROWS, lookup
 from plumbline.operators.scoring import EmbedFunction, embed
 
 
-def embedding_key(text: Column, model: str) -> Column:
-    """Key of a stored vector; changes with the text and with the model."""
-    return F.sha2(F.concat(F.lit(model + "\x1f"), text), 256)
+def content_key(text: Column, model: str) -> Column:
+    """32 bytes that name a text under a model; null for a missing text."""
+    return F.unhex(F.sha2(F.concat(F.lit(model + "\x1f"), text), 256))
+
+
+def first_of_missing_keys(
+    keyed: DataFrame, stored: DataFrame, row_id: str, key: str = "key"
+) -> DataFrame:
+    """``key`` and the smallest ``row_id`` of every key that ``stored`` does not hold.
+
+    Keys and ids are all that is shuffled. Copies fold together before, so a text that
+    makes up a third of the rows is a row per task.
+    """
+    first = keyed.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(row_id).alias(row_id))
+    return first.join(stored.select(key), key, "left_anti")
+
+
+def rows_of(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``df`` whose ``keys`` are among ``wanted``; missing ids equal each other."""
+    right = wanted.select([F.col(name).alias(f"_wanted_{name}") for name in keys])
+    return df.join(right, [F.col(name).eqNullSafe(F.col(f"_wanted_{name}")) for name in keys], "left_semi")
 
 
 def cache_misses(
-    texts: DataFrame, stored: DataFrame, model: str, text: str = "sentence"
+    texts: DataFrame, stored: DataFrame, model: str, text: str = "sentence", row_id: str = "id"
 ) -> DataFrame:
     """``(key, text)`` of the distinct texts whose key ``stored`` does not hold.
 
-    Copies of a text fold together before the shuffle, so a text that makes up
-    a third of the rows is one row by the time it is joined or embedded.
+    In two steps. The first settles by keys which texts are missing, and for each one row
+    that has it. Only those rows' texts are asked for in the second, where Spark sends the
+    wanted rows to the texts if they are few. ``row_id`` tells rows apart; where it does not, a
+    text may come twice.
     """
-    keyed = texts.select(embedding_key(F.col(text), model).alias("key"), F.col(text))
-    # key determines text, so any copy's text will do
-    distinct = keyed.where(F.col(text).isNotNull()).groupBy("key").agg(
-        F.any_value(text).alias(text)
-    )
-    return distinct.join(stored.select("key"), "key", "left_anti")
+    keyed = texts.select(content_key(F.col(text), model).alias("key"), row_id, text)
+    wanted = first_of_missing_keys(keyed.select("key", row_id), stored, row_id)
+    return rows_of(keyed, wanted, ["key", row_id]).select("key", text)
 
 
 def refresh_embeddings(
@@ -39,13 +56,14 @@ def refresh_embeddings(
     text: str = "sentence",
     batch_size: int = EMBED_BATCH,
     parallelism: int | None = None,
+    row_id: str = "id",
 ) -> DataFrame:
     """``(key, embedding)`` rows to append to the store for these texts.
 
     Write the result to the store before using it: a model call is too dear to
     repeat when an executor is lost.
     """
-    misses = cache_misses(texts, stored, model, text)
+    misses = cache_misses(texts, stored, model, text, row_id)
     return embed(misses, embed_fn, text, "embedding", batch_size, parallelism).select(
         "key", "embedding"
     )
@@ -64,6 +82,6 @@ def attach_embeddings(
     The store has one row per key. Rows of a very frequent text are dealt out to
     several tasks.
     """
-    keyed = texts.withColumn("_key", embedding_key(F.col(text), model))
+    keyed = texts.withColumn("_key", content_key(F.col(text), model))
     vectors = stored.select(F.col("key").alias("_key"), "embedding")
     return lookup(keyed, vectors, "_key", row_id, "left", hot_rows).drop("_key")

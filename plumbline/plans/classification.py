@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +11,17 @@ from plumbline.fixed_values import EMBED_BATCH, EMPTY_INPUT, GOLD_COLUMNS, TEXT_
 from plumbline.functions.text import is_blank
 from plumbline.operators import evaluation
 from plumbline.operators.embedding import attach_embeddings, refresh_embeddings
+from plumbline.operators.journal import SLICE_ROWS, ask_missing, with_answers
 from plumbline.operators.prompts import baseline_prompt, retrieval_prompt
 from plumbline.operators.responses import PREDICTION_COLUMNS, normalize_predictions
 from plumbline.operators.retrieval import with_context
 from plumbline.operators.scoring import EmbedFunction, ScoreFunction, score
+from plumbline.session import materialise
+from plumbline.sources.batches import append_batch, newest_of_keys, read_batches
 from plumbline.sources.tables import first_present, require_column, write_tables
 
+STORE = "key binary, embedding array<float>"
+
 
 def with_embeddings(
     table: DataFrame,
@@ -30,22 +34,18 @@ def with_embeddings(
 ) -> DataFrame:
     """``table`` with the ``embedding`` of every text that is not blank.
 
-    ``store`` is the folder of a Parquet table ``key, embedding``. Texts whose vector it
-    holds for this model are not embedded again; new vectors are appended to it before
-    any is used.
+    ``store`` is a folder of batches ``key, embedding`` (see ``batches.py``). Texts whose
+    vector it holds for this model are not embedded again; new vectors are appended to it
+    before any is used. Runs may share a store at the same time: a text that two of them
+    add has one vector. ``id`` tells the rows of ``table`` apart.
     """
     spark = table.sparkSession
-    schema = "key string, embedding array<float>"
-    try:
-        held = spark.read.schema(schema).parquet(store)
-        held.head(1)
-    except AnalysisException:
-        held = spark.createDataFrame([], schema)
-    asking = table.where(~is_blank(F.col(text))).select(text)
-    refresh_embeddings(asking, held, embed_fn, model, text, batch_size, parallelism).write.mode(
-        "append"
-    ).parquet(store)
-    held = spark.read.schema(schema).parquet(store)
+    held = read_batches(spark, store, STORE)
+    asking = table.where(~is_blank(F.col(text))).select("id", text)
+    append_batch(
+        refresh_embeddings(asking, held, embed_fn, model, text, batch_size, parallelism), store
+    )
+    held = newest_of_keys(read_batches(spark, store, STORE), "key", "embedding")
     return attach_embeddings(table.drop("embedding"), held, model, text)
 
 
@@ -138,6 +138,27 @@ def classify(
     return with_predictions(answered.drop("prompt"), text)
 
 
+def journalled(
+    prompts: DataFrame,
+    score_fn: ScoreFunction,
+    model: str | None,
+    journal: str,
+    batch_size: int = 64,
+    parallelism: int | None = None,
+    slice_rows: int = SLICE_ROWS,
+    max_slices: int | None = None,
+) -> DataFrame:
+    """``prompts`` with ``response``, by way of a journal; see ``ask_missing``."""
+    if model is None:
+        raise ValueError("a journal needs the model's name")
+    # a number for every row, fixed by writing it down; prompts can be dear to make
+    fixed = materialise(prompts.withColumn("_row", F.monotonically_increasing_id()))
+    ask_missing(
+        fixed, score_fn, model, journal, "prompt", "_row", batch_size, parallelism, slice_rows, max_slices
+    )
+    return with_answers(fixed, model, journal, "prompt", "_row").drop("_row")
+
+
 @dataclass(frozen=True)
 class Results:
     """Tables of one run; all but ``predictions`` are None without human labels."""
@@ -174,11 +195,17 @@ def run(
     embed_fn: EmbedFunction | None = None,
     embed_model: str | None = None,
     store: str | None = None,
+    journal: str | None = None,
+    model: str | None = None,
+    slice_rows: int = SLICE_ROWS,
     **search,
 ) -> Results:
     """Classify, score and write ``responses``, ``predictions`` and the metrics tables.
 
-    ``embed_fn``, ``embed_model`` and ``store`` are those of ``classify``.
+    ``embed_fn``, ``embed_model`` and ``store`` are those of ``classify``. With a folder
+    ``journal`` and the ``model``'s name, equal prompts are asked once, answers that the
+    journal holds are not asked for again, and a run that stops half-way goes on from the last
+    slice of ``slice_rows`` prompts (see ``journal.py``).
 
     The model's answers are written first and everything else is derived from
     the written table, so no answer is asked for twice and a lost executor
@@ -188,7 +215,12 @@ def run(
     spark = test.sparkSession
     test, corpus = _prepared(test, corpus, text, embed_fn, embed_model, store)
     prompts = with_prompts(test, corpus, k, text, **search)
-    answered = score(prompts, score_fn, "prompt", "response", batch_size, parallelism)
+    if journal is None:
+        answered = score(prompts, score_fn, "prompt", "response", batch_size, parallelism)
+    else:
+        answered = journalled(
+            prompts, score_fn, model, journal, batch_size, parallelism, slice_rows
+        )
     write_tables(folder, responses=answered.drop("prompt"))
 
     # the answers keep their test row beside them, so nothing has to be joined
@@ -221,6 +253,7 @@ __all__ = [
     "classify",
     "evaluate",
     "from_responses",
+    "journalled",
     "run",
     "with_embeddings",
     "with_predictions",

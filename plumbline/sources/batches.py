@@ -23,10 +23,17 @@ def _place(spark: SparkSession, path: str):
     return place, place.getFileSystem(context._jsc.hadoopConfiguration())
 
 
-def append_batch(rows: DataFrame, folder: str, by: tuple[str, ...] = ()) -> str:
-    """Write ``rows`` as one batch, its files parted ``by`` columns; the batch's name."""
+def append_batch(rows: DataFrame, folder: str, by: tuple[str, ...] = ()) -> str | None:
+    """Write ``rows`` as one batch, its files parted ``by`` columns; the batch's name.
+
+    Without a row there is no batch.
+    """
     spark, name = rows.sparkSession, uuid.uuid4().hex
-    rows.write.partitionBy(*by).parquet(f"{folder}/rows/{BATCH}={name}")
+    path = f"{folder}/rows/{BATCH}={name}"
+    rows.write.partitionBy(*by).parquet(path)
+    written = spark.read.schema(rows.drop(*by).schema).option("recursiveFileLookup", "true").parquet(path)
+    if written.isEmpty():
+        return None
     place, files = _place(spark, f"{folder}/committed/{name}")
     files.create(place, False).close()
     return name
@@ -50,3 +57,11 @@ def read_batches(spark: SparkSession, folder: str, schema: str) -> DataFrame:
         .option("basePath", f"{folder}/rows")
         .parquet(*[f"{folder}/rows/{BATCH}={name}" for name in names])
     )
+
+
+def newest_of_keys(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``key, value`` with one row per key, whichever batches hold it: the last one's by name.
+
+    Two writers may both have found a key missing and have added it.
+    """
+    return rows.groupBy(key).agg(F.max_by(value, BATCH).alias(value))

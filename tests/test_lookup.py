@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators.embedding import attach_embeddings, embedding_key
+from plumbline.operators.embedding import attach_embeddings, content_key
 from plumbline.operators.lookup import lookup
 from plumbline.operators.retrieval import retrieve_context
 
@@ -50,7 +50,7 @@ def test_embeddings_of_a_frequent_text(spark):
     text = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 9))
     texts = spark.range(90).select("id", text.alias("sentence"))
     store = texts.select("sentence").distinct().select(
-        embedding_key(F.col("sentence"), "m").alias("key"),
+        content_key(F.col("sentence"), "m").alias("key"),
         F.array(F.length("sentence").cast("float")).alias("embedding"),
     )
     got = attach_embeddings(texts, store, "m", hot_rows=5).collect()

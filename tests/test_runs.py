@@ -129,7 +129,7 @@ def test_embedding_reuse_computes_new_texts_only(spark):
     texts = spark.createDataFrame(
         [(1, "abc"), (2, "abc"), (3, "dee"), (4, None)], "id int, sentence string"
     )
-    nothing = spark.createDataFrame([], "key string, embedding array<float>")
+    nothing = spark.createDataFrame([], "key binary, embedding array<float>")
     first = refresh_embeddings(texts, nothing, letters, "m1").cache()
     assert first.count() == 2
     assert cache_misses(texts, first, "m1").count() == 0
