@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,35 +146,73 @@ def paired_t(differences: DataFrame, measures: list[str] | None = None) -> DataF
     return _for_all(tests, measures, ("n",))
 
 
+#: Differences other than zero for which the exact distribution is worked out.
+MAX_EXACT = 1000
+
+
+def _exact_p(table: pa.Table) -> pa.Table:
+    """The two-sided p of one measure from the distribution of its rank sum.
+
+    Under the null hypothesis every rank is added or not with equal chances. Ranks are
+    doubled, since averages of ties end in halves; each one shifts and halves the
+    distribution found so far.
+    """
+    rank, tied, positive = (table[name].to_numpy() for name in ("rank", "tied", "positive"))
+    doubled = np.round(2 * rank).astype(np.int64)
+    chances = np.zeros(int((doubled * tied).sum()) + 1)
+    chances[0] = 1.0
+    top = 0
+    for value, count in zip(doubled.tolist(), tied.tolist()):
+        for _ in range(count):
+            added = chances[: top + 1] / 2
+            chances[: top + 1] = added
+            chances[value : value + top + 1] += added
+            top += value
+    plus = int((doubled * positive).sum())
+    # the distribution is symmetric about half its top
+    p = min(1.0, 2 * float(chances[: min(plus, top - plus) + 1].sum()))
+    return pa.table({"measure": table["measure"].slice(0, 1), "exact_p": [p]})
+
+
 def wilcoxon_signed_rank(
-    differences: DataFrame, measures: list[str] | None = None
+    differences: DataFrame, measures: list[str] | None = None, method: str = "normal"
 ) -> DataFrame:
     """Wilcoxon signed-rank test per measure: ``pairs, n, w_plus, w_minus, z, p``.
 
-    Zeros are dropped, ties get their average rank, and z comes from the normal
-    approximation with tie correction and without continuity correction. The
-    differences are read once and folded to one row per distinct size; ranks
-    are worked out on those. A measure of ``measures`` without a pair has zero pairs
-    and no z.
+    Zeros are dropped, ties get their average rank. By the ``method`` "normal", p comes from z,
+    the normal approximation with tie correction and without continuity correction; by "exact"
+    it is that of the rank sum's own distribution, ties included, for at most ``MAX_EXACT``
+    differences a measure. The differences are read once and folded to one row per
+    distinct size; ranks are worked out on those. A measure of ``measures`` without a pair
+    has zero pairs and no z.
     """
+    if method not in ("normal", "exact"):
+        raise ValueError("method must be normal or exact")
     counts = materialise(
         differences.groupBy("measure", F.abs("d").alias("size")).agg(
             F.count_if(F.col("d") > 0).alias("positive"),
             F.count(F.lit(1)).alias("tied"),
         )
     )
+    present = counts.where(F.col("size") > 0)
+    if method == "exact":
+        largest = present.groupBy("measure").agg(F.sum("tied").alias("n")).agg(F.max("n")).first()[0]
+        if (largest or 0) > MAX_EXACT:
+            raise ValueError(f"the exact distribution is for at most {MAX_EXACT} differences, not {largest}")
     ranked = prefix_sums(
-        counts.where(F.col("size") > 0), [F.col("size")], {"smaller": F.col("tied")}, ["measure"]
-    )
+        present, [F.col("size")], {"smaller": F.col("tied")}, ["measure"]
+    ).withColumn("rank", F.col("smaller") + (F.col("tied").cast("double") + 1) / 2)
     tied = F.col("tied").cast("double")
     positive = F.col("positive").cast("double")
-    rank = F.col("smaller") + (tied + 1) / 2
     ranks = ranked.groupBy("measure").agg(
         F.sum("tied").alias("n"),
-        F.sum(positive * rank).alias("w_plus"),
-        F.sum((tied - positive) * rank).alias("w_minus"),
+        F.sum(positive * F.col("rank")).alias("w_plus"),
+        F.sum((tied - positive) * F.col("rank")).alias("w_minus"),
         F.sum(tied * tied * tied - tied).alias("_ties"),
     )
+    if method == "exact":
+        found = ranked.groupBy("measure").applyInArrow(_exact_p, "measure string, exact_p double")
+        ranks = ranks.join(found, "measure")
     n = F.col("n").cast("double")
     # a measure whose differences are all zero still gets its row
     tests = (
@@ -187,7 +227,7 @@ def wilcoxon_signed_rank(
                 F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48),
             ),
         )
-        .withColumn("p", normal_p("z"))
-        .drop("_ties")
+        .withColumn("p", normal_p("z") if method == "normal" else F.col("exact_p"))
+        .drop("_ties", "exact_p")
     )
     return _for_all(tests, measures, ("pairs", "n", "w_plus", "w_minus"))

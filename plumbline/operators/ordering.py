@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,12 @@ from pyspark.sql import types as T
 
 from plumbline.session import materialise
 
+#: Keys that a selection may bring to the driver.
+SELECT_ROWS = 100_000
+#: Keys sampled for splitters, and how many of those one pass counts by.
+SAMPLE_ROWS = 1000
+SPLITTERS = 31
+
 def prefix_sums(
     df: DataFrame,
     order: list[Column],
@@ -60,31 +67,77 @@ def prefix_sums(
     )
 
 
-def first_rows(df: DataFrame, n: int, key: str = "id") -> DataFrame:
+def nth_key(keys: DataFrame, n: int, select_rows: int = SELECT_ROWS):
+    """The n-th smallest ``key`` and how many are smaller; None if there are fewer than n.
+
+    ``keys`` has that one column, without nulls. While n is large, a sample of the keys
+    still in question gives some splitters; one pass counts the keys below and up to each,
+    and only the range between two of them goes on. A splitter that is itself the n-th key
+    ends the search, however many rows share it. What reaches the driver are at most
+    ``select_rows`` keys.
+    """
+    key, before = F.col("key"), 0
+    while n - before > select_rows:
+        wanted = n - before
+        rows = keys.count()
+        if rows < wanted:
+            return None
+        some = keys.sample(min(1.0, 2 * SAMPLE_ROWS / rows)).limit(4 * SAMPLE_ROWS)
+        sample = [row.key for row in (some.orderBy("key").collect() or keys.take(1))]
+        splitters = sample[:: math.ceil(len(sample) / SPLITTERS)]
+        counts = keys.agg(
+            *[F.count_if(key < F.lit(s)).alias(f"l{i}") for i, s in enumerate(splitters)],
+            *[F.count_if(key <= F.lit(s)).alias(f"u{i}") for i, s in enumerate(splitters)],
+        ).first()
+        above, below = None, None
+        for i, splitter in enumerate(splitters):
+            smaller, upto = counts[f"l{i}"], counts[f"u{i}"]
+            if smaller < wanted <= upto:
+                return splitter, before + smaller
+            if upto < wanted:
+                above, passed = splitter, upto
+            elif below is None:
+                below = splitter
+        if below is not None:
+            keys = keys.where(key < F.lit(below))
+        if above is not None:
+            keys, before = keys.where(key > F.lit(above)), before + passed
+    found = [row.key for row in keys.orderBy("key").limit(n - before).collect()]
+    if len(found) < n - before:
+        return None
+    last = found[-1]
+    ties = sum(1 for key in found if key == last or (key != key and last != last))
+    return last, n - ties
+
+
+def first_rows(df: DataFrame, n: int, key: str = "id", select_rows: int = SELECT_ROWS) -> DataFrame:
     """The ``n`` rows with the smallest ``key``, missing keys last.
 
-    One plan for any ``n`` and any key that can be ordered. Only keys are sorted, and
-    one of them, the n-th, reaches the driver; the rows up to it stay where they are. Of
+    For any ``n`` and any key that can be ordered and compared. The n-th key is selected
+    (see ``nth_key``), the rows up to it stay where they are; nothing is sorted as a whole. Of
     rows that share the n-th key, as many as are wanted come in the order of a hash of
     all their columns. ``df`` is read more than once.
     """
     name = F.col(f"`{key}`")
-    in_order = placed(df.select(name.alias("key")), F.col("key").asc_nulls_last())
-    last = in_order.where(F.col("_place") == n - 1).select("key").first()
-    if last is None:
-        return df
-    cut = last["key"]
-    if cut is None:
-        smaller, equal = name.isNotNull(), name.isNull()
+    present = df.where(name.isNotNull())
+    found = nth_key(present.select(name.alias("key")), n, select_rows)
+    if found is None:
+        wanted, before, tied = n - present.count(), present, df.where(name.isNull())
     else:
-        smaller, equal = name < F.lit(cut), name.eqNullSafe(F.lit(cut))
-    before = df.where(smaller)
-    wanted = n - before.count()
-    tied = df.where(equal)
-    if wanted < tied.count():
-        tied_order = placed(tied, F.xxhash64(*_hashable(df)))
-        tied = tied_order.where(F.col("_place") < wanted).select(*df.columns)
-    return before.unionByName(tied)
+        cut, smaller = found
+        wanted, before, tied = n - smaller, df.where(name < F.lit(cut)), df.where(name == F.lit(cut))
+    if wanted <= 0:
+        return before
+    hashed = F.xxhash64(*_hashable(df))
+    if wanted <= select_rows:
+        return before.unionByName(tied.orderBy(hashed).limit(wanted))
+    within = nth_key(tied.select(hashed.alias("key")), wanted, select_rows)
+    if within is None:
+        return before.unionByName(tied)
+    # rows of equal hash are as good as equal
+    cut, smaller = within
+    rest = tied.where(hashed == F.lit(cut)).limit(wanted - smaller)
+    return before.unionByName(tied.where(hashed < F.lit(cut))).unionByName(rest)
 
 
 def placed(df: DataFrame, *order: Column) -> DataFrame:

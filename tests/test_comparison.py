@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.distributions import normal_two_sided, student_two_sided
 from plumbline.operators import comparison as C
 from plumbline.operators import ordering
+from plumbline.session import materialise
 
 
 def _diffs(spark, values, measure="m"):
@@ -167,6 +168,67 @@ def test_first_rows_twice_are_the_same_rows(spark):
     assert one == two and len(one) == 120
 
 
+@pytest.mark.parametrize("n", [1, 30, 99, 100, 101, 150, 250, 300])
+def test_selection_by_splitters(spark, n):
+    chance = random.Random(n)
+    keys = [chance.choice([7.0, chance.random() * 20, None, math.nan]) for _ in range(260)]
+    df = materialise(spark.createDataFrame(list(enumerate(keys)), "x int, k double").repartition(3))
+    found = ordering.first_rows(df, n, "k", select_rows=5).collect()
+    order = lambda k: (k is None, k is not None and k != k, 0 if k is None or k != k else k)
+    expected = sorted(keys, key=order)[:n]
+    assert sorted(map(order, (r.k for r in found))) == list(map(order, expected))
+    assert len({r.x for r in found}) == len(found) == min(n, 260)
+
+
+def test_selection_neither_sorts_nor_checkpoints(spark, monkeypatch, plan):
+    monkeypatch.setattr(ordering, "materialise", None)
+    df = spark.range(100_000).selectExpr("id * 7919 % 100000 as id", "id as x")
+    cut = ordering.first_rows(df, 50)
+    assert {r.id for r in cut.collect()} == set(range(50))
+    assert "rangepartitioning" not in plan(cut)
+
+
+def _p_by_enumeration(values):
+    """Over all signs of the ranks: how often the rank sum is as far from its middle."""
+    sizes = sorted(abs(v) for v in values if v)
+    ranks = [2 * sizes.index(v) + sizes.count(v) + 1 for v in (abs(v) for v in values if v)]
+    signs = [v > 0 for v in values if v]
+    total = sum(ranks)
+    far = abs(2 * sum(r for r, s in zip(ranks, signs) if s) - total)
+    ways = [
+        abs(2 * sum(r for i, r in enumerate(ranks) if mask >> i & 1) - total) >= far
+        for mask in range(1 << len(ranks))
+    ]
+    return sum(ways) / len(ways)
+
+
+def test_exact_wilcoxon_is_full_enumeration(spark):
+    chance = random.Random(4)
+    samples = {
+        f"m{n}{kind}": [chance.choice([-3, -2, -1, 0, 1, 2, 2.5]) if kind == "t" else chance.gauss(0.4, 1) for _ in range(n)]
+        for n in (1, 2, 5, 8, 12) for kind in ("t", "g")
+    }
+    rows = [(i, m, float(v)) for m, values in samples.items() for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "id long, measure string, d double")
+    got = {r.measure: r for r in C.wilcoxon_signed_rank(df, [*samples, "none"], "exact").collect()}
+    for measure, values in samples.items():
+        if any(values):
+            assert got[measure].p == pytest.approx(_p_by_enumeration(values), rel=1e-12)
+        else:
+            assert got[measure].p is None
+    assert got["none"].p is None
+
+
+def test_exact_wilcoxon_meets_normal_and_has_a_limit(spark, monkeypatch):
+    chance = random.Random(9)
+    values = [chance.gauss(0.1, 1) for _ in range(400)]
+    exact = C.wilcoxon_signed_rank(_diffs(spark, values), method="exact").first()
+    assert exact.p == pytest.approx(math.erfc(abs(exact.z) / math.sqrt(2)), abs=2e-3)
+    monkeypatch.setattr(C, "MAX_EXACT", 399)
+    with pytest.raises(ValueError, match="at most 399"):
+        C.wilcoxon_signed_rank(_diffs(spark, values), method="exact")
+
+
 @pytest.mark.parametrize("df", [1e6, 9.9e6, 1.01e7, 1e8, 1e10])
 @pytest.mark.parametrize("t", [0.3, 1.5, 5.0, 20.0, 36.0])
 def test_student_meets_normal_at_every_size(t, df):
