@@ -388,6 +388,7 @@ SQL: dict[str, str] = {
     "knn_top3": f"with {nearest(f'({VECTORS})')} select * from matches",
     "knn_top3_few_queries": f"with {nearest(f'({VECTORS})')} select * from matches",
     "knn_top3_by_blocks": f"with {nearest(f'({VECTORS})')} select * from matches",
+    "knn_top3_quantised": f"with {nearest(f'({VECTORS})')} select * from matches",
     "knn_top3_stored_index": f"with {nearest(f'({VECTORS})')} select * from matches",
     "l2_normalized": f"""with {nearest(f'({VECTORS})')}
       select id, cast(pos as int) as pos, round(value, 6) as value from (

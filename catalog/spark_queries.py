@@ -132,6 +132,12 @@ def knn_top3_by_blocks(spark, folder):
     return knn_join(vectors, vectors, layout="blocks", block_values=64 * 256)
 
 
+def knn_top3_quantised(spark, folder):
+    """The same search by 8-bit codes, floats for those alone that the codes leave open."""
+    vectors = _vectors(spark, folder)
+    return knn_join(vectors, vectors, layout="codes", block_values=64 * 256)
+
+
 def knn_top3_stored_index(spark, folder):
     """The same search in an index made of one half of the rows and grown by the other."""
     vectors = _vectors(spark, folder)
@@ -484,6 +490,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         knn_top3_few_queries,
         knn_top3_by_blocks,
         knn_top3_stored_index,
+        knn_top3_quantised,
         l2_normalized,
         rag_context,
         rag_context_few_queries,

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.nearest import (
     CHUNK_VALUES,
+    DECIMALS,
     SLACK,
     angles,
     best_matches,
@@ -37,6 +38,7 @@ from plumbline.functions.nearest import (
     unit_matrix,
     unit_rows,
 )
+from plumbline.operators.lookup import lookup
 from plumbline.session import materialise
 
 MAX_PIVOTS = 4096
@@ -51,6 +53,7 @@ BLOCKS = (
     "ids binary, vectors binary"
 )
 MATCHES = "query_id bigint, rank int, corpus_id bigint, similarity double"
+CANDIDATES = "query_id bigint, corpus_id bigint"
 _STATE = (
     "block bigint, cell int, nearest double, farthest double, done int, bound double, "
     "pending boolean, ids binary, vectors binary, similarities binary, found binary"
@@ -90,10 +93,11 @@ def in_cells(vectors: DataFrame, pivots) -> DataFrame:
     return vectors.mapInArrow(run, PLACED)
 
 
-def packed(placed: DataFrame, rows_per_block: int) -> DataFrame:
+def packed(placed: DataFrame, rows_per_block: int, codes: bool = False) -> DataFrame:
     """Rows of ``in_cells`` as ``BLOCKS`` of about ``rows_per_block`` rows, read twice.
 
     A cell with more rows is cut by a hash of the ids. Blocks are numbered within a call.
+    With ``codes`` the vectors are 8-bit codes, see ``coded``.
     """
     # at most one row per pivot
     counts = {row.cell: row["count"] for row in placed.groupBy("cell").count().collect()}
@@ -109,7 +113,11 @@ def packed(placed: DataFrame, rows_per_block: int) -> DataFrame:
 
     def pack(table: pa.Table) -> pa.Table:
         angle = table["angle"].to_numpy()
-        vectors = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        if codes:
+            content = coded(unit_rows(table["embedding"]))
+        else:
+            vectors = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            content = vectors.astype("<f4").tobytes()
         return pa.table(
             {
                 "cell": pa.array([table["cell"][0].as_py()], pa.int32()),
@@ -118,7 +126,7 @@ def packed(placed: DataFrame, rows_per_block: int) -> DataFrame:
                 "farthest": pa.array([angle.max()]),
                 "rows": pa.array([len(angle)], pa.int32()),
                 "ids": pa.array([table["id"].to_numpy().astype("<i8").tobytes()]),
-                "vectors": pa.array([vectors.astype("<f4").tobytes()]),
+                "vectors": pa.array([content]),
             }
         )
 
@@ -131,6 +139,28 @@ def packed(placed: DataFrame, rows_per_block: int) -> DataFrame:
     )
 
 
+def coded(units: np.ndarray) -> bytes:
+    """Unit rows as a scale, an error and a signed byte for each value.
+
+    The error is the distance of what the codes stand for from the row, rounded up. So the
+    similarity of any unit vector to the row is off by no more (Cauchy-Schwarz).
+    """
+    scale = (np.abs(units).max(axis=1, initial=0.0) / 127).astype("<f4")
+    divisor = np.where(scale > 0, scale, 1).astype(np.float64)[:, None]
+    values = np.clip(np.rint(units / divisor), -127, 127).astype(np.int8)
+    error = np.linalg.norm(units - values * scale.astype(np.float64)[:, None], axis=1)
+    error = np.nextafter((error * (1 + 1e-6) + 1e-9).astype("<f4"), np.float32(np.inf))
+    return scale.tobytes() + error.astype("<f4").tobytes() + values.tobytes()
+
+
+def decoded(raw: bytes, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the codes stand for, and the error of each row."""
+    scale = np.frombuffer(raw, "<f4", rows).astype(np.float64)
+    error = np.frombuffer(raw, "<f4", rows, 4 * rows).astype(np.float64)
+    values = np.frombuffer(raw, np.int8, offset=8 * rows).reshape(rows, -1)
+    return values * scale[:, None], error
+
+
 @dataclass(frozen=True)
 class Cells:
     """The pivots, and the nearest and farthest angle of a corpus row in each one's cell."""
@@ -173,32 +203,38 @@ def search(
     cells: Cells,
     k: int,
     rows_per_block: int,
+    codes: bool = False,
 ) -> DataFrame:
     """``MATCHES`` of ``queries`` (``id, embedding``) among ``blocks``, k per query at most.
 
-    ``blocks`` is a stored table, or a function that gives the blocks of the listed cells.
+    With ``codes``, ``blocks`` hold codes, and ``query_id, corpus_id`` of all rows that may
+    be among the k are returned. ``blocks`` is a stored table, or a function that gives the blocks of the listed cells.
     One checkpoint per round; there are about log(cells) / log(``GROWTH``) rounds at most.
     """
     spark = queries.sparkSession
     pivots = spark.sparkContext.broadcast(cells.pivots)
     known = spark.sparkContext.broadcast(cells)
-    opened = packed(in_cells(queries, pivots), rows_per_block).mapInArrow(_first_state(k), _STATE)
+    opened = packed(in_cells(queries, pivots), rows_per_block).mapInArrow(_first_state(k, codes), _STATE)
     finished = []
     opened, quota = materialise(opened), 1
     while not opened.isEmpty():
-        opened = materialise(_round(opened, blocks, known, k, quota))
+        opened = materialise(_round(opened, blocks, known, k, quota, codes))
         finished.append(opened.where(~F.col("pending")))
         opened = opened.where("pending")
         quota *= GROWTH
     if not finished:
-        return spark.createDataFrame([], MATCHES)
+        return spark.createDataFrame([], CANDIDATES if codes else MATCHES)
     states = finished[0]
     for table in finished[1:]:
         states = states.unionByName(table)
+    if codes:
+        return states.select("ids", "found").mapInArrow(_candidates, CANDIDATES)
     return states.select("ids", "similarities", "found").mapInArrow(_matches(k), MATCHES)
 
 
-def _round(opened: DataFrame, blocks, known, k: int, quota: int) -> DataFrame:
+def _round(
+    opened: DataFrame, blocks, known, k: int, quota: int, codes: bool = False
+) -> DataFrame:
     """The state of blocks of queries after their next ``quota`` cells."""
     visits = opened.select("block", "cell", "nearest", "farthest", "done", "bound").mapInArrow(
         _next_visits(known, quota), _VISITS
@@ -224,11 +260,11 @@ def _round(opened: DataFrame, blocks, known, k: int, quota: int) -> DataFrame:
         rows.repartition("block")
         .sortWithinPartitions("block", "turn")
         .select("turn", *opened.columns)
-        .mapInArrow(_visited(known, k, quota), _STATE)
+        .mapInArrow(_visited(known, k, quota, codes), _STATE)
     )
 
 
-def _first_state(k: int):
+def _first_state(k: int, codes: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blocks = batch.num_rows
@@ -242,7 +278,7 @@ def _first_state(k: int):
                     "ids": batch["ids"],
                     "vectors": batch["vectors"],
                     "similarities": pa.array([np.full(n * k, -2.0).tobytes() for n in rows]),
-                    "found": pa.array([np.zeros(n * k, "<i8").tobytes() for n in rows]),
+                    "found": pa.array([b"" if codes else np.zeros(n * k, "<i8").tobytes() for n in rows]),
                 }
             )
 
@@ -283,18 +319,29 @@ class _Queries:
         count = len(row["ids"]) // 8
         self.units = _units(row["vectors"], count)
         self.similarities = np.frombuffer(row["similarities"]).reshape(count, k).copy()
-        self.found = np.frombuffer(row["found"], "<i8").reshape(count, k).copy()
+        self.take_found(row["found"])
 
-    def visit(self, cell: int, near: float, far: float, ids: bytes, vectors: bytes) -> None:
-        """Search a block for the queries that it may hold something for."""
+    def take_found(self, raw: bytes) -> None:
+        self.found = np.frombuffer(raw, "<i8").reshape(self.similarities.shape).copy()
+
+    def found_bytes(self) -> bytes:
+        return self.found.tobytes()
+
+    def may(self, cell: int, near: float, far: float) -> np.ndarray:
+        """Numbers of the queries for which a block may hold something better."""
         worst = self.similarities[:, -1]
         apart = angles(self.units, self.cells.pivots[cell : cell + 1])[:, 0]
-        may = np.flatnonzero(np.maximum(apart - far, near - apart) <= reach(worst))
+        return np.flatnonzero(np.maximum(apart - far, near - apart) <= reach(worst))
+
+    def visit(self, cell: int, near: float, far: float, ids: bytes, vectors: bytes) -> None:
+        """Search a block for the queries that it may hold something for."""
+        may = self.may(cell, near, far)
         if not len(may):
             return
         ids = np.frombuffer(ids, "<i8")
         block = _units(vectors, len(ids))
-        rows, similarities, found, _ = best_matches(self.units[may], block, ids, self.k, worst[may])
+        worst = self.similarities[may, -1]
+        rows, similarities, found, _ = best_matches(self.units[may], block, ids, self.k, worst)
         has = self.similarities > -2.0
         rows = np.concatenate([may[rows], np.nonzero(has)[0]])
         similarities = np.concatenate([similarities, self.similarities[has]])
@@ -315,10 +362,46 @@ class _Queries:
             "bound": bound,
             "pending": pending,
             "similarities": self.similarities.tobytes(),
-            "found": self.found.tobytes(),
+            "found": self.found_bytes(),
         }
 
 
+_CANDIDATE = np.dtype([("row", "<i4"), ("id", "<i8"), ("most", "<f8")])
+
+
+class _CodedQueries(_Queries):
+    """A block of queries that visits codes.
+
+    In the place of similarities it keeps the k largest of what rows have at least, and as
+    found every row that may have as much as the k-th of those.
+    """
+
+    def take_found(self, raw: bytes) -> None:
+        self.parts = [np.frombuffer(raw, _CANDIDATE)]
+
+    def found_bytes(self) -> bytes:
+        found = np.concatenate(self.parts)
+        return found[found["most"] >= self.similarities[found["row"], -1] - SLACK].tobytes()
+
+    def visit(self, cell: int, near: float, far: float, ids: bytes, vectors: bytes) -> None:
+        may = self.may(cell, near, far)
+        ids = np.frombuffer(ids, "<i8")
+        stand_ins, error = decoded(vectors, len(ids))
+        step = max(1, CHUNK_VALUES // max(1, len(ids)))
+        for start in range(0, len(may), step):
+            rows = may[start : start + step]
+            about = self.units[rows] @ stand_ins.T
+            both = np.concatenate([self.similarities[rows], about - error], axis=1)
+            best = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
+            self.similarities[rows] = -np.sort(-best, axis=1)
+            limit = self.similarities[rows, -1] - SLACK
+            row, column = np.nonzero(about + error >= limit[:, None])
+            part = np.empty(len(row), _CANDIDATE)
+            part["row"], part["id"] = rows[row], ids[column]
+            part["most"] = (about + error)[row, column]
+            self.parts.append(part)
+
+
 def _units(raw: bytes, rows: int) -> np.ndarray:
     return unit_matrix(np.frombuffer(raw, "<f4").astype(np.float64).reshape(rows, -1))
 
@@ -331,7 +414,7 @@ def _state_schema() -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in _STATE.split(", "))])
 
 
-def _visited(known, k: int, quota: int):
+def _visited(known, k: int, quota: int, codes: bool):
     """Blocks of queries, each followed by the blocks it visits, in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +429,7 @@ def _visited(known, k: int, quota: int):
                 if turn < 0:
                     if queries is not None:
                         yield made()
-                    queries = _Queries(row, known.value, k)
+                    queries = (_CodedQueries if codes else _Queries)(row, known.value, k)
                 else:
                     queries.visit(*(row[n] for n in ("cell", "nearest", "farthest", "ids", "vectors")))
         if queries is not None:
@@ -374,6 +457,57 @@ def _matches(k: int):
     return run
 
 
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ids, found in zip(*(batch[i].to_pylist() for i in range(2))):
+            found = np.frombuffer(found, _CANDIDATE)
+            yield pa.record_batch(
+                {
+                    "query_id": pa.array(np.frombuffer(ids, "<i8")[found["row"]], pa.int64()),
+                    "corpus_id": pa.array(found["id"].copy(), pa.int64()),
+                }
+            )
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            both = unit_rows(batch["asking"]) * unit_rows(batch["known"])
+            yield pa.record_batch(
+                {
+                    "query_id": batch["query_id"],
+                    "corpus_id": batch["corpus_id"],
+                    "similarity": pa.array(np.round(both.sum(axis=1), DECIMALS) + 0.0),
+                }
+            )
+
+
+def by_codes(
+    spark: SparkSession,
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    rows: int,
+    length: int,
+    rows_per_block: int,
+) -> DataFrame:
+    """``query_id, corpus_id, similarity`` of all pairs that may be among a query's k.
+
+    Blocks visit each other as 8-bit codes, a quarter of the bytes. Only a row that is
+    within the error of a query's k-th match is compared by its floats, which join the
+    candidates by id.
+    """
+    found = one_search(spark, queries, corpus, k, rows, length, rows_per_block, codes=True)
+    pairs = materialise(found)
+    known = corpus.select(F.col("id").alias("corpus_id"), F.col("embedding").alias("known"))
+    asking = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("asking"))
+    return (
+        lookup(pairs, known, "corpus_id", "query_id", "inner")
+        .join(asking, "query_id")
+        .mapInArrow(_exact, "query_id bigint, corpus_id bigint, similarity double")
+    )
+
+
 def one_search(
     spark: SparkSession,
     queries: DataFrame,
@@ -382,11 +516,12 @@ def one_search(
     rows: int,
     length: int,
     rows_per_block: int,
+    codes: bool = False,
 ) -> DataFrame:
     """``search`` in a corpus that is packed for this call alone."""
     pivots = choose_pivots(corpus, rows, length, rows_per_block)
     if not len(pivots):
-        return spark.createDataFrame([], MATCHES)
+        return spark.createDataFrame([], CANDIDATES if codes else MATCHES)
     placed = materialise(in_cells(corpus, spark.sparkContext.broadcast(pivots)))
-    blocks = materialise(packed(placed, rows_per_block))
-    return search(queries, blocks, cells_of(blocks, pivots), k, rows_per_block)
+    blocks = materialise(packed(placed, rows_per_block, codes))
+    return search(queries, blocks, cells_of(blocks, pivots), k, rows_per_block, codes)

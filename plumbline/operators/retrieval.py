@@ -6,7 +6,8 @@ The search is exact for any sizes. What changes with them is where the rows go:
 * else queries below that size go to every executor, the corpus stays in place,
   and each task hands on its k best per query;
 * else both sides are packed into blocks around pivot vectors, and blocks of queries
-  visit blocks of the corpus from the nearest outwards, see ``blocks.py``.
+  visit blocks of the corpus from the nearest outwards, see ``blocks.py``. The layout
+  "codes", on demand, moves 8-bit codes first and floats only for what these leave open.
 
 No path pairs up single rows: blocks meet by an equi-key and only matches leave them.
 """
@@ -37,8 +38,9 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 # Vector values in one block of the block path.
 BLOCK_VALUES = 4_000_000
 
-# Where the rows go: the corpus or the queries to every executor, or both in blocks.
-LAYOUTS = ("corpus", "queries", "blocks")
+# Where the rows go: the corpus or the queries to every executor, or both in blocks, of
+# floats or of 8-bit codes.
+LAYOUTS = ("corpus", "queries", "blocks", "codes")
 
 _MATCHES = blocks.MATCHES
 
@@ -82,9 +84,10 @@ def _search_layout(queries, corpus, k, layout, broadcast_values, block_values) -
         return _for_few_queries(queries, corpus, k, max(k, SAMPLE_VALUES // length))
     rows_per_block = max(k, block_values // length)
     corpus = _without_surplus_copies(corpus, k)
-    return blocks.one_search(
-        queries.sparkSession, queries, corpus, k, n_corpus, length, rows_per_block
-    )
+    arguments = (queries.sparkSession, queries, corpus, k, n_corpus, length, rows_per_block)
+    if layout == "codes":
+        return _top(blocks.by_codes(*arguments), k)
+    return blocks.one_search(*arguments)
 
 
 def with_context(

@@ -66,6 +66,33 @@ def test_paths_equal_brute_force(spark, path, k):
     assert _rows(found) == _brute(queries, corpus, k, 1000)
 
 
+@pytest.mark.parametrize("k, values", [(3, 8 * 16), (1, 8), (3, 8000)])
+def test_codes_equal_brute_force(spark, k, values):
+    corpus, queries = _clustered(1, 120), _clustered(2, 50)
+    corpus[40:44] = corpus[40] + 1e-7  # closer than codes can tell
+    found = knn_join(_frame(spark, queries, 1000), _frame(spark, corpus), k, layout="codes", block_values=values)
+    assert _rows(found) == _brute(queries, corpus, k, 1000)
+
+
+def test_codes_are_a_quarter_and_their_errors_hold():
+    chance = np.random.default_rng(5)
+    units = B.unit_matrix(np.vstack([chance.normal(size=(300, 64)), np.zeros((2, 64)), np.eye(64)[:3]]))
+    raw = B.coded(units)
+    assert len(raw) <= 0.29 * 4 * units.size
+    stand_ins, error = B.decoded(raw, len(units))
+    asked = B.unit_matrix(chance.normal(size=(200, 64)))
+    assert (np.abs(asked @ stand_ins.T - asked @ units.T) <= error).all()
+    assert error.max() < 0.02
+
+
+def test_few_floats_are_fetched_after_codes(spark):
+    chance = np.random.default_rng(8)
+    data = chance.normal(size=(400, 32))
+    frame = _frame(spark, data)
+    pairs = B.one_search(spark, frame, frame, 3, 400, 32, 50, codes=True)
+    assert 3 * 400 <= pairs.count() < 8 * 400
+
+
 def test_few_queries_path(spark):
     corpus, queries = _clustered(3, 200), _clustered(4, 20)
     found = knn_join(
@@ -93,7 +120,7 @@ def _visit_counts(monkeypatch):
     rounds = []
     one = B._round
 
-    def counting(opened, blocks, known, k, quota):
+    def counting(opened, blocks, known, k, quota, codes=False):
         visits = opened.select("block", "cell", "nearest", "farthest", "done", "bound").mapInArrow(
             B._next_visits(known, quota), B._VISITS
         )
@@ -165,6 +192,7 @@ def test_empty_sides(spark):
     for left, right in ((empty, some), (some, empty), (empty, empty)):
         assert knn_join(left, right).collect() == []
         assert knn_join(left, right, broadcast_values=0).collect() == []
+        assert knn_join(left, right, layout="codes").collect() == []
 
 
 def test_missing_vectors_take_no_part(spark):

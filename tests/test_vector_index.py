@@ -49,7 +49,7 @@ def test_search_reads_only_visited_cells(spark, folder, monkeypatch, plan):
     read = []
     one = blocks._round
 
-    def noting(opened, of_cells, known, k, quota):
+    def noting(opened, of_cells, known, k, quota, codes=False):
         def noted(cells):
             found = of_cells(cells)
             assert "PartitionFilters: [isnotnull(cell" in plan(found) or "PartitionFilters: [cell" in plan(found)
