@@ -14,8 +14,10 @@ file and which readers pass over.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import zstandard
@@ -33,6 +35,9 @@ DICTIONARY_MAGIC = 0x184D2A5D
 SEPARATOR = struct.pack("<II", SKIPPABLE_FIRST, 0).decode("latin-1")
 CRLF = b"\r\n"
 
+#: Fixed value: dates of WARC records, in UTC, with up to nine decimals of a second.
+DATE = re.compile(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,9})?Z")
+
 #: Payloads below this many bytes are always written in full.
 REVISIT_BYTES = 1000
 #: Bytes of payload that one archive is meant to hold.
@@ -71,8 +76,10 @@ def with_record_types(
     identifier: str = "page_id",
     payload: str = "payload",
     least: int = REVISIT_BYTES,
+    url: str = "url",
 ) -> DataFrame:
-    """Add ``payload_digest`` (SHA-1), ``record_type`` and ``refers_to``; in ``archives`` parts.
+    """Add ``payload_digest`` (SHA-1), ``record_type``, ``refers_to`` and ``refers_to_url``;
+    in ``archives`` parts. Columns that are called so already are replaced.
 
     Of equal payloads of at least ``least`` bytes the row with the largest identifier is
     the response; others are revisits that refer to it. Payloads are equal if length,
@@ -80,21 +87,26 @@ def with_record_types(
     payload moves. A row without an identifier is a response, and so is a repeated row
     with the response's identifier.
     """
+    pages = pages.drop("payload_digest", "record_type", "refers_to", "refers_to_url")
     digested = pages.withColumn("payload_digest", F.sha1(payload)).withColumn(
         "_content", F.unhex(F.concat(F.sha2(payload, 256), "payload_digest"))
     )
     long = digested.where(F.length(payload) >= least)
     shared = stored(
         long.groupBy("_content", F.length(payload))
-        .agg(F.count(F.lit(1)).alias("_size"), F.max(identifier).alias("_response"))
+        .agg(
+            F.count(F.lit(1)).alias("_size"),
+            F.max(identifier).alias("_response"),
+            F.max_by(url, identifier).alias("_url"),
+        )
         .where("_size > 1")
-        .select("_content", "_size", "_response")
+        .select("_content", "_size", "_response", "_url")
     )
     key = [identifier, "_content"]
     revisits = stored(
         attach(stored(long.select(*key)), shared, "_content", "_size", how="inner")
         .where(F.col(identifier) != F.col("_response"))
-        .select(*key, F.col("_response").alias("refers_to"))
+        .select(*key, F.col("_response").alias("refers_to"), F.col("_url").alias("refers_to_url"))
         .distinct()
     )
     # both sides dealt out alike: the join and the archives share one shuffle
@@ -106,13 +118,16 @@ def with_record_types(
     )
 
 
-def record(identifier, url: str, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
+def record(
+    identifier, url: str, payload: bytes, digest: str, kind: str, refers_to, refers_to_url, date: str
+) -> bytes:
     """One WARC record. A revisit has no block; its headers name the response."""
     block = payload if kind == "response" else b""
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: {_name(identifier)}",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {_one_line(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Payload-Length: {len(payload)}",
@@ -120,6 +135,8 @@ def record(identifier, url: str, payload: bytes, digest: str, kind: str, refers_
     if kind == "revisit":
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         lines.append(f"WARC-Refers-To: {_name(refers_to)}")
+        lines.append(f"WARC-Refers-To-Target-URI: {_one_line(refers_to_url)}")
+        lines.append(f"WARC-Refers-To-Date: {date}")
     lines += ["Content-Type: text/html", f"Content-Length: {len(block)}"]
     head = CRLF.join(line.encode() for line in lines)
     return head + CRLF + CRLF + block + CRLF + CRLF
@@ -145,9 +162,11 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
         if not colon:
             raise ValueError(f"header without a colon: {line[:80]!r}")
         headers[name.decode().strip().lower()] = value.decode().strip()
-    for name in ("warc-type", "warc-record-id", "content-length"):
+    for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in headers:
             raise ValueError(f"header {name} is missing")
+    if not DATE.fullmatch(headers["warc-date"]):
+        raise ValueError(f"no date: {headers['warc-date'][:80]!r}")
     length = int(headers["content-length"])
     if len(rest) != length + 4 or rest[length:] != CRLF + CRLF:
         raise ValueError(f"block of {len(rest) - 4} bytes, {length} are said")
@@ -212,11 +231,16 @@ def write_archives(
     identifier: str = "page_id",
     url: str = "url",
     payload: str = "payload",
+    date: str | None = None,
 ) -> None:
     """One record per row of ``with_record_types``, one archive per partition, at ``path``.
 
-    Every archive begins with the dictionary. Missing payloads must be empty ones.
+    Every archive begins with the dictionary. Missing payloads must be empty ones. Records
+    carry ``date``, by default the time of this call, which a repeated task repeats.
     """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    if not DATE.fullmatch(date):
+        raise ValueError(f"no date of a WARC record: {date!r}")
     sent = pages.sparkSession.sparkContext.broadcast(dictionary)
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +260,7 @@ def write_archives(
                     compressor.compress(
                         record(
                             row["id"], row["url"], row["payload"], row["payload_digest"],
-                            row["record_type"], row["refers_to"],
+                            row["record_type"], row["refers_to"], row["refers_to_url"], date,
                         )
                     )
                 )
@@ -249,6 +273,7 @@ def write_archives(
         "payload_digest",
         "record_type",
         "refers_to",
+        "refers_to_url",
     )
     # the bytes go through as they are: a string of Spark is bytes to the writer
     frames = rows.mapInArrow(compress, "frame binary").select(F.col("frame").cast("string"))

@@ -14,6 +14,7 @@ No path pairs up single rows: blocks meet by an equi-key and only matches leave
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,10 @@ from plumbline.session import materialise
 
 # Vector values (rows x length) one side may have to be sent to every executor.
 BROADCAST_VALUES = 8_000_000
-# Vector values of the corpus piece that gives the few-queries path its floor.
+# Vector values of the first corpus piece that gives the few-queries path a floor.
 SAMPLE_VALUES = 1_000_000
+# How much larger the next piece is.
+SAMPLE_GROWTH = 16
 # Bytes of corpus text that may go along.
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Vector values in one block of the block path.
@@ -81,7 +84,7 @@ def _search_layout(queries, corpus, k, layout, broadcast_values, block_values) -
     if layout == "corpus":
         return _against_small_corpus(queries, corpus, k)
     if layout == "queries":
-        return _for_few_queries(queries, corpus, k, max(k, SAMPLE_VALUES // length))
+        return _for_few_queries(queries, corpus, k, n_corpus, max(k, SAMPLE_VALUES // length))
     rows_per_block = max(k, block_values // length)
     corpus = _without_surplus_copies(corpus, k)
     arguments = (queries.sparkSession, queries, corpus, k, n_corpus, length, rows_per_block)
@@ -279,40 +282,55 @@ def _against_small_corpus(queries: DataFrame, corpus: DataFrame, k: int) -> Data
 
 
 def _for_few_queries(
-    queries: DataFrame, corpus: DataFrame, k: int, sample_rows: int
+    queries: DataFrame, corpus: DataFrame, k: int, n_corpus: int, sample_rows: int
 ) -> DataFrame:
-    """Queries of checked size on every executor; each task keeps k per query.
+    """Queries of checked size on every executor; the corpus stays in place.
 
-    A bounded piece of the corpus is searched first. The k-th similarity found
-    there is a floor under the final one, and tasks pass on only what reaches it.
+    Samples of the corpus by a hash of the id, each ``SAMPLE_GROWTH`` times the one before,
+    are searched first while they are a small part of it: the k-th similarity in one is a
+    floor under the final one, and what does not reach it goes no further. Tasks are as
+    many as the cluster has cores, times two, and merge the k best of all they read; so
+    the shuffle gets a number of candidates per query that does not grow with the corpus.
     """
     context = queries.sparkSession.sparkContext
     ids, units = _block(queries.orderBy("id").toArrow())
     floor = np.full(len(ids), -np.inf)
-    sampled = _against_small_corpus(queries, corpus.limit(sample_rows), k)
-    reached = sampled.where(F.col("rank") == k).select("query_id", "similarity").toArrow()
-    floor[np.searchsorted(ids, reached["query_id"].to_numpy())] = reached[
-        "similarity"
-    ].to_numpy()
-    shared = context.broadcast((ids, units, floor))
+    while sample_rows * SAMPLE_GROWTH <= n_corpus:
+        share = F.lit(math.ceil(n_corpus / sample_rows))
+        sampled = corpus.where(F.pmod(F.xxhash64("id"), share) == 0)
+        best = _top(_candidates(sampled, context.broadcast((ids, units, floor)), k), k)
+        reached = best.where(F.col("rank") == k).select("query_id", "similarity").toArrow()
+        places = np.searchsorted(ids, reached["query_id"].to_numpy())
+        floor = floor.copy()
+        floor[places] = np.maximum(floor[places], reached["similarity"].to_numpy())
+        sample_rows *= SAMPLE_GROWTH
+    return _top(_candidates(corpus, context.broadcast((ids, units, floor)), k), k)
+
+
+def _candidates(corpus: DataFrame, shared, k: int) -> DataFrame:
+    """The k best rows per query of everything that a task reads, above the query's floor."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, units, floor = shared.value
-        best = None
+        limit, best = floor.copy(), None
         for batch in batches:
             if not batch.num_rows or not len(query_ids):
                 continue
             ids, block = _block(batch)
-            rows, similarities, found, _ = best_matches(units, block, ids, k, floor)
+            rows, similarities, found, _ = best_matches(units, block, ids, k, limit)
             if best is not None:
                 rows = np.concatenate([best[0], rows])
                 similarities = np.concatenate([best[1], similarities])
                 found = np.concatenate([best[2], found])
             best = keep_best(rows, similarities, found, k)
+            # what the task has found raises its own floor
+            full = best[3] == k
+            limit[best[0][full]] = np.maximum(limit[best[0][full]], best[1][full])
         if best is not None:
             yield _match_batch(query_ids[best[0]], best[1], best[2], best[3])
 
-    return _top(corpus.mapInArrow(search, _MATCHES), k)
+    tasks = 2 * corpus.sparkSession.sparkContext.defaultParallelism
+    return corpus.coalesce(tasks).mapInArrow(search, _MATCHES)
 
 
 def _top(matches: DataFrame, k: int) -> DataFrame:

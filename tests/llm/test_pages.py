@@ -91,6 +91,7 @@ def test_hot_keys_meet_their_group(spark):
 # --- archives ---------------------------------------------------------------
 
 LONG = b"p" * 1500
+DATE = "2024-05-06T07:08:09Z"
 
 
 def test_round_trip_of_payloads(spark):
@@ -112,6 +113,34 @@ def test_round_trip_of_payloads(spark):
     assert blocks == sorted([LONG, LONG, LONG, b"", b"\r\n\r\n\x00\xff", b"short", b"short"])
 
 
+def test_headers_that_every_record_needs(spark):
+    rows = [(1, "http://a/", LONG), (2, "http://b/", LONG), (3, "http://c/", b"x")]
+    # a table that already has columns of these names
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, payload binary").selectExpr(
+        "*", "'z' as refers_to", "1 as record_type", "2 as payload_digest", "3 as refers_to_url"
+    )
+    path = shared_path(spark)
+    warc.write_archives(warc.with_record_types(pages, 1), path, b"", date=DATE)
+    files = spark.read.format("binaryFile").load(path).collect()
+    found = [warc.parse_record(raw)[0] for file in files for raw in warc.read_archive(bytes(file.content))]
+    assert len(found) == 3
+    for headers in found:
+        assert headers["warc-date"] == DATE
+        if headers["warc-type"] == "revisit":
+            assert headers["warc-refers-to"] == "<urn:page:2>"
+            assert headers["warc-refers-to-target-uri"] == "http://b/"
+            assert headers["warc-refers-to-date"] == DATE
+    with pytest.raises(ValueError, match="no date"):
+        warc.write_archives(warc.with_record_types(pages, 1), path, b"", date="today")
+
+
+@pytest.mark.parametrize("line", [b"", b"WARC-Date: today\r\n", b"WARC-Date: 2024-05-06\r\n"])
+def test_records_without_a_date_are_refused(line):
+    raw = b"WARC/1.1\r\nWARC-Type: x\r\nWARC-Record-ID: y\r\n" + line + b"Content-Length: 0\r\n\r\n\r\n\r\n"
+    with pytest.raises(ValueError):
+        warc.parse_record(raw)
+
+
 def test_no_pages_no_records(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, payload binary")
     path = shared_path(spark)
@@ -129,7 +158,7 @@ def archive(records, dictionary=b"some dictionary content " * 20, checksum=True)
 
 
 def test_reading_needs_the_dictionary_of_the_leading_frame():
-    records = [warc.record(i, "u", bytes([i]) * 3000 * i, "0" * 40, "revisit", 0) for i in range(4)]
+    records = [warc.record(i, "u", bytes([i]) * 3000 * i, "0" * 40, "revisit", 0, "v", DATE) for i in range(4)]
     assert list(warc.read_archive(archive(records))) == records
     assert list(warc.read_archive(archive(records, checksum=False))) == records
     assert list(warc.read_archive(b"")) == []
@@ -146,7 +175,7 @@ def test_reading_needs_the_dictionary_of_the_leading_frame():
     ],
 )
 def test_broken_archives_are_noticed(broken):
-    whole = archive([warc.record(1, "u", LONG + bytes(range(256)), "0" * 40, "revisit", 2)])
+    whole = archive([warc.record(1, "u", LONG + bytes(range(256)), "0" * 40, "revisit", 2, "v", DATE)])
     with pytest.raises((ValueError, zstandard.ZstdError)):
         list(warc.read_archive(broken(whole)))
 
@@ -156,9 +185,9 @@ def test_broken_archives_are_noticed(broken):
     [
         b"HTTP/1.1 200\r\n\r\n",
         b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n",
-        b"WARC/1.1\r\nWARC-Type: x\r\nWARC-Record-ID: y\r\nContent-Length: 3\r\n\r\nab\r\n\r\n",
-        b"WARC/1.1\r\nWARC-Type: x\r\nno colon\r\nWARC-Record-ID: y\r\nContent-Length: 0\r\n\r\n\r\n\r\n",
-        warc.record(1, "u", b"body", "0" * 40, "response", None),
+        b"WARC/1.1\r\nWARC-Type: x\r\nWARC-Record-ID: y\r\nWARC-Date: 2024-05-06T07:08:09Z\r\nContent-Length: 3\r\n\r\nab\r\n\r\n",
+        b"WARC/1.1\r\nWARC-Type: x\r\nno colon\r\nWARC-Record-ID: y\r\nWARC-Date: 2024-05-06T07:08:09Z\r\nContent-Length: 0\r\n\r\n\r\n\r\n",
+        warc.record(1, "u", b"body", "0" * 40, "response", None, None, DATE),
     ],
 )
 def test_invalid_records_are_refused(raw):

@@ -101,6 +101,29 @@ def test_few_queries_path(spark):
     assert _rows(found) == _brute(queries, corpus, 3)
 
 
+@pytest.mark.parametrize("sample", [4, 8, 40])
+def test_floors_from_growing_samples(spark, monkeypatch, sample):
+    monkeypatch.setattr(R, "SAMPLE_VALUES", sample * 8)
+    monkeypatch.setattr(R, "SAMPLE_GROWTH", 3)
+    corpus, queries = _clustered(3, 300), _clustered(4, 20)
+    found = knn_join(_frame(spark, queries), _frame(spark, corpus), 3, layout="queries")
+    assert _rows(found) == _brute(queries, corpus, 3)
+
+
+def test_candidates_do_not_grow_with_the_corpus(spark):
+    chance = np.random.default_rng(2)
+    queries = chance.normal(size=(5, 4))
+    cores = spark.sparkContext.defaultParallelism
+    shared = spark.sparkContext.broadcast((np.arange(5), R.blocks.unit_matrix(queries), np.full(5, -np.inf)))
+    counts = []
+    for rows in (2_000, 20_000):
+        corpus = spark.range(rows, numPartitions=rows // 100).select(
+            "id", F.array(*[F.randn(i).cast("float") for i in range(4)]).alias("embedding")
+        )
+        counts.append(R._candidates(corpus, shared, 3).count())
+    assert max(counts) <= 2 * cores * 5 * 3
+
+
 def test_unclustered_vectors_by_blocks(spark):
     chance = np.random.default_rng(7)
     corpus, queries = chance.normal(size=(150, 8)), chance.normal(size=(60, 8))
