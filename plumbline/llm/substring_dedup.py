@@ -39,6 +39,8 @@ GRAM = 16
 #: Contexts of one gram that a task compares by itself; those of a gram with more are
 #: compared by shuffling their windows.
 TASK_CONTEXTS = 20_000
+#: Bytes of contexts that a task compares at once, unless one gram has more.
+SLICE_BYTES = 2_000_000
 #: Stands for a missing identifier: after all others.
 LAST = 2**63 - 1
 
@@ -161,15 +163,52 @@ def _ranges(place, number):
 _COVERED = "gram bigint, context bigint, first bigint, last bigint"
 
 
+def _whole_grams(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by gram in slices that end where a gram does.
+
+    A slice has at most ``slice_bytes`` bytes of contexts, or one gram's.
+    """
+    waiting: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        (batch,) = pa.Table.from_batches(waiting).combine_chunks().to_batches()
+        return batch
+
+    held = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        grams = batch.column(0).to_numpy()
+        lengths = np.cumsum(pc.binary_length(batch.column(3)).to_numpy())
+        ends = np.flatnonzero(grams[1:] != grams[:-1]) + 1
+        if waiting and waiting[-1].column(0)[-1].as_py() != grams[0]:
+            ends = np.concatenate([[0], ends])
+        at = 0
+        while len(ends):
+            # as many whole grams as fit, one at least
+            taken = lengths[ends - 1] * (ends > 0) - (lengths[at - 1] if at else 0)
+            fit = max(1, int(np.searchsorted(taken, slice_bytes - held, side="right")))
+            end = int(ends[fit - 1])
+            if end > at:
+                waiting.append(batch.slice(at, end - at))
+            if waiting:
+                yield joined()
+            waiting, held, at, ends = [], 0, end, ends[fit:]
+        waiting.append(batch.slice(at))
+        held += int(lengths[-1] - (lengths[at - 1] if at else 0))
+    if waiting:
+        yield joined()
+
+
 def _compared_in_tasks(contexts: DataFrame, threshold: int) -> DataFrame:
     """Runs of windows that an earlier document's context with the same gram has.
 
-    A task holds all contexts of its grams; a gram has at most ``TASK_CONTEXTS``.
+    ``contexts`` come sorted by gram. A task holds a slice of them, ``SLICE_BYTES`` or a
+    gram at a time, however many it gets; a gram has at most ``TASK_CONTEXTS``.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema=schema).combine_chunks()
-        for batch in table.to_batches():
+        for batch in _whole_grams(batches, SLICE_BYTES):
             place, number, left, right = _windows(batch, threshold)
             doc = batch.column(2).to_numpy()[place]
             order = np.lexsort((doc, right, left))
@@ -190,9 +229,6 @@ def _compared_in_tasks(contexts: DataFrame, threshold: int) -> DataFrame:
                 names=["gram", "context", "first", "last"],
             )
 
-    schema = pa.schema(
-        [("gram", pa.int64()), ("context", pa.int64()), ("doc", pa.int64()), ("bytes", pa.binary())]
-    )
     return contexts.select("gram", "context", "doc", "bytes").mapInArrow(compare, _COVERED)
 
 
@@ -272,7 +308,8 @@ def covered_spans(source: DataFrame, threshold: int) -> DataFrame:
     )
     discard(contexts)
     few = pieces.where("_many is null")
-    covered = _compared_in_tasks(few.repartition("gram"), threshold)
+    sorted_few = few.repartition("gram").sortWithinPartitions("gram")
+    covered = _compared_in_tasks(sorted_few, threshold)
     many = pieces.where("_many")
     if not many.isEmpty():
         covered = covered.unionByName(_compared_by_shuffle(many, threshold))

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from brute import near_duplicates, sha256, without_repeats
 from compare import connect, differences
@@ -11,6 +12,8 @@ from plumbline.llm.components import components
 from plumbline.llm.minhash import shingle_sets, signatures
 from plumbline.llm.queries import QUERIES, SQL
 
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
 # --- exact ------------------------------------------------------------------
 
 
@@ -172,3 +175,30 @@ def test_passages_with_equal_or_missing_identifiers(spark, no_docs):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = {(r.doc_id, r.n_bytes, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect()}
     assert found == {(5, 70, 0), (5, 71, 0), (None, 71, 70), (None, 70, 70)}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_slices_end_where_grams_do(seed):
+    chance = random.Random(seed)
+    rows = sorted((chance.randrange(12), i, b"x" * chance.randrange(9)) for i in range(80))
+    names = ["gram", "context", "doc", "bytes"]
+    batches, at = [], 0
+    while at < len(rows):
+        some = rows[at : at + chance.choice([1, 3, 17])]
+        at += len(some)
+        columns = [[g for g, _, _ in some], [i for _, i, _ in some], [0] * len(some), [b for *_, b in some]]
+        batches.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, KINDS)], names=names))
+    slices = list(substring_dedup._whole_grams(iter(batches), 20))
+    assert [x for s in slices for x in s.column(1).to_pylist()] == [i for _, i, _ in rows]
+    grams = [set(s.column(0).to_pylist()) for s in slices]
+    assert sum(map(len, grams)) == len(set().union(*grams))
+    for part, held in zip(slices, grams):
+        assert len(held) == 1 or sum(map(len, part.column(3).to_pylist())) <= 20
+
+
+def test_memory_of_a_slice_does_not_grow_with_the_contexts(spark, documents, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SLICE_BYTES", 300)
+    docs = spark.createDataFrame(list(documents.items())[:80], "doc_id bigint, text string")
+    rows = substring_dedup.remove_repeats(docs).collect()
+    expected = without_repeats(dict(list(documents.items())[:80]))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows} == expected
