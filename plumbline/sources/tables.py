@@ -25,10 +25,11 @@ def read_table(
 ) -> DataFrame:
     """A labelled table: CSV with a header by suffix, otherwise Parquet.
 
-    CSV columns are text unless ``schema`` gives types. ``multi_line`` accepts
-    line breaks inside quotes, at the price of one task per file; turn it off
-    for large files known to have none. A file of more than ``LARGE_FILE`` bytes
-    read that way gets a warning.
+    CSV columns are text unless ``schema`` gives types. How a file is split is the
+    caller's choice, since no look at a part of it can tell a line break inside quotes from
+    the end of a row. By default, ``multi_line``, such breaks are read right and one task
+    reads a file; a file of more than ``LARGE_FILE`` bytes then gets a warning. Without it
+    a file is split into as many tasks as its size asks for, and every line is a row.
     """
     if not path.lower().rstrip("/").endswith(".csv"):
         reader = spark.read.schema(schema) if schema else spark.read

@@ -285,6 +285,22 @@ def test_a_large_file_read_by_one_task_gets_a_warning(spark, tmp_path, monkeypat
     assert tables.read_table(spark, str(path), multi_line=False).count() == 1
 
 
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_a_csv_file_is_split_where_the_caller_says_so(spark, tmp_path, multi_line):
+    path = tmp_path / "test.csv"
+    path.write_text("id,sentence\n" + "".join(f'{i},"a ""quoted"" text, {i}"\n' for i in range(2000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        read = tables.read_table(spark, str(path), "id bigint, sentence string", multi_line)
+        assert (read.rdd.getNumPartitions() == 1) == multi_line
+        assert {r.id: r.sentence for r in read.collect()} == {i: f'a "quoted" text, {i}' for i in range(2000)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_comparison_of_written_runs(spark, test_table, tmp_path):
     from plumbline.plans import comparison
 
