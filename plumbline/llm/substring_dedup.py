@@ -340,6 +340,7 @@ def remove_repeats(
     identifier: str = "doc_id",
     text: str = "text",
     carry: Sequence[str] = (),
+    whole_characters: bool = False,
 ) -> DataFrame:
     """One row per document: the identifier, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept``.
 
@@ -348,6 +349,8 @@ def remove_repeats(
     A byte goes if a string of ``threshold`` bytes that covers it also begins in a
     document with a smaller identifier. ``n_spans`` counts maximal runs of removed bytes,
     ``kept`` holds the other bytes. Matches lie within texts and are judged on the input.
+    With ``whole_characters`` a character goes if any of its bytes does, so that ``kept`` is
+    text.
 
     A null text is an empty one. Rows that share an identifier do not count against each
     other; rows without one come after all others. An empty table gives no rows; other
@@ -382,6 +385,13 @@ def remove_repeats(
                 np.add.at(change, low, 1)
                 np.add.at(change, high, -1)
                 gone = np.cumsum(change[:-1]) > 0
+                if whole_characters and len(gone):
+                    leads = (part.data & 0xC0) != 0x80
+                    leads[part.offsets[:-1][counts > 0]] = True
+                    first = np.flatnonzero(leads)
+                    gone = np.repeat(
+                        np.logical_or.reduceat(gone, first), np.diff(np.append(first, len(gone)))
+                    )
                 opens = gone.copy()
                 opens[1:] &= ~gone[:-1]
                 starts = part.offsets[:-1][counts > 0]

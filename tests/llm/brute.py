@@ -39,8 +39,8 @@ def near_duplicates(texts: dict[int, str | None], size: int, percent: int = 80)
     return {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
 
 
-def without_repeats(texts: dict[int, str | None], threshold: int = 50) -> dict:
-    """identifier -> (bytes, removed, runs, kept bytes)."""
+def without_repeats(texts: dict[int, str | None], threshold: int = 50, whole: bool = False) -> dict:
+    """identifier -> (bytes, removed, runs, kept bytes); with ``whole`` by whole characters."""
     seen: set[bytes] = set()
     found = {}
     for i in sorted(texts):
@@ -51,6 +51,12 @@ def without_repeats(texts: dict[int, str | None], threshold: int = 50) -> dict:
             if window in seen:
                 gone[k : k + threshold] = b"\1" * threshold
         seen.update(windows)
+        if whole:
+            at = 0
+            for character in texts[i] or "":
+                size = len(character.encode())
+                gone[at : at + size] = bytes([max(gone[at : at + size])]) * size
+                at += size
         kept = bytes(c for c, g in zip(raw, gone) if not g)
         runs = sum(1 for k in range(len(raw)) if gone[k] and (k == 0 or not gone[k - 1]))
         found[i] = (len(raw), len(raw) - len(kept), runs, kept)

@@ -202,3 +202,14 @@ def test_memory_of_a_slice_does_not_grow_with_the_contexts(spark, documents, mon
     rows = substring_dedup.remove_repeats(docs).collect()
     expected = without_repeats(dict(list(documents.items())[:80]))
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows} == expected
+
+
+def test_cuts_at_whole_characters(spark):
+    same = "日本語のとても長い文章がここにあります、そして続きます。"
+    texts = {1: "a" + same + "é", 2: "ü" + same[1:] + "ê", 3: "x" + "é" * 30, 4: "ê" + "é" * 30, 5: None, 6: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    rows = substring_dedup.remove_repeats(docs, whole_characters=True).collect()
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows}
+    assert found == without_repeats(texts, whole=True)
+    assert found != without_repeats(texts)
+    assert all(kept.decode() is not None for *_, kept in found.values())
