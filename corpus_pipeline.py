@@ -56,16 +56,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Texts without what an earlier document has too; a document of nothing else goes.
 
-    A character that is cut in two becomes the replacement character.
+    A character that a cut would part goes as a whole.
     """
     prepare(spark)
     # the other columns come along as one, whatever they are called
     rest = [name for name in docs.columns if name not in ("doc_id", "text", "n_chars")]
     others = F.struct(*[F.col(f"`{name}`") for name in rest], F.lit(0).alias(_unused(docs, "none")))
     found = substring_dedup.remove_repeats(
-        docs.select("doc_id", "text", others.alias("others")), carry=["others"]
+        docs.select("doc_id", "text", others.alias("others")),
+        carry=["others"],
+        whole_characters=True,
     )
-    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    text = F.col("kept").cast("string")
     columns = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("bigint")}
     columns |= {name: F.col(f"others.`{name}`") for name in rest}
     return found.where("n_removed < n_bytes or n_bytes = 0").select(
