@@ -9,7 +9,7 @@ from conftest import FOLDER, ODD_TEXTS
 from plumbline.llm import quality_classifier as qc
 from plumbline.llm import quality_rules as qr
 from plumbline.llm.queries import QUERIES
-from plumbline.llm.texts import Hashes, parts, words
+from plumbline.llm.texts import SliceHashes, parts, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -26,7 +26,7 @@ def test_rules_query_as_brute_force(spark, documents):
     for i, text in documents.items():
         (part,) = parts(pa.array([text]))
         found = words(part)
-        grams[i] = qr.ngram_buckets(part, found, Hashes(part.data), qr.BUCKETS)[0].tolist()
+        grams[i] = qr.ngram_buckets(part, found, SliceHashes(part.data), qr.BUCKETS)[0].tolist()
         assert len(grams[i]) == max(2 * len(WORD.findall(text)) - 1, 0)
     raw, target = {}, {}
     for i, buckets in grams.items():
