@@ -44,12 +44,14 @@ from plumbline.session import materialise
 MAX_PIVOTS = 4096
 #: Vector values of all pivots, which every task gets.
 PIVOT_VALUES = 8_000_000
+#: Blocks of a cell that one task hands out; a larger cell's are dealt out to several.
+DEALT_BLOCKS = 16
 #: Cells a block of queries visits in one round, as a multiple of the round before.
 GROWTH = 4
 
 PLACED = "id bigint, embedding array<float>, cell int, angle double"
 BLOCKS = (
-    "cell int, block bigint, nearest double, farthest double, rows int, "
+    "cell int, block bigint, dealt int, nearest double, farthest double, rows int, "
     "ids binary, vectors binary"
 )
 MATCHES = "query_id bigint, rank int, corpus_id bigint, similarity double"
@@ -58,7 +60,7 @@ _STATE = (
     "block bigint, cell int, nearest double, farthest double, done int, bound double, "
     "pending boolean, ids binary, vectors binary, similarities binary, found binary"
 )
-_VISITS = "block bigint, cell int, turn int, distance double, low double, high double, reach double"
+_VISITS = "block bigint, cell int, dealt int, turn int, distance double, low double, high double, reach double"
 
 
 def choose_pivots(corpus: DataFrame, rows: int, length: int, rows_per_block: int) -> np.ndarray:
@@ -109,7 +111,6 @@ def packed(placed: DataFrame, rows_per_block: int, codes: bool = False) -> DataF
         rows.append((cell, start, parts))
         start += parts
     cells = placed.sparkSession.createDataFrame(rows, "cell int, _start bigint, _parts int")
-    part = F.pmod(F.xxhash64("id"), F.col("_parts"))
 
     def pack(table: pa.Table) -> pa.Table:
         angle = table["angle"].to_numpy()
@@ -122,6 +123,7 @@ def packed(placed: DataFrame, rows_per_block: int, codes: bool = False) -> DataF
             {
                 "cell": pa.array([table["cell"][0].as_py()], pa.int32()),
                 "block": pa.array([table["block"][0].as_py()], pa.int64()),
+                "dealt": pa.array([table["part"][0].as_py() // DEALT_BLOCKS], pa.int32()),
                 "nearest": pa.array([angle.min()]),
                 "farthest": pa.array([angle.max()]),
                 "rows": pa.array([len(angle)], pa.int32()),
@@ -132,7 +134,8 @@ def packed(placed: DataFrame, rows_per_block: int, codes: bool = False) -> DataF
 
     return (
         placed.join(F.broadcast(cells), "cell")
-        .withColumn("block", F.col("_start") + part)
+        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("_parts")))
+        .withColumn("block", F.col("_start") + F.col("part"))
         .drop("_start", "_parts")
         .groupBy("block")
         .applyInArrow(pack, BLOCKS)
@@ -163,11 +166,15 @@ def decoded(raw: bytes, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Cells:
-    """The pivots, and the nearest and farthest angle of a corpus row in each one's cell."""
+    """The pivots, and of each one's cell the nearest and farthest angle of a corpus row.
+
+    ``dealt`` says into how many parts the cell's blocks are dealt out.
+    """
 
     pivots: np.ndarray
     nearest: np.ndarray
     farthest: np.ndarray
+    dealt: np.ndarray
 
     def order(self, cell: int, near: float, far: float):
         """Cells with rows in the order of their bound to queries of ``cell``.
@@ -192,9 +199,11 @@ def reach(similarity):
 def cells_of(blocks: DataFrame, pivots: np.ndarray) -> Cells:
     """Ranges of the cells, from the blocks' small columns: one row per pivot at most."""
     nearest, farthest = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
-    for cell, low, high in blocks.groupBy("cell").agg(F.min("nearest"), F.max("farthest")).collect():
-        nearest[cell], farthest[cell] = low, high
-    return Cells(pivots, nearest, farthest)
+    dealt = np.zeros(len(pivots), dtype=int)
+    ranges = blocks.groupBy("cell").agg(F.min("nearest"), F.max("farthest"), F.max("dealt") + 1)
+    for cell, *measures in ranges.collect():
+        nearest[cell], farthest[cell], dealt[cell] = measures
+    return Cells(pivots, nearest, farthest, dealt)
 
 
 def search(
@@ -247,7 +256,12 @@ def _round(
     # by number: which queries, which cell, in which turn; the block's content joins last
     fetched = (
         visits.alias("v")
-        .join(blocks.alias("c"), (F.col("v.cell") == F.col("c.cell")) & (least <= F.col("reach")))
+        .join(
+            blocks.alias("c"),
+            (F.col("v.cell") == F.col("c.cell"))
+            & (F.col("v.dealt") == F.col("c.dealt"))
+            & (least <= F.col("reach")),
+        )
         .select(
             F.col("v.block").alias("block"),
             F.col("v.turn").alias("turn"),
@@ -301,8 +315,10 @@ def _next_visits(known, quota: int):
                         break
                     apart = float(distance[turn])
                     low = max(apart - far, near - apart, 0.0)
-                    rows.append((row["block"], int(cell[turn]), turn, apart, low, apart + far, limit))
-            kinds = [pa.int64(), pa.int32(), pa.int32()] + [pa.float64()] * 4
+                    numbers = (turn, apart, low, apart + far, limit)
+                    for part in range(int(known.value.dealt[cell[turn]])):
+                        rows.append((row["block"], int(cell[turn]), part, *numbers))
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()] + [pa.float64()] * 4
             columns = zip(*rows) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(column, kind) for column, kind in zip(columns, kinds)], names=names

@@ -146,7 +146,7 @@ def _visit_counts(monkeypatch):
     def counting(opened, blocks, known, k, quota, codes=False):
         visits = opened.select("block", "cell", "nearest", "farthest", "done", "bound").mapInArrow(
             B._next_visits(known, quota), B._VISITS
-        )
+        ).where("dealt = 0")
         rounds.append((opened.count(), visits.count()))
         return one(opened, blocks, known, k, quota)
 
@@ -193,6 +193,19 @@ def test_visits_carry_no_vectors(spark, plan):
     assert "binary" not in B._VISITS and "array" not in B._VISITS
 
 
+@pytest.mark.parametrize("layout", ["blocks", "codes"])
+def test_a_cell_of_most_rows_is_dealt_out(spark, monkeypatch, layout):
+    monkeypatch.setattr(B, "DEALT_BLOCKS", 2)
+    chance = np.random.default_rng(1)
+    data = np.vstack([chance.normal(size=(300, 6)) * 0.05 + 5, chance.normal(size=(60, 6))])
+    frame = _frame(spark, data)
+    monkeypatch.setattr(B, "MAX_PIVOTS", 3)
+    placed = B.in_cells(frame, spark.sparkContext.broadcast(B.unit_matrix(data[[0, 301, 302]])))
+    assert B.cells_of(B.packed(placed, 20), data[[0, 301, 302]]).dealt.max() >= 7
+    found = knn_join(frame, frame, 2, layout=layout, block_values=6 * 20)
+    assert _rows(found) == _brute(data, data, 2)
+
+
 def test_bounds_between_cells_hold(spark):
     chance = np.random.default_rng(11)
     pivots = R.blocks.unit_matrix(chance.normal(size=(6, 5)))
@@ -200,7 +213,7 @@ def test_bounds_between_cells_hold(spark):
     to_pivots = B.angles(data, pivots)
     cell = to_pivots.argmin(axis=1)
     ranges = [[f(to_pivots[cell == c, c], initial=i) for c in range(6)] for f, i in ((np.min, np.inf), (np.max, -np.inf))]
-    cells = B.Cells(pivots, *map(np.array, ranges))
+    cells = B.Cells(pivots, *map(np.array, ranges), np.ones(6, int))
     for c in range(6):
         mine = data[cell == c]
         order, _, bound = cells.order(c, cells.nearest[c], cells.farthest[c])
