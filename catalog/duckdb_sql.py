@@ -480,6 +480,10 @@ SQL: dict[str, str] = {
       from both_runs group by run, measure""",
     "paired_t": f"{_PAIRED_T} select * from paired_t",
     "wilcoxon_signed_rank": f"with {TWO_RUNS}, {_WILCOXON} select * from wilcoxon",
+    "wilcoxon_many_values": f"""with differences as (
+        select l_returnflag as measure, l_extendedprice * l_discount - l_quantity * 50 as d
+        from lineitem where l_extendedprice * l_discount - l_quantity * 50 is not null),
+      {_WILCOXON} select * from wilcoxon""",
     "compare_runs": f"""{_PAIRED_T}, {_WILCOXON}
       select t.*, pairs, w_plus, w_minus, z from paired_t t join wilcoxon using (measure)""",
     "evaluated_run": f"with {predictions(0)} "

@@ -13,6 +13,7 @@ from plumbline import configure
 from plumbline.functions.text import clean, is_blank
 from plumbline.functions.vectors import l2_normalize
 from plumbline.operators import evaluation, quality
+from plumbline.operators.comparison import wilcoxon_signed_rank as wilcoxon
 from plumbline.operators.embedding import (
     attach_embeddings,
     cache_misses,
@@ -429,6 +430,13 @@ def wilcoxon_signed_rank(spark, folder):
     return _comparison(spark, folder).wilcoxon.drop("p").withColumns(_rounded("z"))
 
 
+def wilcoxon_many_values(spark, folder):
+    """The test where nearly every difference is a value of its own: one per order line."""
+    d = F.col("l_extendedprice") * F.col("l_discount") - F.col("l_quantity") * 50
+    lines = _table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("measure"), d.alias("d"))
+    return wilcoxon(lines.where(F.col("d").isNotNull())).drop("p").withColumns(_rounded("z"))
+
+
 def compare_runs(spark, folder):
     """Two written runs, compared from their tables: both tests, measure by measure."""
     base = f"{checkpoint_folder(spark)}/compare-{uuid.uuid4().hex}"
@@ -526,6 +534,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         descriptives,
         paired_t,
         wilcoxon_signed_rank,
+        wilcoxon_many_values,
         compare_runs,
         jsonl_items,
         generated_dataset,
