@@ -20,6 +20,7 @@ from plumbline.operators.embedding import (
     content_key,
     refresh_embeddings,
 )
+from plumbline.operators.journal import ask_missing
 from plumbline.operators.json_lines import append_datasets, explode_items
 from plumbline.operators.prompts import baseline_prompt, generation_prompts, retrieval_prompt
 from plumbline.operators.responses import normalize_predictions
@@ -30,7 +31,6 @@ from plumbline.plans.classification import (
     PREDICTION_COLUMNS,
     classify,
     evaluate,
-    journalled,
     run,
     with_prompts,
 )
@@ -296,7 +296,7 @@ def resumed_run(spark, folder):
     base = f"{checkpoint_folder(spark)}/resumed-{uuid.uuid4().hex}"
     prompts = with_prompts(_texts(spark, folder))
     per_slice = max(1, prompts.count() // 3)
-    journalled(
+    ask_missing(
         prompts, fixtures.stand_in_answers, fixtures.MODEL, f"{base}/journal",
         slice_rows=per_slice, max_slices=1,
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.embedding import cache_misses, content_key
 from plumbline.operators.lookup import HOT_ROWS, lookup
 from plumbline.operators.scoring import ScoreFunction, score
-from plumbline.session import materialise
+from plumbline.session import delete_written, written
 from plumbline.sources.batches import append_batch, newest_of_keys, read_batches
 
 JOURNAL = "key binary, response string"
@@ -45,7 +45,7 @@ def ask_missing(
     held = read_batches(spark, journal, JOURNAL)
     missing = cache_misses(prompts.select(row_id, prompt), held, model, prompt, row_id)
     # written once, so that a slice reads its own rows and no join is made again
-    missing = materialise(missing)
+    missing = written(missing)
     rows = missing.count()
     slices = math.ceil(rows / slice_rows)
     number = F.pmod(F.xxhash64("key"), F.lit(max(slices, 1)))
@@ -57,6 +57,7 @@ def ask_missing(
             asked = asked.repartition(spark.sparkContext.defaultParallelism)
         answered = score(asked, score_fn, prompt, "response", batch_size, parallelism)
         append_batch(answered.select("key", "response"), journal)
+    delete_written(missing)
     return slices - todo
 
 

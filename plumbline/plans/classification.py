@@ -16,7 +16,7 @@ from plumbline.operators.prompts import baseline_prompt, retrieval_prompt
 from plumbline.operators.responses import PREDICTION_COLUMNS, normalize_predictions
 from plumbline.operators.retrieval import with_context
 from plumbline.operators.scoring import EmbedFunction, ScoreFunction, score
-from plumbline.session import materialise
+from plumbline.session import written
 from plumbline.sources.batches import append_batch, newest_of_keys, read_batches
 from plumbline.sources.tables import first_present, require_column, write_tables
 
@@ -152,7 +152,7 @@ def journalled(
     if model is None:
         raise ValueError("a journal needs the model's name")
     # a number for every row, fixed by writing it down; prompts can be dear to make
-    fixed = materialise(prompts.withColumn("_row", F.monotonically_increasing_id()))
+    fixed = written(prompts.withColumn("_row", F.monotonically_increasing_id()))
     ask_missing(
         fixed, score_fn, model, journal, "prompt", "_row", batch_size, parallelism, slice_rows, max_slices
     )

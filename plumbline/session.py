@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -64,6 +65,35 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Whether Spark deletes the shuffle files of a query when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as compressed Parquet in the cluster's shared folder, read again.
+
+    For tables with texts, which a checkpoint would keep uncompressed. The plan's shuffle
+    files go as soon as the table is written.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/written-{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_written(table: DataFrame) -> None:
+    """Delete the files of ``written``, once nothing reads them any more."""
+    context = table.sparkSession.sparkContext
+    for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        place = context._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 _shipped: set[str] = set()
 
 
