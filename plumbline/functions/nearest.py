@@ -43,7 +43,7 @@ def keep_best(rows, similarities, ids, k):
     return rows[kept], similarities[kept], ids[kept], rank[kept] + 1
 
 
-def _lower_limit(block, k):
+def lower_limit(block, k):
     """Per row a value that at least k entries reach, close to the k-th largest.
 
     Taken from the maxima of groups of columns: the k-th largest of those is
@@ -68,7 +68,7 @@ def best_matches(queries, corpus, ids, k, floor=None):
     step = max(1, CHUNK_VALUES // max(1, len(corpus)))
     for start in range(0, len(queries), step):
         block = queries[start : start + step] @ corpus.T
-        limit = _lower_limit(block, k) - SLACK
+        limit = lower_limit(block, k) - SLACK
         if floor is not None:
             limit = np.maximum(limit, floor[start : start + step] - SLACK)
         reached = np.flatnonzero(block >= limit[:, None])

@@ -12,9 +12,12 @@ that bound, four times as many as in the round before, as long as a cell may hol
 anything better than what the worst of their queries has. What is found tightens the
 queries' own bounds, block after block, so later blocks are searched for fewer of them.
 
-What is exploded and planned are numbers of blocks and cells; vectors travel packed, once
-for every visit of a block. A task streams the blocks that its queries visit and holds
-one of them at a time.
+What is exploded and planned are numbers of blocks and cells; vectors travel packed.
+Blocks of queries next to each other form teams, a few for each core, and a block of the
+corpus that any of a team visits travels to the team once a round. So what moves grows with
+the corpus times the number of teams, however small the blocks are. A task holds the queries
+of one team, at most ``TEAM_VALUES`` values and ``TEAM_BLOCKS`` blocks, and streams what
+these visit.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ from plumbline.functions.nearest import (
     DECIMALS,
     SLACK,
     angles,
-    best_matches,
     keep_best,
+    lower_limit,
     unit_matrix,
     unit_rows,
 )
@@ -48,6 +51,14 @@ PIVOT_VALUES = 8_000_000
 DEALT_BLOCKS = 16
 #: Cells a block of queries visits in one round, as a multiple of the round before.
 GROWTH = 4
+#: Teams of blocks of queries for each core of the cluster.
+TEAMS_PER_CORE = 2
+#: Vector values of a team's queries, and its blocks, at most.
+TEAM_VALUES = 8_000_000
+TEAM_BLOCKS = 1024
+#: Pairs that are compared in double precision at once, and candidates kept between sightings.
+PAIRS = 1 << 16
+CANDIDATES_KEPT = 4_000_000
 
 PLACED = "id bigint, embedding array<float>, cell int, angle double"
 BLOCKS = (
@@ -57,17 +68,30 @@ BLOCKS = (
 MATCHES = "query_id bigint, rank int, corpus_id bigint, similarity double"
 CANDIDATES = "query_id bigint, corpus_id bigint"
 _STATE = (
-    "block bigint, cell int, nearest double, farthest double, done int, bound double, "
+    "block bigint, team int, cell int, nearest double, farthest double, done int, bound double, "
     "pending boolean, ids binary, vectors binary, similarities binary, found binary"
 )
-_VISITS = "block bigint, cell int, dealt int, turn int, distance double, low double, high double, reach double"
+_VISITS = "block bigint, team int, cell int, dealt int, turn int, distance double, low double, high double, reach double"
 
 
 def choose_pivots(corpus: DataFrame, rows: int, length: int, rows_per_block: int) -> np.ndarray:
-    """Some corpus rows by a hash of their id; any will do, since they only steer the search."""
+    """Some corpus rows by a hash of their id; any will do, since they only steer the search.
+
+    Pivots near each other follow each other, since the blocks of a team are neighbours.
+    """
     count = min(MAX_PIVOTS, max(1, PIVOT_VALUES // length), max(1, math.ceil(rows / rows_per_block)))
     chosen = corpus.orderBy(F.xxhash64("id"), "id").limit(count).toArrow()
-    return np.unique(unit_rows(chosen["embedding"]), axis=0)
+    pivots = np.unique(unit_rows(chosen["embedding"]), axis=0)
+    return pivots[_in_halves(pivots, np.arange(len(pivots)))]
+
+
+def _in_halves(points: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``rows`` cut at the median of their widest dimension, and each half in the same way."""
+    if len(rows) <= 2:
+        return rows
+    rows = rows[np.argsort(points[rows, points[rows].var(axis=0).argmax()], kind="stable")]
+    middle = len(rows) // 2
+    return np.concatenate([_in_halves(points, rows[:middle]), _in_halves(points, rows[middle:])])
 
 
 def in_cells(vectors: DataFrame, pivots) -> DataFrame:
@@ -80,9 +104,9 @@ def in_cells(vectors: DataFrame, pivots) -> DataFrame:
             units, cell, angle = unit_rows(batch["embedding"]), [], []
             step = max(1, CHUNK_VALUES // len(pivots.value))
             for start in range(0, len(units), step):
-                to_pivots = angles(units[start : start + step], pivots.value)
-                cell.append(to_pivots.argmin(axis=1))
-                angle.append(to_pivots.min(axis=1))
+                to_pivots = units[start : start + step] @ pivots.value.T
+                cell.append(to_pivots.argmax(axis=1))
+                angle.append(np.arccos(np.clip(to_pivots.max(axis=1), -1.0, 1.0)))
             yield pa.record_batch(
                 {
                     "id": batch["id"],
@@ -223,9 +247,12 @@ def search(
     spark = queries.sparkSession
     pivots = spark.sparkContext.broadcast(cells.pivots)
     known = spark.sparkContext.broadcast(cells)
-    opened = packed(in_cells(queries, pivots), rows_per_block).mapInArrow(_first_state(k, codes), _STATE)
-    finished = []
-    opened, quota = materialise(opened), 1
+    placed = materialise(in_cells(queries, pivots))
+    opened = materialise(packed(placed, rows_per_block).mapInArrow(_first_state(k, codes), _STATE))
+    values = rows_per_block * cells.pivots.shape[1]
+    per_team = blocks_per_team(opened.count(), values, _teams(spark))
+    opened = opened.withColumn("team", F.floor(F.col("block") / per_team).cast("int"))
+    finished, quota = [], 1
     while not opened.isEmpty():
         opened = materialise(_round(opened, blocks, known, k, quota, codes))
         finished.append(opened.where(~F.col("pending")))
@@ -241,19 +268,32 @@ def search(
     return states.select("ids", "similarities", "found").mapInArrow(_matches(k), MATCHES)
 
 
+def _teams(spark: SparkSession) -> int:
+    return TEAMS_PER_CORE * spark.sparkContext.defaultParallelism
+
+
+def blocks_per_team(blocks: int, values: int, teams: int) -> int:
+    """How many blocks of ``values`` vector values a task takes to make at most ``teams``."""
+    most = max(1, min(TEAM_BLOCKS, TEAM_VALUES // values))
+    return max(1, min(most, math.ceil(blocks / teams)))
+
+
 def _round(
     opened: DataFrame, blocks, known, k: int, quota: int, codes: bool = False
 ) -> DataFrame:
     """The state of blocks of queries after their next ``quota`` cells."""
-    visits = opened.select("block", "cell", "nearest", "farthest", "done", "bound").mapInArrow(
-        _next_visits(known, quota), _VISITS
+    visits = (
+        opened.select("block", "team", "cell", "nearest", "farthest", "done", "bound")
+        .mapInArrow(_next_visits(known, quota), _VISITS)
+        .groupBy("team", "cell", "dealt")
+        .agg(*[F.min(c).alias(c) for c in ("turn", "low")], *[F.max(c).alias(c) for c in ("high", "reach")])
     )
     if callable(blocks):
         visits = materialise(visits)
         visited = [row.cell for row in visits.select("cell").distinct().collect()]
         blocks = blocks(visited)
     least = F.greatest(F.col("low") - F.col("c.farthest"), F.col("c.nearest") - F.col("high"))
-    # by number: which queries, which cell, in which turn; the block's content joins last
+    # by number: which team, which cell, in which turn; the block's content joins last
     fetched = (
         visits.alias("v")
         .join(
@@ -263,7 +303,7 @@ def _round(
             & (least <= F.col("reach")),
         )
         .select(
-            F.col("v.block").alias("block"),
+            F.col("v.team").alias("team"),
             F.col("v.turn").alias("turn"),
             F.col("v.cell").alias("cell"),
             *[F.col(f"c.{name}").alias(name) for name in ("nearest", "farthest", "ids", "vectors")],
@@ -271,8 +311,8 @@ def _round(
     )
     rows = opened.withColumn("turn", F.lit(-1)).unionByName(fetched, allowMissingColumns=True)
     return (
-        rows.repartition("block")
-        .sortWithinPartitions("block", "turn")
+        rows.repartitionById(_teams(opened.sparkSession), F.col("team"))
+        .sortWithinPartitions("team", "turn")
         .select("turn", *opened.columns)
         .mapInArrow(_visited(known, k, quota, codes), _STATE)
     )
@@ -285,7 +325,9 @@ def _first_state(k: int, codes: bool = False):
             rows = batch["rows"].to_pylist()
             yield pa.record_batch(
                 {
-                    **{name: batch[name] for name in ("block", "cell", "nearest", "farthest")},
+                    "block": batch["block"],
+                    "team": batch["block"].cast(pa.int32()),
+                    **{name: batch[name] for name in ("cell", "nearest", "farthest")},
                     "done": pa.array([0] * blocks, pa.int32()),
                     "bound": pa.array([-2.0] * blocks),
                     "pending": pa.array([True] * blocks),
@@ -303,51 +345,83 @@ def _next_visits(known, quota: int):
     """Per block of queries its next cells that its worst query may still need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [field.split()[0] for field in _VISITS.split(", ")]
+        schema = _schema(_VISITS)
         for batch in batches:
-            rows: list[tuple] = []
             for row in batch.to_pylist():
-                near, far = row["nearest"], row["farthest"]
+                near, far, done = row["nearest"], row["farthest"], row["done"]
                 limit = float(reach(row["bound"]))
                 cell, distance, bound = known.value.order(row["cell"], near, far)
-                for turn in range(row["done"], min(row["done"] + quota, len(cell))):
-                    if bound[turn] > limit:
-                        break
-                    apart = float(distance[turn])
-                    low = max(apart - far, near - apart, 0.0)
-                    numbers = (turn, apart, low, apart + far, limit)
-                    for part in range(int(known.value.dealt[cell[turn]])):
-                        rows.append((row["block"], int(cell[turn]), part, *numbers))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()] + [pa.float64()] * 4
-            columns = zip(*rows) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(column, kind) for column, kind in zip(columns, kinds)], names=names
-            )
+                stop = min(done + quota, int(np.searchsorted(bound, limit, side="right")))
+                if stop <= done:
+                    continue
+                cell, distance = cell[done:stop], distance[done:stop]
+                parts = known.value.dealt[cell]
+                first = np.cumsum(parts) - parts
+                columns = {
+                    "turn": np.arange(done, stop),
+                    "cell": cell,
+                    "distance": distance,
+                    "low": np.maximum(np.maximum(distance - far, near - distance), 0.0),
+                    "high": distance + far,
+                }
+                columns = {name: np.repeat(column, parts) for name, column in columns.items()}
+                columns["dealt"] = np.arange(parts.sum()) - np.repeat(first, parts)
+                alike = {"block": row["block"], "team": row.get("team", row["block"]), "reach": limit}
+                columns |= {name: np.full(len(columns["cell"]), value) for name, value in alike.items()}
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[field.name], field.type) for field in schema], schema=schema
+                )
 
     return run
 
 
-class _Queries:
-    """One block of queries and the best it has found."""
+class _Team:
+    """Blocks of queries and the best they have found.
 
-    def __init__(self, row: dict, cells: Cells, k: int):
-        self.row, self.cells, self.k = row, cells, k
-        count = len(row["ids"]) // 8
-        self.units = _units(row["vectors"], count)
-        self.similarities = np.frombuffer(row["similarities"]).reshape(count, k).copy()
-        self.take_found(row["found"])
-
-    def take_found(self, raw: bytes) -> None:
-        self.found = np.frombuffer(raw, "<i8").reshape(self.similarities.shape).copy()
+    Similarities are worked out in single precision and, where these are within ``slack`` of
+    what a query has, again in double precision. The dot product of unit vectors of n values
+    is off by less than (n + 4) / 2**24 in any order of adding up.
+    """
 
-    def found_bytes(self) -> bytes:
-        return self.found.tobytes()
+    def __init__(self, rows: list[dict], cells: Cells, k: int, quota: int):
+        self.rows, self.cells, self.k, self.quota = rows, cells, k, quota
+        self.counts = np.array([len(row["ids"]) // 8 for row in rows])
+        self.starts = np.cumsum(self.counts) - self.counts
+        total = int(self.counts.sum())
+        self.units = _units(b"".join(row["vectors"] for row in rows), total)
+        self.single = self.units.astype(np.float32)
+        self.slack = (self.units.shape[1] + 8) / 2**23
+        self.similarities = np.frombuffer(b"".join(row["similarities"] for row in rows)).reshape(total, k).copy()
+        self.limit = reach(self.similarities[:, -1])
+        self.cell, self.near, self.far = (np.array([row[n] for row in rows]) for n in ("cell", "nearest", "farthest"))
+        self.planned = np.zeros((len(rows), len(cells.pivots)), dtype=bool)
+        for number, row in enumerate(rows):
+            order, _, _ = cells.order(row["cell"], row["nearest"], row["farthest"])
+            self.planned[number, order[row["done"] : row["done"] + quota]] = True
+        self.take_found([row["found"] for row in rows])
+
+    def take_found(self, raw: list[bytes]) -> None:
+        self.found = np.frombuffer(b"".join(raw), "<i8").reshape(self.similarities.shape).copy()
+
+    def found_bytes(self) -> list[bytes]:
+        return [part.tobytes() for part in np.split(self.found, self.starts[1:])]
+
+    def opened(self, vectors: bytes, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors of a block, and how far off similarities to them may be, for all or for each."""
+        return _units(vectors, rows), np.float32(self.slack)
 
     def may(self, cell: int, near: float, far: float) -> np.ndarray:
-        """Numbers of the queries for which a block may hold something better."""
-        worst = self.similarities[:, -1]
-        apart = angles(self.units, self.cells.pivots[cell : cell + 1])[:, 0]
-        return np.flatnonzero(np.maximum(apart - far, near - apart) <= reach(worst))
+        """Numbers of the queries that visit a cell and for which a block may hold something better."""
+        pivot = self.cells.pivots[cell : cell + 1]
+        apart = angles(self.cells.pivots[self.cell], pivot)[:, 0]
+        low = np.maximum(apart - self.far, self.near - apart)
+        least = np.maximum(low - far, near - (apart + self.far))
+        visiting = self.planned[:, cell] & (least <= np.maximum.reduceat(self.limit, self.starts))
+        rows = np.flatnonzero(np.repeat(visiting, self.counts))
+        if not len(rows):
+            return rows
+        apart = angles(self.units[rows], pivot)[:, 0]
+        return rows[np.maximum(apart - far, near - apart) <= self.limit[rows]]
 
     def visit(self, cell: int, near: float, far: float, ids: bytes, vectors: bytes) -> None:
         """Search a block for the queries that it may hold something for."""
@@ -355,101 +429,148 @@ class _Queries:
         if not len(may):
             return
         ids = np.frombuffer(ids, "<i8")
-        block = _units(vectors, len(ids))
-        worst = self.similarities[may, -1]
-        rows, similarities, found, _ = best_matches(self.units[may], block, ids, self.k, worst)
-        has = self.similarities > -2.0
-        rows = np.concatenate([may[rows], np.nonzero(has)[0]])
-        similarities = np.concatenate([similarities, self.similarities[has]])
-        found = np.concatenate([found, self.found[has]])
-        rows, similarities, found, rank = keep_best(rows, similarities, found, self.k)
+        block, error = self.opened(vectors, len(ids))
+        single = block.astype(np.float32).T
+        step = max(1, CHUNK_VALUES // 4 // len(ids))
+        for start in range(0, len(may), step):
+            rows = may[start : start + step]
+            about = self.single[rows] @ single
+            limit = self.similarities[rows, -1] - SLACK
+            lacking = np.flatnonzero(limit < -1.5)
+            if len(lacking):
+                limit[lacking] = lower_limit(about[lacking] - error, self.k) - SLACK
+            if np.ndim(error):
+                reached = about + error >= limit.astype(np.float32)[:, None]
+            else:
+                reached = about >= (limit - error).astype(np.float32)[:, None]
+            row, column = np.divmod(np.flatnonzero(reached), len(ids))
+            if len(row):
+                self.take(rows[row], column, about[row, column].astype(np.float64), error, ids, block)
+
+    def take(self, rows, columns, about, error, ids, block) -> None:
+        """Pairs of queries and rows of a block that may be among the best."""
+        parts = [slice(start, start + PAIRS) for start in range(0, len(rows), PAIRS)]
+        exact = [np.einsum("ij,ij->i", self.units[rows[part]], block[columns[part]]) for part in parts]
+        touched, has = self.touched(rows)
+        similarities = np.concatenate([np.round(np.concatenate(exact), DECIMALS) + 0.0, self.similarities[touched][has]])
+        found = np.concatenate([ids[columns], self.found[touched][has]])
+        rows, similarities, found, rank = keep_best(
+            np.concatenate([rows, touched[np.nonzero(has)[0]]]), similarities, found, self.k
+        )
         self.similarities[rows, rank - 1] = similarities
         self.found[rows, rank - 1] = found
-
-    def state(self, quota: int) -> dict:
-        row = self.row
-        bound = float(self.similarities[:, -1].min())
-        done = row["done"] + quota
-        _, _, bounds = self.cells.order(row["cell"], row["nearest"], row["farthest"])
-        pending = done < len(bounds) and bool(bounds[done] <= reach(bound))
-        return {
-            **row,
-            "done": done,
-            "bound": bound,
-            "pending": pending,
-            "similarities": self.similarities.tobytes(),
-            "found": self.found_bytes(),
-        }
+        self.limit[touched] = reach(self.similarities[touched, -1])
+
+    def touched(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        touched = np.unique(rows)
+        return touched, self.similarities[touched] > -2.0
+
+    def states(self) -> list[dict]:
+        bounds = np.minimum.reduceat(self.similarities[:, -1], self.starts)
+        found = self.found_bytes()
+        similarities = np.split(self.similarities, self.starts[1:])
+        states = []
+        for number, row in enumerate(self.rows):
+            bound, done = float(bounds[number]), row["done"] + self.quota
+            _, _, least = self.cells.order(row["cell"], row["nearest"], row["farthest"])
+            states.append(
+                {
+                    **row,
+                    "done": done,
+                    "bound": bound,
+                    "pending": done < len(least) and bool(least[done] <= reach(bound)),
+                    "similarities": similarities[number].tobytes(),
+                    "found": found[number],
+                }
+            )
+        return states
 
 
 _CANDIDATE = np.dtype([("row", "<i4"), ("id", "<i8"), ("most", "<f8")])
 
 
-class _CodedQueries(_Queries):
-    """A block of queries that visits codes.
+class _CodedTeam(_Team):
+    """Blocks of queries that visit codes.
 
     In the place of similarities it keeps the k largest of what rows have at least, and as
     found every row that may have as much as the k-th of those.
     """
 
-    def take_found(self, raw: bytes) -> None:
-        self.parts = [np.frombuffer(raw, _CANDIDATE)]
+    def take_found(self, raw: list[bytes]) -> None:
+        self.parts = [np.frombuffer(part, _CANDIDATE).copy() for part in raw]
+        for part, start in zip(self.parts, self.starts):
+            part["row"] += start
+        self.taken = 0
 
-    def found_bytes(self) -> bytes:
+    def live(self) -> np.ndarray:
         found = np.concatenate(self.parts)
-        return found[found["most"] >= self.similarities[found["row"], -1] - SLACK].tobytes()
-
-    def visit(self, cell: int, near: float, far: float, ids: bytes, vectors: bytes) -> None:
-        may = self.may(cell, near, far)
-        ids = np.frombuffer(ids, "<i8")
-        stand_ins, error = decoded(vectors, len(ids))
-        step = max(1, CHUNK_VALUES // max(1, len(ids)))
-        for start in range(0, len(may), step):
-            rows = may[start : start + step]
-            about = self.units[rows] @ stand_ins.T
-            both = np.concatenate([self.similarities[rows], about - error], axis=1)
-            best = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
-            self.similarities[rows] = -np.sort(-best, axis=1)
-            limit = self.similarities[rows, -1] - SLACK
-            row, column = np.nonzero(about + error >= limit[:, None])
-            part = np.empty(len(row), _CANDIDATE)
-            part["row"], part["id"] = rows[row], ids[column]
-            part["most"] = (about + error)[row, column]
-            self.parts.append(part)
+        return found[found["most"] >= self.similarities[found["row"], -1] - SLACK]
+
+    def found_bytes(self) -> list[bytes]:
+        found = self.live()
+        found = found[np.argsort(found["row"], kind="stable")]
+        block = np.searchsorted(self.starts, found["row"], side="right") - 1
+        found["row"] -= self.starts[block].astype(np.int32)
+        return [part.tobytes() for part in np.split(found, np.searchsorted(block, np.arange(1, len(self.rows))))]
+
+    def opened(self, vectors: bytes, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        block, error = decoded(vectors, rows)
+        return block, (error + self.slack).astype(np.float32)
+
+    def take(self, rows, columns, about, error, ids, block) -> None:
+        part = np.empty(len(rows), _CANDIDATE)
+        part["row"], part["id"], part["most"] = rows, ids[columns], about + error[columns]
+        self.parts.append(part)
+        self.taken += len(part)
+        least = about - error[columns]
+        better = least > self.similarities[rows, -1]
+        rows, least = rows[better], least[better]
+        touched, has = self.touched(rows)
+        rows = np.concatenate([rows, touched[np.nonzero(has)[0]]])
+        least = np.concatenate([least, self.similarities[touched][has]])
+        rows, least, _, rank = keep_best(rows, least, np.zeros(len(rows)), self.k)
+        self.similarities[rows, rank - 1] = least
+        self.limit[touched] = reach(self.similarities[touched, -1])
+        if self.taken > CANDIDATES_KEPT:
+            self.parts, self.taken = [self.live()], 0
 
 
 def _units(raw: bytes, rows: int) -> np.ndarray:
     return unit_matrix(np.frombuffer(raw, "<f4").astype(np.float64).reshape(rows, -1))
 
 
-def _state_schema() -> pa.Schema:
+def _schema(columns: str) -> pa.Schema:
     kinds = {
         "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(),
         "boolean": pa.bool_(), "binary": pa.binary(),
     }
-    return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in _STATE.split(", "))])
+    return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in columns.split(", "))])
 
 
 def _visited(known, k: int, quota: int, codes: bool):
-    """Blocks of queries, each followed by the blocks it visits, in turn."""
+    """The blocks of queries of each team, followed by the blocks these visit, in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, queries = _state_schema(), None
+        schema, kind = _schema(_STATE), _CodedTeam if codes else _Team
+        members: list[dict] = []
+        team: _Team | None = None
 
-        def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([queries.state(quota)], schema=schema)
+        def formed() -> _Team:
+            return team or kind(members, known.value, k, quota)
 
         for batch in batches:
             for i, turn in enumerate(batch["turn"].to_pylist()):
-                row = {name: batch[name][i].as_py() for name in schema.names}
                 if turn < 0:
-                    if queries is not None:
-                        yield made()
-                    queries = (_CodedQueries if codes else _Queries)(row, known.value, k)
+                    row = {name: batch[name][i].as_py() for name in schema.names}
+                    if members and members[0]["team"] != row["team"]:
+                        yield pa.RecordBatch.from_pylist(formed().states(), schema=schema)
+                        members, team = [], None
+                    members.append(row)
                 else:
-                    queries.visit(*(row[n] for n in ("cell", "nearest", "farthest", "ids", "vectors")))
-        if queries is not None:
-            yield made()
+                    team = formed()
+                    team.visit(*(batch[n][i].as_py() for n in ("cell", "nearest", "farthest", "ids", "vectors")))
+        if members:
+            yield pa.RecordBatch.from_pylist(formed().states(), schema=schema)
 
     return run
 

@@ -38,8 +38,10 @@ SAMPLE_VALUES = 1_000_000
 SAMPLE_GROWTH = 16
 # Bytes of corpus text that may go along.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Vector values in one block of the block path.
+# Vector values in one block of the block path, and rows, at most: a block is what the
+# search can rule out, so short vectors do not make it larger.
 BLOCK_VALUES = 4_000_000
+BLOCK_ROWS = 1024
 
 # Where the rows go: the corpus or the queries to every executor, or both in blocks, of
 # floats or of 8-bit codes.
@@ -85,7 +87,7 @@ def _search_layout(queries, corpus, k, layout, broadcast_values, block_values) -
         return _against_small_corpus(queries, corpus, k)
     if layout == "queries":
         return _for_few_queries(queries, corpus, k, n_corpus, max(k, SAMPLE_VALUES // length))
-    rows_per_block = max(k, block_values // length)
+    rows_per_block = max(k, min(BLOCK_ROWS, block_values // length))
     corpus = _without_surplus_copies(corpus, k)
     arguments = (queries.sparkSession, queries, corpus, k, n_corpus, length, rows_per_block)
     if layout == "codes":

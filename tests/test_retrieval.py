@@ -357,3 +357,30 @@ class TestOneContract:
         assert len(knn_join(corpus, corpus, 2, **search).collect()) == 16
         with pytest.raises(ValueError, match="more than once"):
             knn_join(corpus.union(corpus), corpus, 2, **search)
+
+
+@pytest.mark.parametrize("layout", ["blocks", "codes"])
+def test_a_block_travels_once_a_round_to_a_team_of_queries(spark, monkeypatch, layout):
+    travelled, one = spark.sparkContext.accumulator(0), B._visited
+
+    def counting(*arguments):
+        run = one(*arguments)
+
+        def counted(batches):
+            def seen():
+                for batch in batches:
+                    travelled.add(sum(turn >= 0 for turn in batch["turn"].to_pylist()))
+                    yield batch
+
+            return run(seen())
+
+        return counted
+
+    monkeypatch.setattr(B, "_visited", counting)
+    monkeypatch.setattr(B, "TEAMS_PER_CORE", 1, raising=False)
+    data = np.random.default_rng(7).normal(size=(600, 8))
+    frame = _frame(spark, data)
+    found = knn_join(frame, frame, 3, layout=layout, block_values=8 * 10)
+    assert _rows(found) == _brute(data, data, 3)
+    cells, most_blocks, rounds = 60, 120, 4
+    assert cells < travelled.value <= spark.sparkContext.defaultParallelism * most_blocks * rounds
