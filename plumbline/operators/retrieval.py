@@ -27,8 +27,8 @@ from plumbline.fixed_values import CONTEXT_SEPARATOR, TOP_K
 from plumbline.functions.nearest import best_matches, keep_best, unit_rows
 from plumbline.functions.text import clean
 from plumbline.operators import blocks
-from plumbline.operators.lookup import HOT_ROWS, lookup
-from plumbline.session import materialise
+from plumbline.operators.lookup import HOT_ROWS, HOT_SHARE, lookup
+from plumbline.session import materialise, written
 
 # Vector values (rows x length) one side may have to be sent to every executor.
 BROADCAST_VALUES = 8_000_000
@@ -118,7 +118,8 @@ def with_context(
     context by their vector. A vector or corpus row that very many rows share is dealt
     out to several tasks.
     """
-    known = vectors_of(corpus, "corpus", clean(F.col(text)).alias("_text"))
+    # read several times below, and may be the result of a join that moves whole texts
+    known = written(vectors_of(corpus, "corpus", clean(F.col(text)).alias("_text")))
     asking = df.withColumn("_vector", _checked(F.col(embedding), F.lit("of the table")))
     if layout in (None, "corpus"):
         rows, length = size_of(known)
@@ -128,31 +129,69 @@ def with_context(
         ):
             found = _context_from_shared(known, k, separator)(F.col("_vector"))
             return asking.withColumn("context", found).drop("_vector")
+    # the one pass over the rows before the last: their vectors, and which are hot
     distinct = materialise(
         asking.where(F.col("_vector").isNotNull())
-        .select(F.col("_vector").alias("embedding"))
-        .distinct()
+        .groupBy(F.col("_vector").alias("embedding"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("id", F.monotonically_increasing_id())
     )
     if layout is None and fits:
         layout = "corpus"  # the vectors may be sent about, though not the texts
+    asked = distinct.select("id", "embedding")
     matches = materialise(
-        _search_layout(distinct, known.drop("_text"), k, layout, broadcast_values, block_values)
+        _search_layout(asked, known.drop("_text"), k, layout, broadcast_values, block_values)
     )
+    keyed, asking = _keyed(distinct, asking, hot_rows)
     texts = known.select(F.col("id").alias("corpus_id"), "_text")
-    found = lookup(matches, texts, "corpus_id", "query_id", "inner", hot_rows)
-    contexts = distinct.join(
-        context_of(found, "_text", separator), distinct["id"] == F.col("query_id")
-    ).select(F.col("embedding").alias("_vector"), "context")
-    numbered = asking.withColumn("_row", F.monotonically_increasing_id())
+    found = lookup(matches.join(keyed, "query_id"), texts, "corpus_id", "query_id", "inner", hot_rows)
+    # grouped by what the rows are joined by, so that a context stays in its task
+    contexts = context_of(found, "_text", separator, ("_share", "_key"))
     nothing = F.when(F.col("_vector").isNotNull(), "")
     return (
-        lookup(numbered, contexts, "_vector", "_row", "left", hot_rows)
+        asking.join(contexts, ["_share", "_key"], "left")
         .withColumn("context", F.coalesce("context", nothing))
         .select(*df.columns, "context")
     )
 
 
+def _vector_key(vector: Column) -> Column:
+    """32 bytes that name a vector of floats, the zeros being equal; null for none."""
+    values = F.transform(vector, lambda x: x + F.lit(0.0).cast("float"))
+    return F.unhex(F.sha2(values.cast("string"), 256))
+
+
+def _keyed(distinct: DataFrame, asking: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``query_id, _share, _key`` of the distinct vectors, and the rows with ``_share, _key``.
+
+    The key is a digest of the vector: Spark rewrites joins by floats, and would shuffle again.
+    The rows of a vector that more than ``hot_rows`` (and ``HOT_SHARE`` of all rows) have are
+    dealt out to several parts, and rows without a vector spread.
+    """
+    total = distinct.agg(F.sum("_rows")).first()[0] or 0
+    per_part = max(hot_rows, int(total * HOT_SHARE))
+    parts = F.ceil(F.col("_rows") / F.lit(per_part)).cast("int")
+    asking = asking.withColumn("_key", _vector_key(F.col("_vector")))
+    key = _vector_key(F.col("embedding")).alias("_key")
+    keyed = distinct.select(
+        F.col("id").alias("query_id"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), parts.cast("bigint") - 1)).alias("_share"),
+        key,
+    )
+    number = F.monotonically_increasing_id()
+    # at most 1 / HOT_SHARE vectors
+    hot = distinct.where(F.col("_rows") > per_part).select(key, parts.alias("_parts"))
+    found = hot.collect() if total > hot_rows else []
+    part = F.lit(0)
+    if found:
+        asking = asking.withColumn("_number", number)
+        dealt = F.broadcast(asking.sparkSession.createDataFrame(found, hot.schema))
+        asking = asking.join(dealt, "_key", "left")
+        part, number = F.pmod(F.xxhash64("_number"), F.coalesce("_parts", F.lit(1))), F.col("_number")
+    spread = F.when(F.col("_vector").isNull(), number).otherwise(part).cast("bigint")
+    return keyed, asking.withColumn("_share", spread).drop("_number", "_parts")
+
+
 def retrieve_context(
     queries: DataFrame, corpus: DataFrame, k: int = TOP_K, text: str = "sentence", **search
 ) -> DataFrame:
@@ -195,11 +234,14 @@ def _context_from_shared(known: DataFrame, k: int, separator: str):
 
 
 def context_of(
-    matches: DataFrame, text: str, separator: str = CONTEXT_SEPARATOR
+    matches: DataFrame,
+    text: str,
+    separator: str = CONTEXT_SEPARATOR,
+    query: tuple[str, ...] = ("query_id",),
 ) -> DataFrame:
     """Join the texts of a query's matches, at most k of them, in rank order."""
     ranked = F.array_sort(F.collect_list(F.struct("rank", F.col(text).alias("text"))))
-    return matches.groupBy("query_id").agg(
+    return matches.groupBy(*query).agg(
         F.array_join(F.transform(ranked, lambda m: m["text"]), separator, "").alias("context")
     )
 

@@ -384,3 +384,32 @@ def test_a_block_travels_once_a_round_to_a_team_of_queries(spark, monkeypatch, l
     assert _rows(found) == _brute(data, data, 3)
     cells, most_blocks, rounds = 60, 120, 4
     assert cells < travelled.value <= spark.sparkContext.defaultParallelism * most_blocks * rounds
+
+
+def _hot_case(spark):
+    corpus = spark.createDataFrame(
+        [(i, f"t{i}", [1.0, i / 10]) for i in range(8)], "id long, sentence string, embedding array<float>"
+    )
+    rows = [(i, [1.0, 0.0] if i < 40 else None if i < 60 else [1.0, (i - 60) / 10]) for i in range(65)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(4), corpus
+
+
+@pytest.mark.parametrize("hot_rows", [1, 7, 1000])
+def test_contexts_of_hot_vectors(spark, hot_rows):
+    asking, corpus = _hot_case(spark)
+    got = with_context(asking, corpus, 2, separator="|", layout="blocks", hot_rows=hot_rows)
+    found = {r.id: r.context for r in got.collect()}
+    expected = {i: "t0|t1" if i < 40 else None for i in range(60)}
+    near = {60: "t0|t1", 61: "t1|t2", 62: "t2|t3", 63: "t3|t4", 64: "t4|t5"}
+    assert got.count() == 65 and found == expected | near
+
+
+def test_contexts_are_shuffled_once(spark, plan):
+    asking, corpus = _hot_case(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(with_context(asking, corpus, 2, layout="blocks"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the rows, and the texts that become contexts; not the contexts again
+    assert text.count("Exchange hashpartitioning(_share") == 2
