@@ -2,7 +2,10 @@
 
 The search is exact for any sizes. What changes with them is where the rows go:
 
-* a corpus below a checked size goes to every executor, queries stay in place;
+* a corpus below a checked size goes to every executor, queries stay in place; short vectors
+  are searched there in a tree of boxes, see ``boxes.py``;
+* else short vectors are searched by regions of the corpus, see ``regions.py``, unless the
+  pairs are few;
 * else queries below that size go to every executor, the corpus stays in place,
   and each task hands on its k best per query;
 * else both sides are packed into blocks around pivot vectors, and blocks of queries
@@ -24,10 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.fixed_values import CONTEXT_SEPARATOR, TOP_K
+from plumbline.functions.boxes import BOX_LENGTH, searchable
 from plumbline.functions.nearest import best_matches, keep_best, unit_rows
 from plumbline.functions.text import clean
 from plumbline.operators import blocks
 from plumbline.operators.lookup import HOT_ROWS, HOT_SHARE, lookup
+from plumbline.operators.regions import by_regions
 from plumbline.session import materialise, written
 
 # Vector values (rows x length) one side may have to be sent to every executor.
@@ -42,10 +47,12 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 # search can rule out, so short vectors do not make it larger.
 BLOCK_VALUES = 4_000_000
 BLOCK_ROWS = 1024
+# Pairs of queries and corpus rows up to which short vectors need no regions.
+FEW_PAIRS = 10**10
 
 # Where the rows go: the corpus or the queries to every executor, or both in blocks, of
-# floats or of 8-bit codes.
-LAYOUTS = ("corpus", "queries", "blocks", "codes")
+# floats or of 8-bit codes, or to regions of the corpus.
+LAYOUTS = ("corpus", "queries", "blocks", "codes", "regions")
 
 _MATCHES = blocks.MATCHES
 
@@ -81,14 +88,21 @@ def _search_layout(queries, corpus, k, layout, broadcast_values, block_values) -
         if n_corpus * length <= broadcast_values:
             layout = "corpus"
         else:
-            few = queries.count() * length <= broadcast_values
-            layout = "queries" if few else "blocks"
+            n_queries = queries.count()
+            if length <= BOX_LENGTH and n_queries * n_corpus > FEW_PAIRS:
+                layout = "regions"
+            else:
+                layout = "queries" if n_queries * length <= broadcast_values else "blocks"
     if layout == "corpus":
         return _against_small_corpus(queries, corpus, k)
     if layout == "queries":
         return _for_few_queries(queries, corpus, k, n_corpus, max(k, SAMPLE_VALUES // length))
     rows_per_block = max(k, min(BLOCK_ROWS, block_values // length))
     corpus = _without_surplus_copies(corpus, k)
+    if layout == "regions":
+        found = by_regions(queries, corpus, k, n_corpus)
+        if found is not None:
+            return _top(found, k)
     arguments = (queries.sparkSession, queries, corpus, k, n_corpus, length, rows_per_block)
     if layout == "codes":
         return _top(blocks.by_codes(*arguments), k)
@@ -138,7 +152,7 @@ def with_context(
     )
     if layout is None and fits:
         layout = "corpus"  # the vectors may be sent about, though not the texts
-    asked = distinct.select("id", "embedding")
+    asked = _spread(distinct.select("id", "embedding"))
     matches = materialise(
         _search_layout(asked, known.drop("_text"), k, layout, broadcast_values, block_values)
     )
@@ -155,6 +169,15 @@ def with_context(
     )
 
 
+def _spread(asked: DataFrame) -> DataFrame:
+    """A checkpointed table in as many parts as there are cores at least.
+
+    Spark merges parts by their bytes, and a megabyte of short vectors is much to search for.
+    """
+    tasks = asked.sparkSession.sparkContext.defaultParallelism
+    return asked.repartition(tasks) if asked.rdd.getNumPartitions() < tasks else asked
+
+
 def _vector_key(vector: Column) -> Column:
     """32 bytes that name a vector of floats, the zeros being equal; null for none."""
     values = F.transform(vector, lambda x: x + F.lit(0.0).cast("float"))
@@ -206,7 +229,9 @@ def retrieve_context(
 def _context_from_shared(known: DataFrame, k: int, separator: str):
     """A function of the embedding column that has the corpus at hand."""
     table = known.orderBy("id").toArrow()
-    content = (unit_rows(table["embedding"]), table["_text"].to_pylist())
+    # positions stand for the ids they are ordered by
+    units = searchable(unit_rows(table["embedding"]), np.arange(len(table)))
+    content = (units, table["_text"].to_pylist())
     shared = known.sparkSession.sparkContext.broadcast(content)
 
     def contexts(column: pa.Array) -> pa.Array:
@@ -216,10 +241,7 @@ def _context_from_shared(known: DataFrame, k: int, separator: str):
         for row in asked:
             found[row] = ""
         if len(asked) and len(texts):
-            # positions stand for the ids they are ordered by
-            rows, _, positions, _ = best_matches(
-                unit_rows(column.drop_null()), units, np.arange(len(texts)), k
-            )
+            rows, _, positions, _ = units.search(unit_rows(column.drop_null()), k)
             cuts = np.searchsorted(rows, np.arange(1, len(asked)))
             for row, best in zip(asked, np.split(positions, cuts)):
                 found[row] = separator.join(texts[position] for position in best)
@@ -307,17 +329,16 @@ def _match_batch(query_ids, similarities, corpus_ids, ranks) -> pa.RecordBatch:
 def _against_small_corpus(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """Corpus of checked size on every executor; one pass, no shuffle."""
     context = queries.sparkSession.sparkContext
-    shared = context.broadcast(_block(corpus.toArrow()))
+    ids, units = _block(corpus.toArrow())
+    shared = context.broadcast((searchable(units, ids), len(ids)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, units = shared.value
-        if len(ids) == 0:
+        known, rows = shared.value
+        if rows == 0:
             return
         for batch in batches:
             if batch.num_rows:
-                rows, similarities, found, ranks = best_matches(
-                    unit_rows(batch["embedding"]), units, ids, k
-                )
+                rows, similarities, found, ranks = known.search(unit_rows(batch["embedding"]), k)
                 yield _match_batch(
                     batch["id"].to_numpy()[rows], similarities, found, ranks
                 )

@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import boxes as X
 from plumbline.functions.vectors import dot, l2_normalize
 from plumbline.operators import blocks as B
+from plumbline.operators import regions as G
 from plumbline.operators import retrieval as R
 from plumbline.session import materialise
 from plumbline.operators.retrieval import context_of, knn_join, retrieve_context, with_context
@@ -413,3 +415,88 @@ def test_contexts_are_shuffled_once(spark, plan):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # the rows, and the texts that become contexts; not the contexts again
     assert text.count("Exchange hashpartitioning(_share") == 2
+
+
+# --- short vectors: trees of boxes, and regions -----------------------------
+
+
+def _units(seed, n, length):
+    matrix = _clustered(seed, n, length)
+    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(norm == 0, 1, norm)
+
+
+@pytest.mark.parametrize("length", [1, 3, 8, 16])
+@pytest.mark.parametrize("n", [1, 2, 33, 5000])
+def test_a_tree_of_boxes_equals_a_table(n, length):
+    corpus, queries = _units(5, n, length), _units(6, 300, length)
+    ids = np.random.default_rng(7).permutation(n)
+    table, tree = X.Table(corpus, ids), X.BoxTree(corpus, ids)
+    for floor in (None, np.full(300, -2.0), np.full(300, 0.99)):
+        for k in (1, 3, 40):
+            found = [searched.search(queries, k, floor) for searched in (table, tree)]
+            kept = [f[1] >= (-1.0 if floor is None else floor[0]) for f in found]
+            for expected, got in zip(*found):
+                assert (expected[kept[0]] == got[kept[1]]).all()
+
+
+def test_leaves_compared_hardly_grow_with_the_corpus(monkeypatch):
+    compared = []
+    whole = X.BoxTree._compared
+
+    def counted(self, units, rows, *more):
+        compared[-1] += len(rows)
+        return whole(self, units, rows, *more)
+
+    monkeypatch.setattr(X.BoxTree, "_compared", counted)
+    chance = np.random.default_rng(8)
+    for n in (10_000, 160_000):
+        corpus = chance.normal(size=(n, 3))
+        corpus /= np.linalg.norm(corpus, axis=1, keepdims=True)
+        compared.append(0)
+        X.searchable(corpus, np.arange(n)).search(corpus[:1000], 3)
+    assert compared[0] < 1000 * 10_000 / X.LEAF_ROWS / 10
+    assert compared[1] < 2 * compared[0]
+
+
+@pytest.mark.parametrize("n, length, region_rows", [(600, 8, 64), (600, 3, 64), (1500, 8, 10_000), (5, 8, 64)])
+def test_regions_equal_brute_force(spark, monkeypatch, n, length, region_rows):
+    corpus, queries = _clustered(1, n, length), _clustered(2, n // 2 + 1, length)
+    monkeypatch.setattr(R, "by_regions", lambda *given: G.by_regions(*given, region_rows))
+    # several tasks for a region
+    monkeypatch.setattr(G, "ASKED_ROWS", 50)
+    found = knn_join(_frame(spark, queries, 1000), _frame(spark, corpus), 3, layout="regions")
+    assert _rows(found) == _brute(queries, corpus, 3, 1000)
+
+
+def test_regions_that_rule_nothing_out_give_way_to_blocks(spark, monkeypatch):
+    corpus = np.random.default_rng(3).normal(size=(400, 16))
+    monkeypatch.setattr(R, "by_regions", lambda *given: G.by_regions(*given, 16))
+    monkeypatch.setattr(G, "MOST_VISITS", 2)
+    asked = []
+    whole = B.one_search
+    monkeypatch.setattr(B, "one_search", lambda *given: asked.append(1) or whole(*given))
+    found = knn_join(_frame(spark, corpus), _frame(spark, corpus), 3, layout="regions")
+    assert _rows(found) == _brute(corpus, corpus, 3) and asked
+
+
+@pytest.mark.parametrize("length, pairs, expected", [(8, 100, True), (8, 10**10, False), (17, 100, False)])
+def test_short_vectors_of_many_pairs_go_to_regions(spark, monkeypatch, length, pairs, expected):
+    corpus = _clustered(4, 60, length)
+    chosen = []
+    monkeypatch.setattr(R, "by_regions", lambda *given: chosen.append(1) or G.by_regions(*given))
+    monkeypatch.setattr(R, "FEW_PAIRS", pairs)
+    found = knn_join(_frame(spark, corpus), _frame(spark, corpus), 3, broadcast_values=0)
+    assert _rows(found) == _brute(corpus, corpus, 3)
+    assert bool(chosen) == expected
+
+
+def test_few_bytes_of_vectors_are_searched_by_all_cores(spark, monkeypatch):
+    corpus = _frame(spark, _clustered(9, 300)).withColumn("sentence", F.col("id").cast("string"))
+    tasks = []
+    whole = R._against_small_corpus
+    monkeypatch.setattr(
+        R, "_against_small_corpus", lambda asked, *more: tasks.append(asked.rdd.getNumPartitions()) or whole(asked, *more)
+    )
+    assert with_context(corpus, corpus, broadcast_bytes=0).count() == 300
+    assert tasks[0] >= spark.sparkContext.defaultParallelism
