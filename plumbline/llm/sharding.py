@@ -15,7 +15,8 @@ from a pass.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import discard, prepare, stored
@@ -111,21 +112,38 @@ def _even_cuts(ends: _Ends, capacity: int, total: int, shards: int, high: bool)
     return cuts[1:]
 
 
+def _by_bucket(
+    ranges: list[tuple[int, int]], width: int
+) -> tuple[int, int, list[tuple[int, int, int, int]]]:
+    """The ranges as rows to join with, however many there are.
+
+    ``(base, bits, rows)``: an end lies in bucket ``(end - base) >> bits``. A row has a
+    bucket, a range that meets it, and the number of the range's first cell. Buckets are
+    at most as many as the ranges, so there are less than two rows for each range.
+    """
+    base, top = min(low for low, _ in ranges), max(high for _, high in ranges)
+    bits = ((top - base) // len(ranges)).bit_length()
+    rows, first = [], 0
+    for low, high in ranges:
+        for bucket in range((low - base) >> bits, ((high - base) >> bits) + 1):
+            rows.append((bucket, low, high, first))
+        first += (high - low) // width + 1
+    return base, bits, rows
+
+
 def _cells_of(ends: DataFrame, ranges: list[tuple[int, int]], cells: int) -> np.ndarray:
     """One pass: the first and last end in each of ``cells`` equal parts of the ranges."""
     length = sum(high - low + 1 for low, high in ranges)
     width = max(1, -(-length // max(1, cells - len(ranges))))
-    # ranges are few: a handful for each shard
-    number: Column = F.lit(None).cast("bigint")
-    first = 0
-    for low, high in ranges:
-        inside = F.col("end").between(low, high)
-        cell = F.lit(first) + F.floor((F.col("end") - F.lit(low)) / F.lit(width))
-        number = F.when(inside, cell).otherwise(number)
-        first += (high - low) // width + 1
+    base, bits, known = _by_bucket(ranges, width)
+    names = ["_bucket", "_low", "_high", "_cell"]
+    columns = [pa.array(column, pa.int64()) for column in zip(*known)]
+    wanted = F.broadcast(ends.sparkSession.createDataFrame(pa.table(columns, names)))
     found = (
-        ends.withColumn("cell", number)
-        .where(F.col("cell").isNotNull())
+        ends.withColumn("_bucket", F.shiftright(F.col("end") - F.lit(base), bits))
+        .join(wanted, "_bucket")
+        .where(F.col("end").between(F.col("_low"), F.col("_high")))
+        .withColumn("cell", F.col("_cell") + F.floor((F.col("end") - F.col("_low")) / F.lit(width)))
         .groupBy("cell")
         .agg(F.min("end"), F.max("end"), F.min("rows"), F.max("rows"))
         .drop("cell")

@@ -1,4 +1,6 @@
+import bisect
 import hashlib
+import itertools
 import random
 import zlib
 from collections import defaultdict
@@ -101,6 +103,54 @@ def test_refined_cells_find_the_same_cuts(spark, seed):
     assert max(b - a for a, b in zip([0, *cuts], cuts)) <= capacity
 
 
+def reached(ends, capacity, shards):
+    """Where the shards end when each takes all of the sorted ends that it can."""
+    at = 0
+    for _ in range(shards):
+        place = bisect.bisect_right(ends, at + capacity)
+        at = ends[place - 1] if place else 0
+    return at
+
+
+def test_many_open_ranges(spark):
+    chance = random.Random(7)
+    sizes = [chance.randint(1, 5000) for _ in range(60_000)]
+    ends = list(itertools.accumulate(sizes))
+    rows = [(end, number + 1) for number, end in enumerate(ends)]
+    table = spark.createDataFrame(rows, "end bigint, rows bigint").repartition(3).cache()
+    # some thousand cells of many ends each are open after the first pass
+    capacity, cuts, upto = sharding.minimax_cuts(table, ends[-1], 60, cells=8192)
+    assert reached(ends, capacity, 60) == ends[-1] > reached(ends, capacity - 1, 60)
+    assert max(b - a for a, b in zip([0, *cuts], cuts)) <= capacity
+    assert cuts[-1] == ends[-1] and [ends[row - 1] for row in upto] == cuts
+    assert (capacity, cuts, upto) == sharding.minimax_cuts(table, ends[-1], 60, cells=1 << 20)
+    table.unpersist()
+
+
+@pytest.mark.parametrize("count", [1, 2, 900])
+def test_cells_of_ranges(spark, count):
+    chance = random.Random(count)
+    # far apart and side by side, some of one end only
+    borders = sorted(chance.sample(range(1, 1 << 40), count) + chance.sample(range(1, 5000), count))
+    ranges = list(zip(borders[::2], borders[1::2]))
+    ends = {end for low, high in ranges for end in (low - 1, low, (low + high) // 2, high, high + 1)}
+    ends = sorted(ends - {0})
+    table = spark.createDataFrame(
+        [(end, number + 1) for number, end in enumerate(ends)], "end bigint, rows bigint"
+    )
+    cells = 2000
+    width = -(-sum(high - low + 1 for low, high in ranges) // (cells - count))
+    expected = defaultdict(list)
+    for number, end in enumerate(ends):
+        for at, (low, high) in enumerate(ranges):
+            if low <= end <= high:
+                expected[at, (end - low) // width].append((end, number + 1))
+    found = sharding._cells_of(table, ranges, cells)
+    assert sorted(map(tuple, found.tolist())) == sorted(
+        (inside[0][0], inside[-1][0], inside[0][1], inside[-1][1]) for inside in expected.values()
+    )
+
+
 def test_one_group_with_a_third_of_all_rows(spark):
     rows = [(i, "the same words" if i % 3 == 0 else f"text {i}") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
